@@ -84,7 +84,7 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 def _counts(rules: Rules):
-    """Task: counts of words (kind 1) and of character classes (kind 0) by language."""
+    """Task: by language, counts of character classes (kind 0), of each word (kind 1) and of all words (kind 2)."""
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
         keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
@@ -95,6 +95,7 @@ def _counts(rules: Rules):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, list] = {}
+        totals: dict[str, int] = {}
         classes: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
@@ -108,6 +109,7 @@ def _counts(rules: Rules):
                     classes[lang] = classes.get(lang, 0) + facts["classes"][own].sum(0)
                     got = np.concatenate([facts["words"][facts["bounds"][i] : facts["bounds"][i + 1]] for i in own])
                     keys, counts = np.unique(got, return_counts=True)
+                    totals[lang] = totals.get(lang, 0) + len(got)
                     parts = words.setdefault(lang, [])
                     parts.append((keys, counts))
                     if sum(len(k) for k, _ in parts) > 600_000:
@@ -119,6 +121,7 @@ def _counts(rules: Rules):
                 yield rows(lang, 1, *merged(parts)[0])
         for lang, counts in classes.items():
             yield rows(lang, 0, np.arange(len(counts)), counts.astype(np.int64))
+            yield rows(lang, 2, np.zeros(1), np.array([totals[lang]], np.int64))
 
     return run
 
@@ -130,17 +133,16 @@ def language_references(documents: DataFrame, rules: Rules = Rules()) -> list[di
     """
     counts = documents.select("text", "lang").mapInArrow(_counts(rules), "lang string, kind int, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    kept = counts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= F.when(F.col("kind") == 0, len(CLASS_NAMES)).otherwise(rules.common_words))
-    totals = {r["lang"]: r["n"] for r in counts.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    kept = counts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(rules.common_words, len(CLASS_NAMES)))
     found: dict[str, dict] = {}
     for r in kept.collect():
-        found.setdefault(r["lang"], {0: {}, 1: {}})[r["kind"]][r["item"]] = r["n"]
+        found.setdefault(r["lang"], {0: {}, 1: {}, 2: {0: 0}})[r["kind"]][r["item"]] = r["n"]
     out = []
     for lang in sorted(found):
-        classes, words = found[lang][0], found[lang][1]
+        classes, words, total = found[lang][0], found[lang][1], found[lang][2][0]
         keys = np.sort(np.array(list(words), np.int64).view(np.uint64))
         own = np.array([words[int(k)] for k in keys.view(np.int64)], np.float64)
-        out.append({"lang": lang, "classes": np.array([classes.get(k, 0) for k in range(len(CLASS_NAMES))], np.float64), "keys": keys, "words": np.append(own, max(totals.get(lang, 0) - own.sum(), 0))})
+        out.append({"lang": lang, "classes": np.array([classes.get(k, 0) for k in range(len(CLASS_NAMES))], np.float64), "keys": keys, "words": np.append(own, max(total - own.sum(), 0))})
     return out
 
 

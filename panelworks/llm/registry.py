@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from panelworks.llm.language_id import op4_language_id
+from panelworks.llm.mixing import op6_mixing
+from panelworks.llm.piece_encoding import op9_piece_encoding
 from panelworks.llm.quality_classifier import op3_quality_classifier
 from panelworks.llm.quality_rules import op2_quality_rules
+from panelworks.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_language_id)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_language_id, op6_mixing, op9_piece_encoding, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
