@@ -8,6 +8,8 @@ from panelworks.llm.piece_encoding import op9_piece_encoding
 from panelworks.llm.quality_classifier import op3_quality_classifier
 from panelworks.llm.quality_rules import op2_quality_rules
 from panelworks.llm.toxicity import op10_toxicity
+from panelworks.llm import top_k
+from panelworks.llm.top_k import op1_top_k
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_language_id, op6_mixing, op9_piece_encoding, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality_rules, op3_quality_classifier, op4_language_id, op6_mixing, op9_piece_encoding, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op1_top_k": top_k.ORACLE}
