@@ -132,6 +132,7 @@ def top_k(rows: DataFrame, queries: DataFrame, search: Search = Search()) -> Dat
     blocks = max(1, -(-queries.count() // search.block_queries))
     dealt = durable(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")))
     asked = durable(queries.withColumn("q", F.xxhash64("vec_id", "v", F.lit(1))).withColumn("home", F.pmod(F.xxhash64("q"), F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64("q", F.lit(2)), F.lit(blocks)).cast("int")))
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # apart from the rows they came from
     schema = "q long, query_id long, vec_id long, score long"
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -165,8 +166,8 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
