@@ -31,7 +31,7 @@ class Plan:
     share: float = 1.5  # of all words
     most_passes: float = 2.0  # over a source
     block_words: int = 20_000
-    shard_words: int = 20_000_000
+    shard_words: int = 2_000_000
     most_shards: int = 65_536
     seed: int = 5
 
@@ -151,18 +151,19 @@ def mix(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """The mix: rows of ``documents`` as often as drawn, with ``mix_shard`` and ``mix_place``, each shard in its random order.
 
     Texts are joined to the numbers of their draws by doc_id. Rows that share a doc_id share their
-    draws: the drawn copies of all of them are dealt out among the rows in turn.
+    draws, which are dealt out among them in turn. Rows without a doc_id are not drawn.
     """
+    names = documents.columns
+    spine = documents.toDF(*[f"c{k}" for k in range(len(names))])
+    doc, text, source = (F.col(f"c{names.index(n)}") for n in ("doc_id", "text", "source"))
     sizes, drawn = draw(documents, plan)
-    per_row = drawn.join(sizes.select("row", "doc_id"), "row").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row", "copy", "shard", "place"))).alias("draws"))
-    twins = Window.partitionBy("_id").orderBy(F.xxhash64("text", "source"), "text")
-    numbered = documents.withColumn("_id", F.col("doc_id").cast("long")).join(per_row.withColumnRenamed("doc_id", "_id"), "_id", "left")
-    counted = documents.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = numbered.join(counted, "_id", "left_semi").withColumn("_turn", F.row_number().over(twins) - 1).withColumn("_of", F.count("*").over(Window.partitionBy("_id")))
-    single = numbered.join(counted, "_id", "left_anti").withColumn("_turn", F.lit(0)).withColumn("_of", F.lit(1).cast("long"))
-    own = F.filter("draws", lambda x, i: F.pmod(i, F.col("_of")) == F.col("_turn"))
-    dealt = single.unionByName(shared).withColumn("_draw", F.explode(own))
-    out = dealt.select(*[F.col(c) for c in documents.columns], F.col("_draw.shard").alias("mix_shard"), F.col("_draw.place").alias("mix_place"))
+    per_row = drawn.join(sizes.select("row", F.col("doc_id").alias("_id")), "row").groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("row", "copy", "shard", "place"))).alias("_draws"))
+    repeated = sizes.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_of")).where("_of > 1")
+    numbered = spine.withColumn("_id", doc.cast("long")).join(per_row, "_id").join(repeated, "_id", "left").withColumn("_of", F.coalesce("_of", F.lit(1)))
+    turns = Window.partitionBy("_id").orderBy(F.xxhash64(text, source), text)
+    turned = numbered.where("_of > 1").withColumn("_turn", F.row_number().over(turns) - 1).unionByName(numbered.where("_of = 1").withColumn("_turn", F.lit(0)))
+    dealt = turned.withColumn("_draw", F.explode(F.filter("_draws", lambda x, i: F.pmod(i, F.col("_of")) == F.col("_turn"))))
+    out = dealt.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], F.col("_draw.shard").alias("mix_shard"), F.col("_draw.place").alias("mix_place"))
     return out.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place")
 
 

@@ -61,7 +61,7 @@ def _describe(near: Near):
                 bands = np.zeros((hi - lo, near.similarity.bands), np.int64)
                 bands[some] = band_keys(signatures(flat, starts, near.similarity.rows * near.similarity.bands), near.similarity)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(lo, hi - lo), "n_shingles": pa.array(sizes), "key_a": pa.array(keys[0].view(np.int64)), "key_b": pa.array(keys[1].view(np.int64)),
+                    "doc_id": batch.column("doc_id").slice(lo, hi - lo), "twin": batch.column("twin").slice(lo, hi - lo), "n_shingles": pa.array(sizes), "key_a": pa.array(keys[0].view(np.int64)), "key_b": pa.array(keys[1].view(np.int64)),
                     "bands": pa.array([blob(b) for b in bands], pa.binary()),
                 })
 
@@ -96,7 +96,7 @@ def _profile(near: Near):
 
 
 def near_duplicates(documents: DataFrame, near: Near = Near()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+    """doc_id, twin (a hash of the text), n_shingles, component_id, kept of every row.
 
     component_id is the smallest doc_id reachable over links between similar sets, kept whether it
     is the row's own. Texts that are null or without words have no shingles and are linked with
@@ -104,7 +104,7 @@ def near_duplicates(documents: DataFrame, near: Near = Near()) -> DataFrame:
     do. Rows without a doc_id have no component and are kept.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = durable(rows.mapInArrow(_describe(near), "doc_id long, n_shingles long, key_a long, key_b long, bands binary"))
+    described = durable(rows.withColumn("twin", F.xxhash64("text")).mapInArrow(_describe(near), "doc_id long, twin long, n_shingles long, key_a long, key_b long, bands binary"))
     classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = durable(classes)
     of_class = classes.select("key_a", "key_b", "n_shingles", "rep")
@@ -119,8 +119,17 @@ def near_duplicates(documents: DataFrame, near: Near = Near()) -> DataFrame:
     labels = linked(shared_buckets(classes.select(F.col("rep").alias("id"), "bands")), profiles, near.similarity)
     named = of_class.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key_a", "key_b", "n_shingles", F.coalesce("label", "rep").alias("component"))
     out = described.drop("bands").join(named, ["key_a", "key_b", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "twin", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(documents: DataFrame, near: Near = Near()) -> DataFrame:
+    """The rows of ``documents`` whose component they represent, all columns as they were."""
+    gone = near_duplicates(documents, near).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_doc"), F.col("twin").alias("_gone_twin"))
+    names = documents.columns
+    spine = documents.toDF(*[f"c{k}" for k in range(len(names))])
+    doc, text = F.col(f"c{names.index('doc_id')}").cast("long"), F.col(f"c{names.index('text')}")
+    return spine.join(gone, (doc == F.col("_gone_doc")) & (F.xxhash64(text) == F.col("_gone_twin")), "left_anti").toDF(*names)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), Near(width=3, similarity=Similarity(percent=85)))
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), Near(width=3, similarity=Similarity(percent=85))).drop("twin")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelworks.llm.language_id import op4_language_id
+from panelworks.llm.line_dedup import op8_line_dedup
 from panelworks.llm.mixing import op6_mixing
 from panelworks.llm.near_dedup import op7_near_dedup
 from panelworks.llm.piece_encoding import op9_piece_encoding
@@ -12,5 +13,5 @@ from panelworks.llm.toxicity import op10_toxicity
 from panelworks.llm import top_k
 from panelworks.llm.top_k import op1_top_k
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality_rules, op3_quality_classifier, op4_language_id, op6_mixing, op7_near_dedup, op9_piece_encoding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality_rules, op3_quality_classifier, op4_language_id, op6_mixing, op7_near_dedup, op8_line_dedup, op9_piece_encoding, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op1_top_k": top_k.ORACLE}
