@@ -3,8 +3,9 @@
 All links within a bucket matter, but a bucket may hold a third of all items, so pairs are never
 expanded. Instead:
 
-1. *Stars*: each bucket's members are compared with one leader, then with another. Verified links
-   unite most groups of copies at once, and members that share a component need no more comparing.
+1. *Stars*: in a few rounds, each bucket's members are compared with a leader that a hash of the
+   bucket picks, so the buckets of one large group have different leaders. Verified links unite most
+   groups of copies at once, and members that share a component need no more comparing.
 2. *The rest*: buckets that still hold two components or more. Small ones give their pairs across
    components; large ones are cut into blocks, and each pair of blocks is one bounded task that
    compares signatures in memory and passes on only the pairs across components that may be similar.
@@ -36,6 +37,7 @@ class Similarity:
     band_miss: float = 1e-6  # chance that a pair at the threshold shares no band
     verify_miss: float = 1e-6  # posterior chance of similarity below which a pair is dropped unread
     batch: int = 16  # signature values compared at a time
+    stars: int = 3  # rounds of leaders
     small: int = 32  # members of a bucket whose pairs are listed
     block: int = 512
 
@@ -177,15 +179,15 @@ def linked(hits: DataFrame, profiles: Callable[[DataFrame], tuple[DataFrame, Dat
     hits = durable(hits.select("bucket", "id"))
     signed, sets = profiles(hits.select("id").distinct())
     links, labels = None, None
-    for leader in (F.min, F.max):
+    for k in range(similarity.stars):
         held = _labelled(hits, labels)
-        leaders = held.groupBy("bucket").agg(leader(F.struct("id", "label")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "top")
+        leaders = held.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "bucket", F.lit(k))).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "top")
         pairs = held.join(leaders, "bucket").where("id <> top.id and label <> top.label").select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()
         found = verified(pairs, signed, sets, similarity)
         links = durable(found if links is None else links.unionByName(found))
         labels = durable(components(links))
     held = _labelled(hits, labels)
-    open_ = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high and n > 3").select("bucket", "n")  # of three, both leaders have seen all
+    open_ = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high and n > 2").select("bucket", "n")  # of two, the first leader has seen both
     rest = durable(held.join(open_, "bucket"))
     few = rest.where(F.col("n") <= similarity.small)
     twin = few.select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b"))
