@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from panelworks.llm import text_kernels as K
 from panelworks.llm.learning import blob, table
-from panelworks.sources.durable import durable
 
 NAME_BITS = 21  # of a name, so that a triple fits into 64 bits
 
@@ -283,14 +282,14 @@ def _windows(pieces: Pieces, spans: Spans) -> tuple[np.ndarray, ...]:
 
 
 def _send_pieces(spans: Spans, parts: int, sieves):
-    """Task: pieces of repeated anchors, packed by part; ranges of those that repeat an earlier one of the task (part -1)."""
+    """Task: pieces of repeated anchors, packed by part; ranges of those that repeat an earlier one of the task, spread over the parts."""
 
     def packed(held: list[Pieces]) -> Iterator[pa.RecordBatch]:
         first, others = collapse(Pieces.join(held))
         empty = pa.nulls(0, pa.binary())
         done = _ranges(*_windows(others, spans))
         n = done.num_rows
-        yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(n, -1)), "doc_id": done.column("doc_id"), "twin": done.column("twin"), "ranges": done.column("ranges"), "body": pa.nulls(n, pa.binary()) if n else empty})
+        yield pa.RecordBatch.from_pydict({"part": pa.array(np.asarray(done.column("twin")) % parts), "doc_id": done.column("doc_id"), "twin": done.column("twin"), "ranges": done.column("ranges"), "body": pa.nulls(n, pa.binary()) if n else empty})
         part = ((K.mix(first.columns["key"].copy()) >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((first.columns["key"], part))
         to, begin = np.unique(part[order], return_index=True)
@@ -300,7 +299,7 @@ def _send_pieces(spans: Spans, parts: int, sieves):
             raw = len(own).to_bytes(8, "little") + b"".join(blob(p.columns[k]) for k, _ in PIECE) + blob(p.rows)
             bodies.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
         m = len(to)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(to), "doc_id": pa.nulls(m, pa.int64()), "twin": pa.nulls(m, pa.int64()), "ranges": pa.nulls(m, pa.binary()), "body": pa.array(bodies if m else [], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array(to), "doc_id": pa.array(np.zeros(m, np.int64)), "twin": pa.array(np.zeros(m, np.int64)), "ranges": pa.nulls(m, pa.binary()), "body": pa.array(bodies if m else [], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, hot = sieves.value
@@ -389,7 +388,10 @@ def _sort_part(spans: Spans):
         return Pieces(columns, np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        first, others = collapse(Pieces.join([unpack(b) for b in group["body"]]))
+        ready, bodies = group.loc[group["body"].isna(), ["doc_id", "twin", "ranges"]], group["body"].dropna()
+        if not len(bodies):
+            return ready
+        first, others = collapse(Pieces.join([unpack(b) for b in bodies]))
         found = [_windows(others, spans)]
         order = np.argsort(first.columns["key"], kind="stable")
         keys = first.columns["key"][order]
@@ -399,7 +401,7 @@ def _sort_part(spans: Spans):
             hi = int(edges[max(np.searchsorted(edges, lo + spans.batch, "right") - 1, np.searchsorted(edges, lo, "right"))])
             found.append(equal_windows(first.take(order[lo:hi]), spans))
             lo = hi
-        return _ranges(*(np.concatenate(x) for x in zip(*found, strict=True))).to_pandas()
+        return pd.concat([ready, _ranges(*(np.concatenate(x) for x in zip(*found, strict=True))).to_pandas()])
 
     return run
 
@@ -413,10 +415,8 @@ def repeated_ranges(rows: DataFrame, spans: Spans = Spans()) -> DataFrame:
     bitmaps = np.zeros((2, 1 << (spans.sieve_bits - 6)), np.int64)  # of a fixed size, however much is repeated
     bitmaps[words.column("level").to_numpy(), words.column("word").to_numpy()] = words.column("bits").to_numpy()
     sieves = spark.sparkContext.broadcast(tuple(bitmaps.view(np.uint64)))
-    sent = durable(rows.mapInArrow(_send_pieces(spans, parts, sieves), "part long, doc_id long, twin long, ranges binary, body binary"))
-    near = sent.where("part < 0").select("doc_id", "twin", "ranges")
-    far = sent.where("part >= 0").select("part", "body").groupBy("part").applyInPandas(_sort_part(spans), "doc_id long, twin long, ranges binary")
-    return near.unionByName(far)
+    sent = rows.mapInArrow(_send_pieces(spans, parts, sieves), "part long, doc_id long, twin long, ranges binary, body binary")
+    return sent.groupBy("part").applyInPandas(_sort_part(spans), "doc_id long, twin long, ranges binary")
 
 
 def _cut(spans: Spans, with_text: bool):
