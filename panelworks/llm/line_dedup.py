@@ -23,6 +23,8 @@ from panelworks.llm.learning import blob, table
 from panelworks.llm.linking import Similarity, band_keys, linked, signatures
 from panelworks.sources.durable import durable
 
+CHUNK = K.CHUNK // 8  # arrays over a chunk stay in a core's cache
+NORMAL = np.where(K.WHITESPACE, np.uint8(32), K.LOWER)
 SIEVE_BITS = 25  # a bitmap of 4 MB
 
 
@@ -57,7 +59,7 @@ def line_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys:
     """Shingle hashes of all lines in a row, and where each line's begin; a line shorter than a shingle has its key alone."""
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    text = np.where(K.WHITESPACE[data], np.uint8(32), K.LOWER[data])
+    text = NORMAL[data]
     lead = (text & 0xC0) != 0x80
     points = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     upto = np.concatenate([[0], np.cumsum(lead)])
@@ -83,7 +85,7 @@ def line_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys:
 def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task: key and place of every line that is not blank."""
     for batch in batches:
-        for lo, hi, data, at in K.chunks(batch.column("text")):
+        for lo, hi, data, at in K.chunks(batch.column("text"), CHUNK):
             _, _, place, keys = solid_lines(data, at)
             upto = line_spans(data, at)[2]
             owner = np.searchsorted(upto, place, "right") - 1
@@ -117,7 +119,7 @@ def _pack(lines: Lines, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for _, _, data, at in K.chunks(batch.column("text")):
+            for _, _, data, at in K.chunks(batch.column("text"), CHUNK):
                 starts, ends, _, keys = solid_lines(data, at)
                 if not len(keys):
                     continue
@@ -150,23 +152,31 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": out[:, 0], "id": out[:, 1]})
 
 
-def _profile(lines: Lines, sieve):
-    """Task: signature and shingle set of each line whose key passes the sieve, once a task."""
+def _profile(sieve):
+    """Task: key and content of each line whose key passes the sieve, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = sieve.value, set()
         for batch in batches:
-            for _, _, data, at in K.chunks(batch.column("text")):
+            for _, _, data, at in K.chunks(batch.column("text"), CHUNK):
                 starts, ends, _, keys = solid_lines(data, at)
                 spot = keys >> np.uint64(64 - SIEVE_BITS)
                 use = np.flatnonzero((bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1))
-                use = np.array([i for i in use if keys[i] not in seen and not seen.add(keys[i])], np.int64)
-                if not len(use):
-                    continue
-                flat, begin = line_shingles(data, starts[use], ends[use], keys[use], lines.width)
-                sets = [np.unique(x) for x in np.split(flat, begin[1:])]
-                sigs = signatures(flat, begin, lines.similarity.values)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(keys[use].view(np.int64)), "sig": pa.array([blob(s) for s in sigs], pa.binary()), "set": pa.array([blob(s) for s in sets], pa.binary())})
+                use = [i for i in use if keys[i] not in seen and not seen.add(keys[i])]
+                if use:
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(keys[use].view(np.int64)), "body": pa.array([blob(data[starts[i] : ends[i]]) for i in use], pa.binary())})
+
+    return run
+
+
+def _expand(lines: Lines):
+    """Shingle sets of lines given by their content."""
+
+    def run(bodies: pa.Array) -> list[np.ndarray]:
+        data, at = K.utf8(bodies)
+        keys = K.word_hashes(K.LOWER[data], at[:-1])
+        flat, begin = line_shingles(data, at[:-1], at[1:], keys, lines.width)
+        return [np.unique(x) for x in np.split(flat, begin[1:])] if len(begin) else []
 
     return run
 
@@ -193,14 +203,12 @@ def removed_lines(documents: DataFrame, lines: Lines = Lines()) -> DataFrame:
     texts = documents.select("text")
     hits = texts.mapInArrow(_pack(lines, parts), "part long, ready boolean, entries binary").groupBy("part").applyInPandas(_shared, "bucket long, id long")
 
-    def profiles(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def profile(ids: DataFrame) -> DataFrame:
         ids = durable(ids)
         sieve = spark.sparkContext.broadcast(bitmap(ids))
-        found = texts.mapInArrow(_profile(lines, sieve), "id long, sig binary, set binary").join(ids, "id", "left_semi")
-        found = durable(found.dropDuplicates(["id"]))
-        return found.select("id", "sig"), found.select("id", "set")
+        return texts.mapInArrow(_profile(sieve), "id long, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-    labels = linked(hits, profiles, lines.similarity).select(F.col("id").alias("key"), "label")
+    labels = linked(hits, profile, lines.similarity, _expand(lines)).select(F.col("id").alias("key"), "label")
     joined = firsts.join(labels, "key", "left").where("n > 1 or label is not null").select("key", "first", F.coalesce("label", "key").alias("label"))
     joined = durable(joined)
     kept = joined.groupBy("label").agg(F.min("first").alias("kept"))

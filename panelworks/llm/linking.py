@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from panelworks.llm import text_kernels as K
 from panelworks.llm.components import components
+from panelworks.llm.learning import blob
 from panelworks.sources.durable import durable
 
 
@@ -124,14 +125,20 @@ def _prune(similarity: Similarity):
     return run
 
 
-def _confirm(similarity: Similarity):
+Expand = Callable[[pa.Array], list[np.ndarray]]
+
+
+def packed_sets(bodies: pa.Array) -> list[np.ndarray]:
+    """Sets that were stored as their sorted 64-bit hashes."""
+    data, at = K.utf8(bodies)
+    return [np.frombuffer(data[at[i] : at[i + 1]], np.uint64) for i in range(len(at) - 1)]
+
+
+def _confirm(similarity: Similarity, expand: Expand):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, lat = K.utf8(batch.column("set_a"))
-            right, rat = K.utf8(batch.column("set_b"))
             keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[lat[i] : lat[i + 1]], np.uint64), np.frombuffer(right[rat[i] : rat[i + 1]], np.uint64)
+            for i, (x, y) in enumerate(zip(expand(batch.column("body_a")), expand(batch.column("body_b")), strict=True)):
                 if 100 * min(len(x), len(y)) >= similarity.percent * max(len(x), len(y)):
                     same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                     keep[i] = 100 * same >= similarity.percent * (len(x) + len(y) - same)
@@ -140,20 +147,25 @@ def _confirm(similarity: Similarity):
     return run
 
 
-def verified(pairs: DataFrame, signed: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: signature batches first, then the sets themselves."""
-    side = lambda table, column, end: table.select(F.col("id").alias(end), F.col(column).alias(f"{column}_{end}"))
-    drawn = pairs.join(side(signed, "sig", "a"), "a").join(side(signed, "sig", "b"), "b").select("a", "b", "sig_a", "sig_b")
-    likely = drawn.mapInArrow(_prune(similarity), "a long, b long")
-    full = likely.join(side(sets, "set", "a"), "a").join(side(sets, "set", "b"), "b").select("a", "b", "set_a", "set_b")
-    return full.mapInArrow(_confirm(similarity), "a long, b long")
+def verified(pairs: DataFrame, profiles: DataFrame, similarity: Similarity, expand: Expand) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: signature batches first, if profiles have ``sig``, then the sets themselves."""
+    side = lambda column, end: profiles.select(F.col("id").alias(end), F.col(column).alias(f"{column}_{end}"))
+    if "sig" in profiles.columns:
+        drawn = pairs.join(side("sig", "a"), "a").join(side("sig", "b"), "b").select("a", "b", "sig_a", "sig_b")
+        pairs = drawn.mapInArrow(_prune(similarity), "a long, b long")
+    full = pairs.join(side("body", "a"), "a").join(side("body", "b"), "b").select("a", "b", "body_a", "body_b")
+    return full.mapInArrow(_confirm(similarity, expand), "a long, b long")
 
 
-def _across(similarity: Similarity):
+def _across(similarity: Similarity, expand: Expand):
     """Group: pairs across components, of two blocks of a bucket, that survive the signature test."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first, second = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
+        if "sig" not in group:
+            sets = expand(pa.array(group["body"]))
+            starts = np.cumsum([0, *(len(x) for x in sets)])[:-1]
+            group = group.assign(sig=[blob(x) for x in signatures(np.concatenate(sets), starts, similarity.values)])
         left, right = group[group["own"] == first], group[group["own"] == second]
         xs, ys = (np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, similarity.values) for g in (left, right))
         out_a, out_b = [], []
@@ -171,19 +183,21 @@ def _across(similarity: Similarity):
     return run
 
 
-def linked(hits: DataFrame, profiles: Callable[[DataFrame], tuple[DataFrame, DataFrame]], similarity: Similarity) -> DataFrame:
+def linked(hits: DataFrame, profile: Callable[[DataFrame], DataFrame], similarity: Similarity, expand: Expand = packed_sets) -> DataFrame:
     """(id, label) of the items with links. ``hits``: (bucket, id) of buckets with two ids or more.
 
-    ``profiles`` turns a table of ids into their (id, sig) and (id, set) tables.
+    ``profile`` turns a table of ids into a table (id, body) or (id, sig, body); ``expand`` turns
+    bodies into sorted sets of 64-bit hashes.
     """
     hits = durable(hits.select("bucket", "id"))
-    signed, sets = profiles(hits.select("id").distinct())
+    profiles = durable(profile(hits.select("id").distinct()))
+    compared = profiles.select("id", "sig" if "sig" in profiles.columns else "body")
     links, labels = None, None
     for k in range(similarity.stars):
         held = _labelled(hits, labels)
         leaders = held.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "bucket", F.lit(k))).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "top")
         pairs = held.join(leaders, "bucket").where("id <> top.id and label <> top.label").select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()
-        found = verified(pairs, signed, sets, similarity)
+        found = verified(pairs, profiles, similarity, expand)
         links = durable(found if links is None else links.unionByName(found))
         labels = durable(components(links))
     held = _labelled(hits, labels)
@@ -194,8 +208,8 @@ def linked(hits: DataFrame, profiles: Callable[[DataFrame], tuple[DataFrame, Dat
     listed = few.join(twin, "bucket").where("id < b and label <> label_b").select(F.col("id").alias("a"), "b")
     many = rest.where(F.col("n") > similarity.small).withColumn("blocks", F.ceil(F.col("n") / similarity.block)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     paired = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    blocks = paired.join(signed, "id").groupBy("bucket", "lo", "hi").applyInPandas(_across(similarity), "a long, b long")
-    found = verified(listed.unionByName(blocks).distinct(), signed, sets, similarity)
+    blocks = paired.join(compared, "id").groupBy("bucket", "lo", "hi").applyInPandas(_across(similarity, expand), "a long, b long")
+    found = verified(listed.unionByName(blocks).distinct(), profiles, similarity, expand)
     return components(durable(links.unionByName(found)))
 
 
