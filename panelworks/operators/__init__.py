@@ -1 +1 @@
-
+"""Panel operators, each a function of DataFrames."""
