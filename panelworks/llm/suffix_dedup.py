@@ -3,7 +3,7 @@
 A byte goes if a string of ``length`` bytes that covers it also starts earlier in the corpus. Equal
 strings are brought together, and only they are sorted:
 
-1. Every window of ``length`` bytes has an *anchor*: the half-length substring in it with the least
+1. Every window of ``length`` bytes has an *anchor*: the ``seed`` bytes in it with the least
    hash, the leftmost of equals. It depends on the window's bytes alone, so equal windows have equal
    anchors at equal offsets. Anchors that occur once anywhere cannot lie in repeated windows.
 2. The text around each repeated anchor (a *piece*: all windows anchored there) goes to the partition
@@ -39,15 +39,12 @@ NAME_BITS = 21  # of a name, so that a triple fits into 64 bits
 @dataclass(frozen=True)
 class Spans:
     length: int = 100
+    seed: int = 32  # bytes of an anchor
     sieve_bits: int = 27  # bitmaps of 16 MB
     hot: int = 50_000  # occurrences of an anchor beyond which its windows travel one by one
     parts_per_shuffle_partition: int = 4
     batch: int = 100_000  # pieces sorted at a time
-    flush: int = 1 << 16  # pieces a task holds before it collapses and sends them
-
-    @property
-    def seed(self) -> int:
-        return self.length // 2
+    flush: int = 1 << 19  # pieces a task holds before it collapses and sends them
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -201,11 +198,11 @@ def _passes(bitmap: np.ndarray, keys: np.ndarray, spans: Spans) -> np.ndarray:
     return ((bitmap[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-PIECE = [("key", np.uint64), ("doc", np.int64), ("twin", np.int64), ("start", np.int64), ("left", np.uint8), ("low", np.uint8), ("high", np.uint8)]
+PIECE = [("doc", np.int64), ("twin", np.uint32), ("start", np.uint32), ("left", np.uint8), ("low", np.uint8), ("high", np.uint8), ("alone", np.uint8)]
 
 
 class Pieces:
-    """Columns of pieces: anchor key, document, start in it, bytes before the anchor, offsets low..high of its windows, and the bytes in rows."""
+    """Columns of pieces: document, start in it, bytes before the anchor, offsets low..high of its windows, whether a window of a hot anchor; and the bytes in rows."""
 
     def __init__(self, columns: dict[str, np.ndarray], rows: np.ndarray):
         self.columns, self.rows = columns, rows
@@ -217,6 +214,11 @@ class Pieces:
     def join(parts: list[Pieces]) -> Pieces:
         return Pieces({k: np.concatenate([p.columns[k] for p in parts]) for k, _ in PIECE}, np.concatenate([p.rows for p in parts]))
 
+    def keys(self, spans: Spans) -> np.ndarray:
+        """A hash of what pieces must share to be compared: the anchor, or all bytes for the windows of hot anchors."""
+        at = self.columns["left"].astype(np.int64)[:, None] + np.arange(spans.seed)
+        return np.where(self.columns["alone"], _row_hash(self.rows)[0], _row_hash(np.take_along_axis(self.rows, at, 1))[0])
+
     def __len__(self) -> int:
         return len(self.rows)
 
@@ -245,7 +247,7 @@ def collapse(pieces: Pieces) -> tuple[Pieces, Pieces]:
     c = pieces.columns
     a, b = _row_hash(pieces.rows)
     shape = c["left"].astype(np.uint64) << np.uint64(16) | c["low"].astype(np.uint64) << np.uint64(8) | c["high"].astype(np.uint64)
-    a = K.mix(a ^ K.mix(shape + np.uint64(1)) ^ c["key"])
+    a = K.mix(a ^ K.mix(shape + np.uint64(1)))
     order = np.lexsort((c["start"], c["doc"], b, a))
     head = np.ones(len(order), bool)
     head[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
@@ -278,7 +280,7 @@ def _windows(pieces: Pieces, spans: Spans) -> tuple[np.ndarray, ...]:
     """Document and range of window starts of whole pieces."""
     c = pieces.columns
     left, low, high = (c[k].astype(np.int64) for k in ("left", "low", "high"))
-    return c["doc"], c["twin"], c["start"] + left - high, c["start"] + left - low
+    return c["doc"], c["twin"].astype(np.int64), c["start"].astype(np.int64) + left - high, c["start"].astype(np.int64) + left - low
 
 
 def _send_pieces(spans: Spans, parts: int, sieves):
@@ -290,8 +292,9 @@ def _send_pieces(spans: Spans, parts: int, sieves):
         done = _ranges(*_windows(others, spans))
         n = done.num_rows
         yield pa.RecordBatch.from_pydict({"part": pa.array(np.asarray(done.column("twin")) % parts), "doc_id": done.column("doc_id"), "twin": done.column("twin"), "ranges": done.column("ranges"), "body": pa.nulls(n, pa.binary()) if n else empty})
-        part = ((K.mix(first.columns["key"].copy()) >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((first.columns["key"], part))
+        keys = first.keys(spans)
+        part = ((keys >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((keys, part))
         to, begin = np.unique(part[order], return_index=True)
         bodies = []
         for own in np.split(order, begin[1:]):
@@ -323,8 +326,7 @@ def _send_pieces(spans: Spans, parts: int, sieves):
                     if not len(own):
                         continue
                     rows = _gather(data, begin, end + spans.length - begin, width)
-                    keys = key[own] if not alone else _row_hash(rows)[0]
-                    columns = {"key": keys, "doc": ids[lo + owner[own]], "twin": twins[lo + owner[own]], "start": begin - at[owner[own]], "left": (anchor[own] - begin).astype(np.uint8), "low": (anchor[own] - end).astype(np.uint8), "high": (anchor[own] - begin).astype(np.uint8)}
+                    columns = {"doc": ids[lo + owner[own]], "twin": twins[lo + owner[own]].astype(np.uint32), "start": (begin - at[owner[own]]).astype(np.uint32), "left": (anchor[own] - begin).astype(np.uint8), "low": (anchor[own] - end).astype(np.uint8), "high": (anchor[own] - begin).astype(np.uint8), "alone": np.full(len(own), alone, np.uint8)}
                     held.append(Pieces(columns, rows))
                     size += len(own)
                 if size >= spans.flush:
@@ -340,13 +342,13 @@ def equal_windows(pieces: Pieces, spans: Spans) -> tuple[np.ndarray, ...]:
     """Document and start of every window of distinct pieces that equals an earlier one among them."""
     c = pieces.columns
     left, low, high = (c[k].astype(np.int64) for k in ("left", "low", "high"))
-    place = np.lexsort((c["start"] + left, c["doc"]))
+    place = np.lexsort((c["start"].astype(np.int64) + left, c["doc"]))
     pieces = pieces.take(place)
     c, left, low, high = pieces.columns, left[place], low[place], high[place]
     n, most = len(pieces), spans.length - spans.seed
     if n < 2:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
-    anchor = c["start"] + left
+    anchor = c["start"].astype(np.int64) + left
     spot = np.cumsum(np.concatenate([[1], (c["doc"][1:] != c["doc"][:-1]) | (anchor[1:] != anchor[:-1])]))
     size = left + spans.length - low
     after = _gather(pieces.rows.ravel(), np.arange(n) * pieces.rows.shape[1] + left, size - left, spans.length)
@@ -370,7 +372,7 @@ def equal_windows(pieces: Pieces, spans: Spans) -> tuple[np.ndarray, ...]:
         head[1:] = both[1:] != both[:-1]
         lead = own[order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]]
         hit = own[order[spot[own[order]] > spot[lead]]]
-        docs.append(c["doc"][hit]), twins.append(c["twin"][hit]), starts.append(anchor[hit] - offset)
+        docs.append(c["doc"][hit]), twins.append(c["twin"][hit].astype(np.int64)), starts.append(anchor[hit] - offset)
     docs, twins, starts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, twins, starts))
     return docs, twins, starts, starts
 
@@ -393,8 +395,9 @@ def _sort_part(spans: Spans):
             return ready
         first, others = collapse(Pieces.join([unpack(b) for b in bodies]))
         found = [_windows(others, spans)]
-        order = np.argsort(first.columns["key"], kind="stable")
-        keys = first.columns["key"][order]
+        keys = first.keys(spans)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
         edges = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
         lo = 0
         while lo < len(keys):  # whole keys, about a batch of pieces at a time
@@ -453,7 +456,7 @@ def dedup_spans(documents: DataFrame, spans: Spans = Spans(), with_text: bool =
     treated alike. Rows without a doc_id stay whole and repeat nothing. The kept text may lack bytes
     of characters that a cut went through; the digest is of the exact bytes.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("twin", F.xxhash64("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("twin", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
     ranges = repeated_ranges(rows.where("doc_id is not null"), spans).groupBy("doc_id", "twin").agg(F.collect_list("ranges").alias("ranges"))
     joined = rows.join(ranges, ["doc_id", "twin"], "left").select("doc_id", "text", "ranges")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
