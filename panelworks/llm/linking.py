@@ -7,8 +7,8 @@ expanded. Instead:
    bucket picks, so the buckets of one large group have different leaders. Verified links unite most
    groups of copies at once, and members that share a component need no more comparing.
 2. *The rest*: buckets that still hold two components or more. Small ones give their pairs across
-   components; large ones are cut into blocks, and each pair of blocks is one bounded task that
-   compares signatures in memory and passes on only the pairs across components that may be similar.
+   components; large ones are cut into blocks, and each pair of blocks is one bounded group that
+   compares signatures, then sets, in memory and passes on only links that unite components.
 
 Every pair across components that shares a bucket is thus compared; no cap drops any.
 """
@@ -48,7 +48,7 @@ class Similarity:
 
     @property
     def values(self) -> int:
-        return -(-max(self.rows * self.bands, 96) // self.batch) * self.batch
+        return -(-max(self.rows * self.bands, 64) // self.batch) * self.batch
 
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**32, (2, 4096), dtype=np.uint32)
@@ -70,12 +70,12 @@ def signatures(items: np.ndarray, starts: np.ndarray, values: int) -> np.ndarray
 
 
 def band_keys(signature: np.ndarray, similarity: Similarity) -> np.ndarray:
-    """A 64-bit bucket for each band of each signature."""
+    """A 64-bit bucket for each band of each signature, the band's number in its top byte."""
     used = signature[:, : similarity.rows * similarity.bands].astype(np.uint64).reshape(len(signature), similarity.bands, similarity.rows)
     out = np.broadcast_to(np.arange(1, similarity.bands + 1, dtype=np.uint64), used.shape[:2]).copy()
     for k in range(similarity.rows):
         out = K.mix(out * np.uint64(0xD6E8FEB86659FD93) + used[:, :, k])
-    return out.view(np.int64)
+    return (out >> np.uint64(8) | np.arange(similarity.bands, dtype=np.uint64) << np.uint64(56)).view(np.int64)
 
 
 def least_matches(similarity: Similarity) -> np.ndarray:
@@ -112,8 +112,13 @@ def may_be_similar(left: np.ndarray, right: np.ndarray, similarity: Similarity)
     return out
 
 
+def packed_signatures(signature: np.ndarray) -> list[bytes]:
+    """The lowest byte of each value: unequal values agree in it once in 256 times, which only keeps more pairs."""
+    return [blob(row) for row in signature.astype(np.uint8)]
+
+
 def _rows(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(K.utf8(column)[0], np.uint32).reshape(-1, width)
+    return K.utf8(column)[0].reshape(-1, width)
 
 
 def _prune(similarity: Similarity):
@@ -148,37 +153,50 @@ def _confirm(similarity: Similarity, expand: Expand):
 
 
 def verified(pairs: DataFrame, profiles: DataFrame, similarity: Similarity, expand: Expand) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: signature batches first, if profiles have ``sig``, then the sets themselves."""
+    """The pairs (a, b) whose sets are similar: signature batches first, then the sets themselves."""
     side = lambda column, end: profiles.select(F.col("id").alias(end), F.col(column).alias(f"{column}_{end}"))
-    if "sig" in profiles.columns:
-        drawn = pairs.join(side("sig", "a"), "a").join(side("sig", "b"), "b").select("a", "b", "sig_a", "sig_b")
-        pairs = drawn.mapInArrow(_prune(similarity), "a long, b long")
-    full = pairs.join(side("body", "a"), "a").join(side("body", "b"), "b").select("a", "b", "body_a", "body_b")
+    drawn = pairs.join(side("sig", "a"), "a").join(side("sig", "b"), "b").select("a", "b", "sig_a", "sig_b")
+    likely = drawn.mapInArrow(_prune(similarity), "a long, b long")
+    full = likely.join(side("body", "a"), "a").join(side("body", "b"), "b").select("a", "b", "body_a", "body_b")
     return full.mapInArrow(_confirm(similarity, expand), "a long, b long")
 
 
 def _across(similarity: Similarity, expand: Expand):
-    """Group: pairs across components, of two blocks of a bucket, that survive the signature test."""
+    """Group: of the pairs across components of two blocks of a bucket, verified links that unite components.
+
+    A pair that shares several bands is looked at by the first of them only.
+    """
+
+    def bands(signature: np.ndarray) -> np.ndarray:
+        return signature[..., : similarity.rows * similarity.bands].reshape(*signature.shape[:-1], similarity.bands, similarity.rows)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first, second = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
-        if "sig" not in group:
-            sets = expand(pa.array(group["body"]))
-            starts = np.cumsum([0, *(len(x) for x in sets)])[:-1]
-            group = group.assign(sig=[blob(x) for x in signatures(np.concatenate(sets), starts, similarity.values)])
         left, right = group[group["own"] == first], group[group["own"] == second]
-        xs, ys = (np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, similarity.values) for g in (left, right))
-        out_a, out_b = [], []
+        xs, ys = (np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, similarity.values) for g in (left, right))
+        x_sets, y_sets = (expand(pa.array(g["body"], pa.binary())) for g in (left, right))
+        x_id, y_id = left["id"].to_numpy(), right["id"].to_numpy()
+        names, place = np.unique(np.concatenate([left["label"], right["label"]]), return_inverse=True)
+        root, x_at, y_at = np.arange(len(names)), place[: len(left)], place[len(left) :]
+        links, band = [], int(group["bucket"].iloc[0]) >> 56 & 255
         for i in range(len(left)):
-            other = right["label"].to_numpy() != left["label"].iloc[i]
+            other = root[y_at] != root[x_at[i]]
             if first == second:
-                other &= right["id"].to_numpy() > left["id"].iloc[i]
+                other &= y_id > x_id[i]
             at = np.flatnonzero(other)
-            at = at[may_be_similar(np.broadcast_to(xs[i], (len(at), similarity.values)), ys[at], similarity)] if len(at) else at
-            out_a.append(np.full(len(at), left["id"].iloc[i]))
-            out_b.append(right["id"].to_numpy()[at])
-        a, b = np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            if len(at):
+                at = at[may_be_similar(np.broadcast_to(xs[i], (len(at), similarity.values)), ys[at], similarity)]
+                at = at[(bands(ys[at]) == bands(xs[i])).all(2).argmax(1) == band]
+            if not len(at):
+                continue
+            sizes = np.array([len(y_sets[j]) for j in at])
+            flat, x = np.concatenate([y_sets[j] for j in at]), x_sets[i]
+            same = np.add.reduceat(x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for j in at[100 * same >= similarity.percent * (sizes + len(x) - same)]:
+                if root[y_at[j]] != root[x_at[i]]:
+                    root[root == root[y_at[j]]] = root[x_at[i]]
+                    links.append((min(x_id[i], y_id[j]), max(x_id[i], y_id[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
     return run
 
@@ -186,31 +204,31 @@ def _across(similarity: Similarity, expand: Expand):
 def linked(hits: DataFrame, profile: Callable[[DataFrame], DataFrame], similarity: Similarity, expand: Expand = packed_sets) -> DataFrame:
     """(id, label) of the items with links. ``hits``: (bucket, id) of buckets with two ids or more.
 
-    ``profile`` turns a table of ids into a table (id, body) or (id, sig, body); ``expand`` turns
+    ``profile`` turns a table of ids into a table (id, sig, body); ``expand`` turns
     bodies into sorted sets of 64-bit hashes.
     """
     hits = durable(hits.select("bucket", "id"))
     profiles = durable(profile(hits.select("id").distinct()))
-    compared = profiles.select("id", "sig" if "sig" in profiles.columns else "body")
     links, labels = None, None
     for k in range(similarity.stars):
         held = _labelled(hits, labels)
-        leaders = held.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "bucket", F.lit(k))).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "top")
+        leaders = held.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "bucket", F.lit(k))).alias("top"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        leaders = leaders.where("low <> high" if k == 0 else "low <> high and n > 2").select("bucket", "top")  # of two, the first leader has seen both
         pairs = held.join(leaders, "bucket").where("id <> top.id and label <> top.label").select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()
         found = verified(pairs, profiles, similarity, expand)
         links = durable(found if links is None else links.unionByName(found))
         labels = durable(components(links))
     held = _labelled(hits, labels)
-    open_ = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high and n > 2").select("bucket", "n")  # of two, the first leader has seen both
+    open_ = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high and n > 2").select("bucket", "n")
     rest = durable(held.join(open_, "bucket"))
     few = rest.where(F.col("n") <= similarity.small)
     twin = few.select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b"))
     listed = few.join(twin, "bucket").where("id < b and label <> label_b").select(F.col("id").alias("a"), "b")
     many = rest.where(F.col("n") > similarity.small).withColumn("blocks", F.ceil(F.col("n") / similarity.block)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     paired = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    blocks = paired.join(compared, "id").groupBy("bucket", "lo", "hi").applyInPandas(_across(similarity, expand), "a long, b long")
-    found = verified(listed.unionByName(blocks).distinct(), profiles, similarity, expand)
-    return components(durable(links.unionByName(found)))
+    blocks = paired.join(profiles, "id").groupBy("bucket", "lo", "hi").applyInPandas(_across(similarity, expand), "a long, b long")
+    found = verified(listed.distinct(), profiles, similarity, expand)
+    return components(durable(links.unionByName(found).unionByName(blocks)))
 
 
 def _labelled(hits: DataFrame, labels: DataFrame | None) -> DataFrame:

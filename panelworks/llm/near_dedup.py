@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelworks.llm import text_kernels as K
 from panelworks.llm.learning import blob, table
-from panelworks.llm.linking import Similarity, band_keys, linked, signatures
+from panelworks.llm.linking import Similarity, band_keys, linked, packed_signatures, signatures
 from panelworks.sources.durable import durable
 
 
@@ -90,7 +90,7 @@ def _profile(near: Near):
                 sets = shingle_sets(data, at, near.width)
                 starts = np.cumsum([0, *(len(s) for s in sets)])[:-1]
                 sigs = signatures(np.concatenate(sets), starts, near.similarity.values)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(lo, hi - lo), "sig": pa.array([blob(s) for s in sigs], pa.binary()), "body": pa.array([blob(s) for s in sets], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(lo, hi - lo), "sig": pa.array(packed_signatures(sigs), pa.binary()), "body": pa.array([blob(s) for s in sets], pa.binary())})
 
     return run
 
