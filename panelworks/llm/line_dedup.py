@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from panelworks.llm import text_kernels as K
 from panelworks.llm.learning import blob, table
-from panelworks.llm.linking import Similarity, band_keys, linked, signatures
+from panelworks.llm.linking import Similarity, band_keys, linked, packed_signatures, signatures
 from panelworks.sources.durable import durable
 
 CHUNK = K.CHUNK // 8  # arrays over a chunk stay in a core's cache
@@ -34,7 +34,7 @@ class Lines:
     similarity: Similarity = field(default_factory=lambda: Similarity(percent=80, band_miss=1e-3))
     parts_per_shuffle_partition: int = 4
     hot: int = 1000  # lines of a bucket in one task beyond which they are candidates at once
-    flush: int = 1 << 21  # packed entries a task holds
+    flush: int = 1 << 19  # packed entries a task holds
 
 
 def line_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,8 +93,15 @@ def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "doc_id": batch.column("doc_id").take(take), "twin": batch.column("twin").take(take), "line": pa.array(place - upto[owner])})
 
 
+ENTRY = np.dtype([("bucket", np.uint32), ("key", np.uint64)])
+READY = np.dtype([("bucket", np.uint64), ("key", np.uint64)])
+
+
 def _pack(lines: Lines, parts: int):
-    """Task: (part, ready, entries); entries are packed (bucket, key) pairs, ready if known to share their bucket."""
+    """Task: (part, ready, entries); entries are packed (bucket, key) pairs, ready if known to share their bucket.
+
+    Within a part the upper 32 bits tell buckets apart; the part itself comes from the lower ones.
+    """
 
     def packed(buckets: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((keys, buckets))
@@ -107,12 +114,14 @@ def _pack(lines: Lines, parts: int):
         hot = np.repeat(sizes > lines.hot, sizes)
         lead = np.zeros(len(buckets), bool)
         lead[edge] = True
-        part = (K.mix(buckets.copy()) >> np.uint64(20)) % np.uint64(parts)
+        part = (buckets & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
         spread = (K.mix(keys ^ buckets) >> np.uint64(20)) % np.uint64(parts)
         for ready, use, where in ((False, ~hot | lead, part), (True, hot, spread)):
             own = np.flatnonzero(use)
             own = own[np.argsort(where[own], kind="stable")]
-            pairs = np.stack([buckets[own], keys[own]], 1)
+            pairs = np.empty(len(own), READY if ready else ENTRY)
+            pairs["bucket"] = buckets[own] >> np.uint64(32) << np.uint64(32) | part[own] if ready else buckets[own] >> np.uint64(32)
+            pairs["key"] = keys[own]
             to, begin = np.unique(where[own], return_index=True)
             yield pa.RecordBatch.from_pydict({"part": pa.array(to.astype(np.int64)), "ready": pa.array(np.full(len(to), ready)), "entries": pa.array([blob(p) for p in np.split(pairs, begin[1:])] if len(to) else [], pa.binary())})
 
@@ -137,23 +146,24 @@ def _pack(lines: Lines, parts: int):
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
     """Group: of one part's entries, those in buckets with two keys or more."""
-    pairs = np.frombuffer(b"".join(group.loc[~group["ready"], "entries"]), np.uint64).reshape(-1, 2)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    pairs = pairs[order]
-    fresh = np.ones(len(pairs), bool)
-    fresh[1:] = (pairs[1:] != pairs[:-1]).any(1)
-    pairs = pairs[fresh]
-    same = pairs[1:, 0] == pairs[:-1, 0]
-    use = np.zeros(len(pairs), bool)
+    part = np.uint64(group["part"].iloc[0])
+    pairs = np.frombuffer(b"".join(group.loc[~group["ready"], "entries"]), ENTRY)
+    buckets, keys = pairs["bucket"].astype(np.uint64) << np.uint64(32) | part, pairs["key"]
+    order = np.lexsort((keys, buckets))
+    buckets, keys = buckets[order], keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (buckets[1:] != buckets[:-1]) | (keys[1:] != keys[:-1])
+    buckets, keys = buckets[fresh], keys[fresh]
+    same = buckets[1:] == buckets[:-1]
+    use = np.zeros(len(keys), bool)
     use[1:] |= same
     use[:-1] |= same
-    ready = np.frombuffer(b"".join(group.loc[group["ready"], "entries"]), np.uint64).reshape(-1, 2)
-    out = np.concatenate([pairs[use], ready]).view(np.int64)
-    return pd.DataFrame({"bucket": out[:, 0], "id": out[:, 1]})
+    ready = np.frombuffer(b"".join(group.loc[group["ready"], "entries"]), READY)
+    return pd.DataFrame({"bucket": np.concatenate([buckets[use], ready["bucket"]]).view(np.int64), "id": np.concatenate([keys[use], ready["key"]]).view(np.int64)})
 
 
-def _profile(sieve):
-    """Task: key and content of each line whose key passes the sieve, once a task."""
+def _profile(lines: Lines, sieve):
+    """Task: key, signature and content of each line whose key passes the sieve, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = sieve.value, set()
@@ -164,7 +174,9 @@ def _profile(sieve):
                 use = np.flatnonzero((bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1))
                 use = [i for i in use if keys[i] not in seen and not seen.add(keys[i])]
                 if use:
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(keys[use].view(np.int64)), "body": pa.array([blob(data[starts[i] : ends[i]]) for i in use], pa.binary())})
+                    flat, begin = line_shingles(data, starts[use], ends[use], keys[use], lines.width)
+                    sigs = packed_signatures(signatures(flat, begin, lines.similarity.values))
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(keys[use].view(np.int64)), "sig": pa.array(sigs, pa.binary()), "body": pa.array([blob(data[starts[i] : ends[i]]) for i in use], pa.binary())})
 
     return run
 
@@ -206,7 +218,7 @@ def removed_lines(documents: DataFrame, lines: Lines = Lines()) -> DataFrame:
     def profile(ids: DataFrame) -> DataFrame:
         ids = durable(ids)
         sieve = spark.sparkContext.broadcast(bitmap(ids))
-        return texts.mapInArrow(_profile(sieve), "id long, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return texts.mapInArrow(_profile(lines, sieve), "id long, sig binary, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     labels = linked(hits, profile, lines.similarity, _expand(lines)).select(F.col("id").alias("key"), "label")
     joined = firsts.join(labels, "key", "left").where("n > 1 or label is not null").select("key", "first", F.coalesce("label", "key").alias("label"))
