@@ -44,7 +44,7 @@ class Spans:
     hot: int = 50_000  # occurrences of an anchor beyond which its windows travel one by one
     parts_per_shuffle_partition: int = 4
     batch: int = 100_000  # pieces sorted at a time
-    flush: int = 1 << 19  # pieces a task holds before it collapses and sends them
+    flush: int = 1 << 18  # pieces a task holds before it collapses and sends them
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def _count_anchors(spans: Spans, parts: int):
             for _, _, data, at in K.chunks(batch.column("text")):
                 held.append(anchored(data, at, spans)["key"])
                 size += len(held[-1])
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield send(held)
                     held, size = [], 0
         if held:
