@@ -23,7 +23,7 @@ from panelworks.llm.learning import table
 
 MARK = "▁"
 CUT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-REMEMBERED = 200_000  # cuts in each of two generations
+REMEMBERED = 100_000  # cuts in each of two generations
 LONGEST_REMEMBERED = 40  # characters
 
 
@@ -38,12 +38,17 @@ class PieceCodec:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(vocabulary) if kind == "b"}
         self.raw = [bytes([int(p[3:5], 16)]) if kind == "b" else p.replace(MARK, " ").encode() if kind == "n" else b"" for p, _, kind in vocabulary]
         self.raw[self.unknown] = " ⁇ ".encode()
+        self.decimal = [b"%d" % i for i in range(len(vocabulary))]
+        self.characters = frozenset(p for p in self.ids if len(p) == 1)
+        self.size = [len(p) for p in self.pieces]
+        self.shorter = [0] * len(vocabulary)  # the next shorter piece that a piece begins with; 0: none
         self.automaton = ahocorasick.Automaton()
-        for p, i in self.ids.items():
-            if len(p) == 1 or self.merge(p) == [i]:  # others never come out of merging
-                self.automaton.add_word(p, (len(p), i))
+        usable = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [i]}  # others never come out of merging
+        for p, i in usable.items():
+            self.automaton.add_word(p, i)
+            self.shorter[i] = next((usable[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in usable), 0)
         self.automaton.make_automaton()
-        self.fit: dict[tuple[int, int], bool] = {}
+        self.fit: dict[int, bool] = {}
         self.hot: dict[str, tuple[bytes, bytes]] = {}
         self.cold: dict[str, tuple[bytes, bytes]] = {}
 
@@ -62,45 +67,47 @@ class PieceCodec:
         return [ids[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
-        got = self.fit.get((left, right))
+        pair = left << 32 | right
+        got = self.fit.get(pair)
         if got is None:
-            if len(self.fit) > 400_000:
+            if len(self.fit) > 200_000:
                 self.fit.clear()
-            got = self.fit[left, right] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
+            got = self.fit[pair] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
         return got
 
     def backtrack(self, text: str) -> list[int]:
-        """Piece ids of a text whose characters all are pieces."""
-        n = len(text)
-        starts: list[list] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(text):
-            starts[end + 1 - match[0]].append(match)  # shorter ones come first
-        usable, taken, tried, at = bytearray(b"\1") * (n + 1), [], [], 0
-        choice = len(starts[0]) - 1
+        """Piece ids of a text whose characters all are pieces (piece 0 is none of them)."""
+        n, size, shorter, fit = len(text), self.size, self.shorter, self.fit
+        longest = [0] * n
+        for end, i in self.automaton.iter(text):  # of pieces with one start, the longest comes last
+            longest[end + 1 - size[i]] = i
+        usable, taken, at, last, i = bytearray(b"\1") * (n + 1), [], 0, 0, longest[0]
         while at < n:
-            options, last = starts[at], taken[-1] if taken else -1
-            while choice >= 0:
-                size, i = options[choice]
-                if usable[at + size] and (last < 0 or self.compatible(last, i)):
-                    break
-                choice -= 1
-            if choice >= 0:
+            while i:
+                if usable[at + size[i]]:
+                    good = not last or fit.get(last << 32 | i)
+                    if good or good is None and self.compatible(last, i):
+                        break
+                i = shorter[i]
+            if i:
                 taken.append(i)
-                tried.append((at, choice))
-                at += size
-                choice = len(starts[at]) - 1 if at < n else -1
+                at += size[i]
+                last, i = i, longest[at] if at < n else 0
             else:
                 usable[at] = 0
                 if not taken:
                     raise ValueError(f"no valid encoding of {text[:80]!r}")
-                taken.pop()
-                at, choice = tried.pop()
+                i = taken.pop()
+                at -= size[i]
+                last, i = taken[-1] if taken else 0, shorter[i]
         return taken
 
     def encode_cut(self, text: str) -> list[int]:
+        if self.characters.issuperset(text):
+            return self.backtrack(text)
         out, known = [], []
         for c in text:
-            if c in self.ids:
+            if c in self.characters:
                 known.append(c)
                 continue
             if known:
@@ -116,7 +123,7 @@ class PieceCodec:
         got = self.cold.get(cut)
         if got is None:
             ids = self.encode_cut(cut)
-            got = " ".join(map(str, ids)).encode(), self.decode_cut(ids)
+            got = b" ".join([self.decimal[i] for i in ids]), self.decode_cut(ids)
         if len(cut) <= LONGEST_REMEMBERED:
             if len(self.hot) >= REMEMBERED:
                 self.cold, self.hot = self.hot, {}
