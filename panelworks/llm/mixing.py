@@ -80,12 +80,15 @@ def split(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.nd
 
 
 def _fill(block: pd.DataFrame) -> pd.DataFrame:
-    """Of a block in permuted order, every document that still fits into the room left."""
+    """Of a block in permuted order, every document that still fits into the room left, and one more if that comes nearer."""
     block = block.sort_values(["mixed", "row"])
     left, take = block["room"].iloc[0], []
     for size in block["size"]:
         take.append(size <= left)
         left -= size if take[-1] else 0
+    over = [(size, k) for k, (size, taken) in enumerate(zip(block["size"], take, strict=True)) if not taken]
+    if over and min(over)[0] - left < left:
+        take[min(over)[1]] = True
     return block.loc[take, ["k", "block", "row", "mixed"]]
 
 
