@@ -133,12 +133,6 @@ def _prune(similarity: Similarity):
 Expand = Callable[[pa.Array], list[np.ndarray]]
 
 
-def packed_sets(bodies: pa.Array) -> list[np.ndarray]:
-    """Sets that were stored as their sorted 64-bit hashes."""
-    data, at = K.utf8(bodies)
-    return [np.frombuffer(data[at[i] : at[i + 1]], np.uint64) for i in range(len(at) - 1)]
-
-
 def _confirm(similarity: Similarity, expand: Expand):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +195,7 @@ def _across(similarity: Similarity, expand: Expand):
     return run
 
 
-def linked(hits: DataFrame, profile: Callable[[DataFrame], DataFrame], similarity: Similarity, expand: Expand = packed_sets) -> DataFrame:
+def linked(hits: DataFrame, profile: Callable[[DataFrame], DataFrame], similarity: Similarity, expand: Expand) -> DataFrame:
     """(id, label) of the items with links. ``hits``: (bucket, id) of buckets with two ids or more.
 
     ``profile`` turns a table of ids into a table (id, sig, body); ``expand`` turns

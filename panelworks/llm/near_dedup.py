@@ -90,7 +90,16 @@ def _profile(near: Near):
                 sets = shingle_sets(data, at, near.width)
                 starts = np.cumsum([0, *(len(s) for s in sets)])[:-1]
                 sigs = signatures(np.concatenate(sets), starts, near.similarity.values)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(lo, hi - lo), "sig": pa.array(packed_signatures(sigs), pa.binary()), "body": pa.array([blob(s) for s in sets], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(lo, hi - lo), "size": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array(packed_signatures(sigs), pa.binary()), "body": batch.column("text").slice(lo, hi - lo).cast(pa.binary())})
+
+    return run
+
+
+def _expand(near: Near):
+    """Sets of documents given by their texts, which take less room than their sets."""
+
+    def run(bodies: pa.Array) -> list[np.ndarray]:
+        return [s for _, _, data, at in K.chunks(bodies) for s in shingle_sets(data, at, near.width)]
 
     return run
 
@@ -111,11 +120,11 @@ def near_duplicates(documents: DataFrame, near: Near = Near()) -> DataFrame:
 
     def profile(ids: DataFrame) -> DataFrame:
         # A doc_id that several rows share may stand for several sets; the profile is of the one it represents.
-        wanted = ids.join(of_class.withColumnRenamed("rep", "id"), "id").select("id", "n_shingles")
-        texts = rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_profile(near), "id long, sig binary, body binary")
-        return texts.join(wanted, "id").where(F.octet_length("body") == F.col("n_shingles") * 8).dropDuplicates(["id"]).select("id", "sig", "body")
+        wanted = ids.join(of_class.withColumnRenamed("rep", "id"), "id").select("id", F.col("n_shingles").alias("size"))
+        texts = rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_profile(near), "id long, size long, sig binary, body binary")
+        return texts.join(wanted, ["id", "size"]).dropDuplicates(["id"]).select("id", "sig", "body")
 
-    labels = linked(shared_buckets(classes.select(F.col("rep").alias("id"), "bands")), profile, near.similarity)
+    labels = linked(shared_buckets(classes.select(F.col("rep").alias("id"), "bands")), profile, near.similarity, _expand(near))
     named = of_class.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key_a", "key_b", "n_shingles", F.coalesce("label", "rep").alias("component"))
     out = described.drop("bands").join(named, ["key_a", "key_b", "n_shingles"], "left")
     return out.select("doc_id", "twin", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
