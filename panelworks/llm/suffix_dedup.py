@@ -183,7 +183,7 @@ def _bits(spans: Spans):
         total = np.bincount(inverse, counts)
         out = []
         for level, least in ((0, 2), (1, spans.hot)):
-            spot = found[total >= least] >> np.uint64(64 - spans.sieve_bits)
+            spot = _spots(found[total >= least], spans).ravel()
             words, at = np.unique(spot >> np.uint64(6), return_inverse=True)
             bits = np.zeros(len(words), np.uint64)
             np.bitwise_or.at(bits, at, np.uint64(1) << (spot & np.uint64(63)))
@@ -193,9 +193,14 @@ def _bits(spans: Spans):
     return run
 
 
+def _spots(keys: np.ndarray, spans: Spans) -> np.ndarray:
+    """Two bits of a bitmap for each key."""
+    return np.stack([keys, K.mix(keys)]) >> np.uint64(64 - spans.sieve_bits)
+
+
 def _passes(bitmap: np.ndarray, keys: np.ndarray, spans: Spans) -> np.ndarray:
-    spot = keys >> np.uint64(64 - spans.sieve_bits)
-    return ((bitmap[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1)).astype(bool)
+    spot = _spots(keys, spans)
+    return ((bitmap[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1)).all(0)
 
 
 PIECE = [("doc", np.int64), ("twin", np.uint32), ("start", np.uint32), ("left", np.uint8), ("low", np.uint8), ("high", np.uint8), ("alone", np.uint8)]
