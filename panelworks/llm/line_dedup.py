@@ -31,7 +31,7 @@ SIEVE_BITS = 25  # a bitmap of 4 MB
 @dataclass(frozen=True)
 class Lines:
     width: int = 8  # characters in a shingle, a power of two
-    similarity: Similarity = field(default_factory=lambda: Similarity(percent=80, band_miss=1e-3))
+    similarity: Similarity = field(default_factory=lambda: Similarity(percent=80, band_miss=1e-3, verify_miss=1e-5, compared=160))
     parts_per_shuffle_partition: int = 4
     hot: int = 1000  # lines of a bucket in one task beyond which they are candidates at once
     flush: int = 1 << 19  # packed entries a task holds

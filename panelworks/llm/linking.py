@@ -38,6 +38,7 @@ class Similarity:
     band_miss: float = 1e-6  # chance that a pair at the threshold shares no band
     verify_miss: float = 1e-6  # posterior chance of similarity below which a pair is dropped unread
     batch: int = 16  # signature values compared at a time
+    compared: int = 64  # signature values to compare at least
     stars: int = 3  # rounds of leaders
     small: int = 32  # members of a bucket whose pairs are listed
     block: int = 512
@@ -48,7 +49,7 @@ class Similarity:
 
     @property
     def values(self) -> int:
-        return -(-max(self.rows * self.bands, 64) // self.batch) * self.batch
+        return -(-max(self.rows * self.bands, self.compared) // self.batch) * self.batch
 
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**32, (2, 4096), dtype=np.uint32)
@@ -133,11 +134,18 @@ def _prune(similarity: Similarity):
 Expand = Callable[[pa.Array], list[np.ndarray]]
 
 
+def _each(bodies: pa.Array, expand: Expand) -> Iterator[np.ndarray]:
+    """The set of each body; equal bodies are expanded once."""
+    coded = bodies.dictionary_encode()
+    sets = expand(coded.dictionary)
+    return (sets[k] for k in coded.indices.to_pylist())
+
+
 def _confirm(similarity: Similarity, expand: Expand):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(expand(batch.column("body_a")), expand(batch.column("body_b")), strict=True)):
+            for i, (x, y) in enumerate(zip(_each(batch.column("body_a"), expand), _each(batch.column("body_b"), expand), strict=True)):
                 if 100 * min(len(x), len(y)) >= similarity.percent * max(len(x), len(y)):
                     same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                     keep[i] = 100 * same >= similarity.percent * (len(x) + len(y) - same)
