@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; one of our own only where none is set (local tests)."""
@@ -16,6 +19,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the checkpoint folder, so a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Writes ``df`` once as a Parquet table in the checkpoint folder and reads it from there.
+
+    A lost executor costs no recomputation, the table is packed by column, and the shuffle files that led
+    to it are released as soon as it is written. Column names must differ.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)
