@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from panelworks.llm import text_kernels as K
 from panelworks.llm.learning import blob, table
+from panelworks.sources.durable import durable
 
 NAME_BITS = 21  # of a name, so that a triple fits into 64 bits
 
@@ -419,7 +420,8 @@ def repeated_ranges(rows: DataFrame, spans: Spans = Spans()) -> DataFrame:
     spark = rows.sparkSession
     parts = spans.parts_per_shuffle_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = rows.select("text").mapInArrow(_count_anchors(spans, parts), "part long, keys binary, counts binary")
-    words = counted.groupBy("part").applyInPandas(_bits(spans), "level int, word long, bits long").groupBy("level", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = counted.groupBy("part").applyInPandas(_bits(spans), "level int, word long, bits long").groupBy("level", "word").agg(F.bit_or("bits").alias("bits"))
+    words = durable(words).toArrow()  # the anchors' exchange is over and released before the pieces' begins
     bitmaps = np.zeros((2, 1 << (spans.sieve_bits - 6)), np.int64)  # of a fixed size, however much is repeated
     bitmaps[words.column("level").to_numpy(), words.column("word").to_numpy()] = words.column("bits").to_numpy()
     sieves = spark.sparkContext.broadcast(tuple(bitmaps.view(np.uint64)))
@@ -462,7 +464,8 @@ def dedup_spans(documents: DataFrame, spans: Spans = Spans(), with_text: bool =
     of characters that a cut went through; the digest is of the exact bytes.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("twin", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    ranges = repeated_ranges(rows.where("doc_id is not null"), spans).groupBy("doc_id", "twin").agg(F.collect_list("ranges").alias("ranges"))
+    found = durable(repeated_ranges(rows.where("doc_id is not null"), spans))  # likewise the pieces' before the texts'
+    ranges = found.groupBy("doc_id", "twin").agg(F.collect_list("ranges").alias("ranges"))
     joined = rows.join(ranges, ["doc_id", "twin"], "left").select("doc_id", "text", "ranges")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return joined.mapInArrow(_cut(spans, with_text), schema)
