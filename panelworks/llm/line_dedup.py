@@ -175,8 +175,8 @@ def _profile(lines: Lines, sieve):
                 use = [i for i in use if keys[i] not in seen and not seen.add(keys[i])]
                 if use:
                     flat, begin = line_shingles(data, starts[use], ends[use], keys[use], lines.width)
-                    sigs = packed_signatures(signatures(flat, begin, lines.similarity.values))
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(keys[use].view(np.int64)), "sig": pa.array(sigs, pa.binary()), "body": pa.array([blob(data[starts[i] : ends[i]]) for i in use], pa.binary())})
+                    sigs = signatures(flat, begin, lines.similarity.values)
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(keys[use].view(np.int64)), "sig": pa.array(packed_signatures(sigs), pa.binary()), "bands": pa.array([blob(b) for b in band_keys(sigs, lines.similarity)], pa.binary()), "body": pa.array([blob(data[starts[i] : ends[i]]) for i in use], pa.binary())})
 
     return run
 
@@ -218,7 +218,7 @@ def removed_lines(documents: DataFrame, lines: Lines = Lines()) -> DataFrame:
     def profile(ids: DataFrame) -> DataFrame:
         ids = durable(ids)
         sieve = spark.sparkContext.broadcast(bitmap(ids))
-        return texts.mapInArrow(_profile(lines, sieve), "id long, sig binary, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return texts.mapInArrow(_profile(lines, sieve), "id long, sig binary, bands binary, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     labels = linked(hits, profile, lines.similarity, _expand(lines)).select(F.col("id").alias("key"), "label")
     joined = firsts.join(labels, "key", "left").where("n > 1 or label is not null").select("key", "first", F.coalesce("label", "key").alias("label"))

@@ -166,16 +166,15 @@ def verified(pairs: DataFrame, profiles: DataFrame, similarity: Similarity, expa
 def _across(similarity: Similarity, expand: Expand):
     """Group: of the pairs across components of two blocks of a bucket, verified links that unite components.
 
-    A pair that shares several bands is looked at by the first of them only.
+    A pair that shares several bands is looked at by the first of them only, as told by the full
+    keys of the bands: the bytes of the signatures may agree in a band whose bucket is not shared.
     """
 
-    def bands(signature: np.ndarray) -> np.ndarray:
-        return signature[..., : similarity.rows * similarity.bands].reshape(*signature.shape[:-1], similarity.bands, similarity.rows)
-
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first, second = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
         left, right = group[group["own"] == first], group[group["own"] == second]
         xs, ys = (np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, similarity.values) for g in (left, right))
+        x_bands, y_bands = (np.frombuffer(b"".join(g["bands"]), np.int64).reshape(-1, similarity.bands) for g in (left, right))
         x_sets, y_sets = (expand(pa.array(g["body"], pa.binary())) for g in (left, right))
         x_id, y_id = left["id"].to_numpy(), right["id"].to_numpy()
         names, place = np.unique(np.concatenate([left["label"], right["label"]]), return_inverse=True)
@@ -188,7 +187,7 @@ def _across(similarity: Similarity, expand: Expand):
             at = np.flatnonzero(other)
             if len(at):
                 at = at[may_be_similar(np.broadcast_to(xs[i], (len(at), similarity.values)), ys[at], similarity)]
-                at = at[(bands(ys[at]) == bands(xs[i])).all(2).argmax(1) == band]
+                at = at[~(y_bands[at, :band] == x_bands[i, :band]).any(1)]
             if not len(at):
                 continue
             sizes = np.array([len(y_sets[j]) for j in at])
@@ -206,8 +205,8 @@ def _across(similarity: Similarity, expand: Expand):
 def linked(hits: DataFrame, profile: Callable[[DataFrame], DataFrame], similarity: Similarity, expand: Expand) -> DataFrame:
     """(id, label) of the items with links. ``hits``: (bucket, id) of buckets with two ids or more.
 
-    ``profile`` turns a table of ids into a table (id, sig, body); ``expand`` turns
-    bodies into sorted sets of 64-bit hashes.
+    ``profile`` turns a table of ids into a table (id, sig, bands, body), bands being the packed
+    ``band_keys``; ``expand`` turns bodies into sorted sets of 64-bit hashes.
     """
     hits = durable(hits.select("bucket", "id"))
     profiles = durable(profile(hits.select("id").distinct()))

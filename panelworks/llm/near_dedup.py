@@ -90,7 +90,7 @@ def _profile(near: Near):
                 sets = shingle_sets(data, at, near.width)
                 starts = np.cumsum([0, *(len(s) for s in sets)])[:-1]
                 sigs = signatures(np.concatenate(sets), starts, near.similarity.values)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(lo, hi - lo), "size": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array(packed_signatures(sigs), pa.binary()), "body": batch.column("text").slice(lo, hi - lo).cast(pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(lo, hi - lo), "size": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array(packed_signatures(sigs), pa.binary()), "bands": pa.array([blob(b) for b in band_keys(sigs, near.similarity)], pa.binary()), "body": batch.column("text").slice(lo, hi - lo).cast(pa.binary())})
 
     return run
 
@@ -121,8 +121,8 @@ def near_duplicates(documents: DataFrame, near: Near = Near()) -> DataFrame:
     def profile(ids: DataFrame) -> DataFrame:
         # A doc_id that several rows share may stand for several sets; the profile is of the one it represents.
         wanted = ids.join(of_class.withColumnRenamed("rep", "id"), "id").select("id", F.col("n_shingles").alias("size"))
-        texts = rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_profile(near), "id long, size long, sig binary, body binary")
-        return texts.join(wanted, ["id", "size"]).dropDuplicates(["id"]).select("id", "sig", "body")
+        texts = rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_profile(near), "id long, size long, sig binary, bands binary, body binary")
+        return texts.join(wanted, ["id", "size"]).dropDuplicates(["id"]).select("id", "sig", "bands", "body")
 
     labels = linked(shared_buckets(classes.select(F.col("rep").alias("id"), "bands")), profile, near.similarity, _expand(near))
     named = of_class.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key_a", "key_b", "n_shingles", F.coalesce("label", "rep").alias("component"))

@@ -265,6 +265,30 @@ def test_pruning_keeps_similar_pairs():
     assert tail < s.verify_miss <= tail + math.comb(n + 1, int(least[n])) * 0.8 ** least[n] * 0.2 ** (n + 1 - least[n])
 
 
+def test_bytes_that_agree_by_chance_hide_no_pair():
+    rng, near = random.Random(2), near_dedup.Near(width=3, similarity=linking.Similarity(percent=85))
+    pairs = []
+    for _ in range(2500):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        other = [*base[:20], f"v{rng.randrange(5000)}", *base[21:]]
+        pairs.append((" ".join(base), " ".join(other)))
+    batch = text_kernels.pa.RecordBatch.from_pydict({"id": list(range(5000)), "text": [t for p in pairs for t in p]})
+    rows = text_kernels.pa.Table.from_batches(near_dedup._profile(near)(iter([batch]))).to_pandas().sort_values("id", ignore_index=True)
+    sets = near_dedup._expand(near)(text_kernels.pa.array(rows["body"], text_kernels.pa.binary()))
+    s = near.similarity
+    values = linking.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1], s.values)
+    keys, low = linking.band_keys(values, s), values.astype(np.uint8)[:, : s.rows * s.bands].reshape(-1, s.bands, s.rows)
+    shared = keys[::2] == keys[1::2]
+    early = (low[::2] == low[1::2]).all(2).argmax(1) < shared.argmax(1)
+    hard = np.flatnonzero(early & shared.any(1))
+    assert len(hard)
+    across = linking._across(s, near_dedup._expand(near))
+    for k in hard:
+        pair = rows.iloc[[2 * k, 2 * k + 1]].assign(lo=0, hi=0, own=0, label=[2 * k, 2 * k + 1])
+        found = [len(across(pair.assign(bucket=keys[2 * k, b]))) for b in np.flatnonzero(shared[k])]
+        assert found == [1] + [0] * (len(found) - 1)
+
+
 # 8
 
 
