@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
-Documents are sets of word shingles. Documents with equal sets are one class, represented by the
-smallest doc_id. Representatives are banded; candidates are compared by batches of their signatures
+Documents are sets of word shingles. Documents with equal sets are one class, known by a hash of the
+set. Classes are banded; candidates are compared by batches of their signatures
 and dropped as soon as the posterior chance of reaching the threshold is below the chosen miss
 probability; survivors are confirmed on their full sets (see ``linking``).
 """
@@ -90,7 +90,7 @@ def _profile(near: Near):
                 sets = shingle_sets(data, at, near.width)
                 starts = np.cumsum([0, *(len(s) for s in sets)])[:-1]
                 sigs = signatures(np.concatenate(sets), starts, near.similarity.values)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(lo, hi - lo), "size": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array(packed_signatures(sigs), pa.binary()), "bands": pa.array([blob(b) for b in band_keys(sigs, near.similarity)], pa.binary()), "body": batch.column("text").slice(lo, hi - lo).cast(pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(lo, hi - lo), "sig": pa.array(packed_signatures(sigs), pa.binary()), "bands": pa.array([blob(b) for b in band_keys(sigs, near.similarity)], pa.binary()), "body": batch.column("text").slice(lo, hi - lo).cast(pa.binary())})
 
     return run
 
@@ -110,23 +110,25 @@ def near_duplicates(documents: DataFrame, near: Near = Near()) -> DataFrame:
     component_id is the smallest doc_id reachable over links between similar sets, kept whether it
     is the row's own. Texts that are null or without words have no shingles and are linked with
     nothing. Rows that repeat a doc_id are described one by one and share components as their texts
-    do. Rows without a doc_id have no component and are kept.
+    do. Rows without a doc_id have no component and are kept. Classes have 64-bit ids, so among N
+    different sets about N**2 / 2**65 pairs are taken for equal by mistake.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = durable(rows.withColumn("twin", F.xxhash64("text")).mapInArrow(_describe(near), "doc_id long, twin long, n_shingles long, key_a long, key_b long, bands binary"))
-    classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = durable(classes)
-    of_class = classes.select("key_a", "key_b", "n_shingles", "rep")
+    set_key = ["key_a", "key_b", "n_shingles"]
+    classes = described.where("n_shingles > 0 and doc_id is not null").groupBy(*set_key).agg(F.min(F.struct("doc_id", "twin")).alias("rep"), F.first("bands").alias("bands"))
+    classes = durable(classes.select(F.xxhash64(*set_key).alias("id"), *set_key, F.col("rep.doc_id").alias("rep"), F.col("rep.twin").alias("rep_twin"), "bands"))
 
     def profile(ids: DataFrame) -> DataFrame:
-        # A doc_id that several rows share may stand for several sets; the profile is of the one it represents.
-        wanted = ids.join(of_class.withColumnRenamed("rep", "id"), "id").select("id", F.col("n_shingles").alias("size"))
-        texts = rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_profile(near), "id long, size long, sig binary, bands binary, body binary")
-        return texts.join(wanted, ["id", "size"]).dropDuplicates(["id"]).select("id", "sig", "bands", "body")
-
-    labels = linked(shared_buckets(classes.select(F.col("rep").alias("id"), "bands")), profile, near.similarity, _expand(near))
-    named = of_class.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key_a", "key_b", "n_shingles", F.coalesce("label", "rep").alias("component"))
-    out = described.drop("bands").join(named, ["key_a", "key_b", "n_shingles"], "left")
+        wanted = classes.join(ids, "id", "left_semi").select("id", F.col("rep").alias("doc_id"), F.col("rep_twin").alias("twin"))
+        texts = rows.withColumn("twin", F.xxhash64("text")).join(wanted, ["doc_id", "twin"]).select("id", "text")
+        return texts.mapInArrow(_profile(near), "id long, sig binary, bands binary, body binary").dropDuplicates(["id"])
+
+    labels = linked(shared_buckets(classes.select("id", "bands")), profile, near.similarity, _expand(near))
+    labelled = classes.join(labels, "id", "left").select(*set_key, "rep", "label")
+    least = labelled.where("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
+    named = labelled.join(least, "label", "left").select(*set_key, F.coalesce("least", "rep").alias("component"))
+    out = described.drop("bands").join(named, set_key, "left")
     return out.select("doc_id", "twin", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

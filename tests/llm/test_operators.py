@@ -251,6 +251,14 @@ def test_near_dedup_on_documents_and_edges(spark, sf, edges, nothing):
     assert near_dedup.keep_one(nothing).count() == 0
 
 
+def test_near_dedup_follows_every_text_of_a_repeated_id(spark):
+    rng = random.Random(6)
+    a, b = ([f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(2))
+    rows = [(1, a), (1, b), (2, [*a, "x"]), (3, [*b, "y"]), (4, [*b, "y", "z"])]
+    got = near_dedup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert len(got) == 5 and {r.component_id for r in got} == {1}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7), (None, 3)], "a long, b long").repartition(7)
     got = {r.id: r.label for r in components(links).collect()}
