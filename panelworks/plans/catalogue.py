@@ -305,12 +305,16 @@ def nearest_bucket(spark, d):
     return tidy(evaluation.nearest_bucket(scored_docs(spark, d), buckets), "doc_id", "p", "bucket")
 
 
+def _vectors(spark, d):
+    return scan(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 x AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_distance(q.v, p.v), 6) AS dist FROM v q JOIN v p ON q.vec_id % 10 = 0 AND p.vec_id % 10 <> 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank, id, dist + 0.0 AS dist FROM x QUALIFY rank <= 5""")
 def knn_cross(spark, d):
-    v = scan(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return tidy(neighbours.knn_cross(v.where("id % 10 = 0"), v.where("id % 10 <> 0"), 5))
+    v = _vectors(spark, d)
+    return tidy(neighbours.knn_sharded(v.where("id % 10 = 0"), v.where("id % 10 <> 0"), 5, digits=6))
 
 
 _SELF = """

@@ -132,6 +132,24 @@ def test_knn_cross_refuses_an_unbounded_pool(spark, monkeypatch):
         neighbours.knn_cross(df, df, 1)
 
 
+def test_knn_query_takes_a_pool_of_any_size(spark, monkeypatch):
+    from panelworks.plans import catalogue
+
+    monkeypatch.setattr(neighbours, "POOL", 3)
+    assert catalogue.QUERIES["knn_cross"](spark, "/root/testdata/sf0.001").count() == 250
+
+
+def test_knn_sharded_against_all_distances(spark):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(90, 3)), 1)
+    v[20:60] = v[20]  # many ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(500, None), (None, v[0].tolist())], "id long, v array<double>")
+    got = {}
+    for r in neighbours.knn_sharded(df.where("id % 5 = 0"), df, 4, shard_rows=16, block_queries=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {q: sorted((i for i in range(90) if i != q), key=lambda i: (round(float(np.sqrt(((v[i] - v[q]) ** 2).sum())), 9), i))[:4] for q in range(0, 90, 5)}
+
+
 def test_auc_of_one_class_is_missing(spark):
     df = spark.createDataFrame([(0.1, 1), (0.2, 1)], "p double, y int")
     assert evaluation.roc_auc(df).first().auc is None
