@@ -233,6 +233,17 @@ def asof_features(spark, d):
     return tidy(panel_features.asof_join(p, right))
 
 
+@query("""WITH l AS (SELECT CAST(o_orderdate AS DATE) AS ts, o_custkey AS symbol, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL),
+r AS (SELECT CAST(l_shipdate AS DATE) AS ts, o_custkey AS symbol, sum(l_quantity)::DOUBLE AS feature FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT l.ts, l.symbol, l.value + 0.0 AS value, r.ts AS ts_matched, r.feature FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.ts >= r.ts""")
+def asof_shipments(spark, d):
+    """The as-of join over whole tables: each customer's day of orders with their last day of shipments."""
+    orders = scan(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").withColumn("symbol", F.col("o_custkey"))
+    left = orders.groupBy(F.to_date("o_orderdate").alias("ts"), "symbol").agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    items = scan(spark, d, "lineitem", "l_orderkey", "l_shipdate", "l_quantity").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return tidy(panel_features.asof_join(left, items.groupBy(F.to_date("l_shipdate").alias("ts"), "symbol").agg(F.sum("l_quantity").cast("double").alias("feature"))))
+
+
 _BENCH = "bench AS (SELECT ts, close, row_number() OVER (ORDER BY ts) AS i FROM bars WHERE symbol = 'Brand#11'), tr3 AS (SELECT *, CASE ft WHEN 1 THEN 2 WHEN -1 THEN 3 ELSE 5 END AS hold FROM ranked WHERE rk <= 3)"
 _HEDGED = f"SELECT t.ts, t.symbol, t.rk, {r('e.close / s.close - 1=>bench', 't.net - (e.close / s.close - 1) - 0.0003=>hedged')} FROM tr3 t LEFT JOIN bench s ON t.ts = s.ts LEFT JOIN bench e ON e.i = s.i + t.hold"
 
@@ -317,6 +328,15 @@ def knn_cross(spark, d):
     return tidy(neighbours.knn_sharded(v.where("id % 10 = 0"), v.where("id % 10 <> 0"), 5, digits=6))
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+x AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_distance(q.v, p.v), 6) AS dist FROM v q JOIN v p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank, id, dist + 0.0 AS dist FROM x QUALIFY rank <= 5""")
+def knn_all(spark, d):
+    """Ids divisible by 100 against every row but the query's own."""
+    v = _vectors(spark, d)
+    return tidy(neighbours.knn_sharded(v.where("id % 100 = 0"), v, 5, digits=6))
+
+
 _SELF = """
 zz AS (SELECT s.ts, symbol, sidx, exit_ret, rank() OVER (PARTITION BY s.ts ORDER BY p_raw) * 1.0 / 25 - 0.5 AS za, rank() OVER (PARTITION BY s.ts ORDER BY p_short) * 1.0 / 25 - 0.5 AS zb FROM scores s JOIN axis USING (ts)),
 ct AS (SELECT date_trunc('month', ts) AS month, min(sidx) - 6 AS cut FROM zz GROUP BY 1),
