@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelworks.llm import text_kernels as K
@@ -39,12 +39,18 @@ class Plan:
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, at in K.chunks(batch.column("text")):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "source": batch.column("source").slice(lo, hi - lo), "size": pa.array(np.diff(K.word_spans(data, at)[2]).astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "key": batch.column("key").slice(lo, hi - lo), "source": batch.column("source").slice(lo, hi - lo), "size": pa.array(np.diff(K.word_spans(data, at)[2]).astype(np.int64))})
+
+
+def row_key(doc: Column, text: Column, source: Column) -> Column:
+    """What a row is known by, with or without a doc_id; rows equal in all three have the same."""
+    return F.xxhash64(doc.cast("long"), text, source, text.isNull())
 
 
 def word_sizes(documents: DataFrame) -> DataFrame:
-    """doc_id, source and number of words of each row; texts go no further."""
-    return documents.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long")
+    """doc_id, key (see ``row_key``), source and number of words of each row; texts go no further."""
+    keyed = documents.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), F.col("text"), F.col("source")).alias("key"), "source", "text")
+    return keyed.mapInArrow(_sizes, "doc_id long, key long, source string, size long")
 
 
 def targets(sizes: list[int], plan: Plan = Plan()) -> list[float]:
@@ -93,7 +99,7 @@ def _fill(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def draw(documents: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
-    """Sizes (doc_id, row, source, size, source_size, target) and draws (row, copy, shard, place).
+    """Sizes (doc_id, key, row, source, size, source_size, target) and draws (row, copy, shard, place).
 
     ``row`` tells rows apart that share a doc_id. Per source, of which there are few, one row of
     sums comes to the driver; per document or block nothing does.
@@ -147,25 +153,26 @@ def draw(documents: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, DataFram
     handed = spark.range(shards).mapInPandas(hand_out, "k int, slot long, shard long")
     slotted = taken.join(F.broadcast(facts.select("k", "n_blocks")), "k").withColumn("slot", (F.col("copy") - 1) * F.col("n_blocks") + F.col("block"))
     drawn = slotted.join(handed, ["k", "slot"], "left").select("row", "copy", F.coalesce("shard", F.lit(0)).alias("shard"), F.xxhash64("mixed", "row", "copy", "shard").alias("place"))
-    return sized.select("doc_id", "row", "source", "size", "source_size", "target"), drawn
+    return sized.select("doc_id", "key", "row", "source", "size", "source_size", "target"), drawn
 
 
 def mix(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """The mix: rows of ``documents`` as often as drawn, with ``mix_shard`` and ``mix_place``, each shard in its random order.
 
-    Texts are joined to the numbers of their draws by doc_id. Rows that share a doc_id share their
-    draws, which are dealt out among them in turn. Rows without a doc_id are not drawn.
+    Texts are joined to the numbers of their draws by a hash of doc_id, text and source, which rows
+    without a doc_id have too. Rows that share it, thus equal in these, are matched in turn.
     """
     names = documents.columns
     spine = documents.toDF(*[f"c{k}" for k in range(len(names))])
     doc, text, source = (F.col(f"c{names.index(n)}") for n in ("doc_id", "text", "source"))
     sizes, drawn = draw(documents, plan)
-    per_row = drawn.join(sizes.select("row", F.col("doc_id").alias("_id")), "row").groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("row", "copy", "shard", "place"))).alias("_draws"))
-    repeated = sizes.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_of")).where("_of > 1")
-    numbered = spine.withColumn("_id", doc.cast("long")).join(per_row, "_id").join(repeated, "_id", "left").withColumn("_of", F.coalesce("_of", F.lit(1)))
-    turns = Window.partitionBy("_id").orderBy(F.xxhash64(text, source), text)
-    turned = numbered.where("_of > 1").withColumn("_turn", F.row_number().over(turns) - 1).unionByName(numbered.where("_of = 1").withColumn("_turn", F.lit(0)))
-    dealt = turned.withColumn("_draw", F.explode(F.filter("_draws", lambda x, i: F.pmod(i, F.col("_of")) == F.col("_turn"))))
+    same = Window.partitionBy("_key")
+    listed = sizes.select(F.col("key").alias("_key"), "row").withColumns({"_of": F.count("*").over(same), "_turn": F.row_number().over(same.orderBy("row"))})
+    per_row = listed.join(drawn.groupBy("row").agg(F.collect_list(F.struct("copy", "shard", "place")).alias("_draws")), "row").drop("row")
+    keyed = spine.withColumn("_key", row_key(doc, text, source))
+    single = keyed.join(per_row.where("_of = 1").drop("_of", "_turn"), "_key")
+    repeated = keyed.join(listed.where("_of > 1 and _turn = 1").select("_key"), "_key", "left_semi").withColumn("_turn", F.row_number().over(same.orderBy(text)))
+    dealt = single.unionByName(repeated.join(per_row.where("_of > 1").drop("_of"), ["_key", "_turn"]).drop("_turn")).withColumn("_draw", F.explode("_draws"))
     out = dealt.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], F.col("_draw.shard").alias("mix_shard"), F.col("_draw.place").alias("mix_place"))
     return out.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place")
 

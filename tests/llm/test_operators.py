@@ -215,6 +215,17 @@ def test_mixing_meets_targets(spark, sf, edges, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mix_holds_every_draw(spark):
+    words = lambda k: " ".join(["w"] * (k % 9 + 1)) + f" {k}"
+    rows = [(k if k % 3 else None, words(k), "a") for k in range(60)] + [(7, words(90), "a"), (None, "x y", None), (None, "x y", None), (5, words(5), "a"), (None, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sizes, drawn = mixing.draw(df)
+    want = drawn.join(sizes, "row").groupBy("doc_id", "source", "size").count().collect()
+    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", " "))).cast("long")
+    got = mixing.mix(df).withColumn("size", size).groupBy("doc_id", "source", "size").count().collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and any(r.doc_id is None for r in want)
+
+
 # 7
 
 
