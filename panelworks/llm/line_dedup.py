@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from panelworks.llm import text_kernels as K
 from panelworks.llm.learning import blob, table
-from panelworks.llm.linking import Similarity, band_keys, linked, packed_signatures, signatures
+from panelworks.llm.linking import Similarity, band_keys, linked, signatures
 from panelworks.sources.durable import durable
 
 CHUNK = K.CHUNK // 8  # arrays over a chunk stay in a core's cache
@@ -31,10 +31,11 @@ SIEVE_BITS = 25  # a bitmap of 4 MB
 @dataclass(frozen=True)
 class Lines:
     width: int = 8  # characters in a shingle, a power of two
-    similarity: Similarity = field(default_factory=lambda: Similarity(percent=80, band_miss=1e-3, verify_miss=1e-5, compared=160))
+    similarity: Similarity = field(default_factory=lambda: Similarity(percent=80, band_miss=1e-3, verify_miss=None))
     parts_per_shuffle_partition: int = 4
     hot: int = 1000  # lines of a bucket in one task beyond which they are candidates at once
     flush: int = 1 << 19  # packed entries a task holds
+    remembered: int = 1 << 17  # lines a task has sent that it still knows
 
 
 def line_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,6 +133,8 @@ def _pack(lines: Lines, parts: int):
                 starts, ends, _, keys = solid_lines(data, at)
                 if not len(keys):
                     continue
+                keys, own = np.unique(keys, return_index=True)
+                starts, ends = starts[own], ends[own]
                 flat, begin = line_shingles(data, starts, ends, keys, lines.width)
                 bands = band_keys(signatures(flat, begin, lines.similarity.rows * lines.similarity.bands), lines.similarity)
                 held.append((bands.view(np.uint64).ravel(), np.repeat(keys, bands.shape[1])))
@@ -163,7 +166,7 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _profile(lines: Lines, sieve):
-    """Task: key, signature and content of each line whose key passes the sieve, once a task."""
+    """Task: key, band keys and content of each line whose key passes the sieve; repeats soon after are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = sieve.value, set()
@@ -173,10 +176,12 @@ def _profile(lines: Lines, sieve):
                 spot = keys >> np.uint64(64 - SIEVE_BITS)
                 use = np.flatnonzero((bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1))
                 use = [i for i in use if keys[i] not in seen and not seen.add(keys[i])]
+                if len(seen) > lines.remembered:
+                    seen.clear()
                 if use:
                     flat, begin = line_shingles(data, starts[use], ends[use], keys[use], lines.width)
-                    sigs = signatures(flat, begin, lines.similarity.values)
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(keys[use].view(np.int64)), "sig": pa.array(packed_signatures(sigs), pa.binary()), "bands": pa.array([blob(b) for b in band_keys(sigs, lines.similarity)], pa.binary()), "body": pa.array([blob(data[starts[i] : ends[i]]) for i in use], pa.binary())})
+                    bands = band_keys(signatures(flat, begin, lines.similarity.rows * lines.similarity.bands), lines.similarity)
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(keys[use].view(np.int64)), "bands": pa.array([blob(b) for b in bands], pa.binary()), "body": pa.array([blob(data[starts[i] : ends[i]]) for i in use], pa.binary())})
 
     return run
 
@@ -210,23 +215,22 @@ def removed_lines(documents: DataFrame, lines: Lines = Lines()) -> DataFrame:
     spark = documents.sparkSession
     documents = documents.where("doc_id is not null and text is not null")
     listed = durable(documents.mapInArrow(_list_lines, "key long, doc_id long, twin long, line long"))
-    firsts = listed.groupBy("key").agg(F.min(F.struct("doc_id", "twin", "line")).alias("first"), F.count("*").alias("n"))
     parts = lines.parts_per_shuffle_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.select("text")
-    hits = texts.mapInArrow(_pack(lines, parts), "part long, ready boolean, entries binary").groupBy("part").applyInPandas(_shared, "bucket long, id long")
+    hits = texts.mapInArrow(_pack(lines, parts), "part long, ready boolean, entries binary").groupBy("part").applyInPandas(_shared, "bucket long, id long").distinct()
 
     def profile(ids: DataFrame) -> DataFrame:
         ids = durable(ids)
         sieve = spark.sparkContext.broadcast(bitmap(ids))
-        return texts.mapInArrow(_profile(lines, sieve), "id long, sig binary, bands binary, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return texts.mapInArrow(_profile(lines, sieve), "id long, bands binary, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     labels = linked(hits, profile, lines.similarity, _expand(lines)).select(F.col("id").alias("key"), "label")
-    joined = firsts.join(labels, "key", "left").where("n > 1 or label is not null").select("key", "first", F.coalesce("label", "key").alias("label"))
-    joined = durable(joined)
-    kept = joined.groupBy("label").agg(F.min("first").alias("kept"))
-    decided = joined.join(kept, "label").select("key", "kept")
-    gone = listed.join(decided, "key").where("struct(doc_id, twin, line) <> kept")
-    return gone.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    counts = listed.groupBy("key").agg(F.count("*").alias("n"))
+    met = counts.join(labels, "key", "left").where("n > 1 or label is not null").select("key", F.coalesce("label", "key").alias("label"))
+    places = durable(listed.join(met, "key").select("label", F.struct("doc_id", "twin", "line").alias("place")))
+    kept = places.groupBy("label").agg(F.min("place").alias("kept"))
+    gone = places.join(kept, "label").where("place <> kept")
+    return gone.groupBy("place.doc_id", "place.twin").agg(F.sort_array(F.collect_set("place.line")).alias("removed"))
 
 
 def _cut(text_at: int, chars_at: int | None, names: list[str]):
