@@ -1,15 +1,16 @@
 """Connected components of a link table by distributed union-find.
 
-Each partition first unites its own links into a forest, which leaves few of them; alternating star
-contractions (large star, small star) then join the forests. Nothing of it passes through the driver
-but two sums that tell whether a round changed anything.
+Links point from the larger id to the smaller. Each task first unites its own links into stars, which
+leaves few of them and no id with many parents. Then rounds: all parents of an id meet in one
+partition, which unites what it holds; after that every id jumps to its parent's parent by a join,
+whose hot side Spark can split. Nothing of it passes through the driver but two sums that tell
+whether a round changed anything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,48 +18,45 @@ from pyspark.sql import functions as F
 from panelworks.sources.durable import durable
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: the links of the batches as stars around the smallest member of each local component."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: the links of its partition as stars around the smallest member of each local component."""
+    parent: dict[int, int] = {}
 
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
+    for batch in batches:
         for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        stars = [(x, root(x)) for x in parent if root(x) != x]
+    ends = list(parent)
+    for k in range(0, len(ends), 1 << 16):
+        stars = [(x, r) for x in ends[k : k + (1 << 16)] if (r := root(x)) != x]
         yield pa.RecordBatch.from_pydict({"u": pa.array([s[0] for s in stars], pa.int64()), "v": pa.array([s[1] for s in stars], pa.int64())})
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, settle: bool = True) -> DataFrame:
     """(id, label) for every id in ``links`` (a, b: long): label is the smallest id that is reachable.
 
-    Null ends and links of an id with itself count for nothing; an empty table gives an empty result.
+    Without ``settle`` it stops after ``rounds``: ids with the same label are connected, but a
+    component may still have several labels. Null ends and links of an id with itself count for
+    nothing; an empty table gives an empty result.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b")
-    edges = durable(edges.mapInArrow(_forest, "u long, v long").distinct())
-    state = None
+    edges, state = edges.mapInArrow(_unite, "u long, v long"), None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u")
-        small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = durable(small.distinct())
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
+        met = durable(edges.repartition("u").mapInArrow(_unite, "u long, v long"))
+        up = met.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("w"))
+        edges = durable(met.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v")))
+        if settle:
+            seen = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if seen == state:
+                break
+            state = seen
     else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label"))).distinct()
-
-
-def as_array(values, kind=np.int64) -> np.ndarray:
-    return np.asarray(values, kind)
+        if settle:
+            raise RuntimeError("components did not settle")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))

@@ -226,7 +226,7 @@ def removed_lines(documents: DataFrame, lines: Lines = Lines()) -> DataFrame:
 
     labels = linked(hits, profile, lines.similarity, _expand(lines)).select(F.col("id").alias("key"), "label")
     counts = listed.groupBy("key").agg(F.count("*").alias("n"))
-    met = counts.join(labels, "key", "left").where("n > 1 or label is not null").select("key", F.coalesce("label", "key").alias("label"))
+    met = durable(counts.join(labels, "key", "left").where("n > 1 or label is not null").select("key", F.coalesce("label", "key").alias("label")))
     places = durable(listed.join(met, "key").select("label", F.struct("doc_id", "twin", "line").alias("place")))
     kept = places.groupBy("label").agg(F.min("place").alias("kept"))
     gone = places.join(kept, "label").where("place <> kept")

@@ -42,7 +42,7 @@ class Similarity:
     verify_miss: float | None = 1e-6  # posterior chance of similarity below which a pair is dropped unread; None: all pairs are read
     batch: int = 16  # signature values compared at a time
     compared: int = 64  # signature values to compare at least
-    stars: int = 3  # rounds of leaders at most
+    stars: int = 2  # rounds of leaders at most
     small: int = 512  # members of a bucket that is compared in one piece
     block: int = 512  # members of larger buckets in one block
     block_bytes: int = 8 << 20  # bytes of bodies in one piece or block
@@ -277,32 +277,36 @@ def linked(hits: DataFrame, profile: Callable[[DataFrame], DataFrame], similarit
     hits = durable(hits.select("bucket", "id"))
     profiles = durable(profile(hits.select("id").distinct()))
     links = durable(verified(_star(hits.withColumn("label", F.col("id")), 0), profiles, similarity, expand))
+    sizes = profiles.select("id", F.octet_length("body").cast("long").alias("bytes"))
     for k in range(1, similarity.stars + 1):
-        held = hits.join(durable(components(links)), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        open_ = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high and n > 3").select("bucket", "n")
-        rest = durable(held.join(open_, "bucket"))
-        large = rest.where(F.col("n") > similarity.small)
-        if k == similarity.stars or large.isEmpty():
+        labelled = sizes.join(components(links, 1, settle=False), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "bytes")
+        held = hits.join(durable(labelled), "id")
+        open_ = held.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high and n > 3").select("bucket", "n", "total")
+        rest = durable(held.join(open_, "bucket").withColumn("large", (F.col("n") > similarity.small) | (F.col("total") > similarity.block_bytes)))
+        large = rest.where("large")
+        wide = _tops(large).where(F.col("n") - F.col("m") > similarity.block)  # more than a block of members outside the largest component
+        if k == similarity.stars or wide.isEmpty():
             break
-        links = durable(links.unionByName(verified(_star(large.select("bucket", "id", "label"), k), profiles, similarity, expand)))
-    rest = rest.join(profiles.select("id", F.octet_length("body").alias("bytes")), "id")
-    weighed = rest.groupBy("bucket").agg(F.sum("bytes").alias("total"))
-    rest = durable(rest.join(weighed, "bucket").withColumn("large", (F.col("n") > similarity.small) | (F.col("total") > similarity.block_bytes)))
+        links = durable(links.unionByName(verified(_star(large.join(wide.select("bucket"), "bucket", "left_semi").select("bucket", "id", "label"), k), profiles, similarity, expand)))
     few = rest.where("not large")
     load = few.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     packs = max(1, -(-load[0] // (2 * similarity.small)), -(-load[1] // similarity.block_bytes))
     packed = few.select(F.pmod(F.xxhash64("bucket"), F.lit(packs)).alias("pack"), F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"), F.lit(0).cast("long").alias("own"), "bucket", "id", "label")
-    groups = packed.unionByName(_blocks(rest.where("large"), similarity)).join(profiles, "id")
+    groups = packed.unionByName(_blocks(large, similarity)).join(profiles, "id")
     across = groups.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack", "lo", "hi").groupBy("pack", "lo", "hi").applyInPandas(_across(similarity, expand), "a long, b long")
     return components(durable(links.unionByName(across)))
 
 
+def _tops(large: DataFrame) -> DataFrame:
+    """(bucket, n, top, m): the bucket's members, its largest component and that one's members."""
+    counts = large.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+    return counts.groupBy("bucket").agg(F.first("n").alias("n"), F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("m"))
+
+
 def _blocks(large: DataFrame, similarity: Similarity) -> DataFrame:
     """The members of large buckets, once for each pair of blocks that has to be compared."""
-    counts = large.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-    tops = counts.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("m"))
     share = lambda n: F.ceil(F.greatest(n / F.lit(similarity.block), n / F.col("n") * F.col("total") / F.lit(similarity.block_bytes)))
-    sided = large.join(tops, "bucket").withColumn("tops", share(F.col("m"))).withColumn("others", share(F.col("n") - F.col("m")))
+    sided = large.join(_tops(large).drop("n"), "bucket").withColumn("tops", share(F.col("m"))).withColumn("others", share(F.col("n") - F.col("m")))
     inside = F.col("label") == F.col("top")
     sided = sided.withColumn("own", F.when(inside, F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.col("tops") + F.pmod(F.xxhash64("id"), F.col("others"))))
     sided = sided.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("tops")).otherwise(F.lit(0).cast("long")), F.col("tops") + F.col("others") - 1)))
