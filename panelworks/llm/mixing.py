@@ -1,12 +1,14 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Sizes are words. Each source's target is reached in units of *blocks*: small groups of documents
-that a hash permutes. Whole passes take every block once; of the rest, the first blocks in permuted
-order are taken up to the target, and of the block at the border the first documents. A splitting
-tree over the output shards then hands out exact quotas: at each node the blocks of all sources
-that its shards get are split between left and right by a multivariate hypergeometric draw, whose
-seed is the node's place, so any task can walk down to any shard alone. A shard's blocks of a source
-are a run of that source's permuted order, thus disjoint from all others; each shard is shuffled locally.
+that a hash permutes. A source's quota is a number of blocks: its whole passes take every block
+once, the last pass the first blocks in permuted order up to the target, and of the block at the
+border the documents that fit. A splitting tree over the output shards hands the quotas out: at each
+node the blocks of all sources that its shards get are split between left and right by a
+multivariate hypergeometric draw, whose seed is the node's place, so any task can walk down to any
+shard alone. A shard's blocks of a source are a run of that source's permuted order, thus disjoint
+from all others; each shard is shuffled locally. Documents are in the mix only through a block that
+a shard was handed, and a block of a quota that no shard got is an error.
 """
 
 from __future__ import annotations
@@ -152,12 +154,15 @@ def draw(documents: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, DataFram
 
     handed = spark.range(shards).mapInPandas(hand_out, "k int, slot long, shard long")
     slotted = taken.join(F.broadcast(facts.select("k", "n_blocks")), "k").withColumn("slot", (F.col("copy") - 1) * F.col("n_blocks") + F.col("block"))
-    drawn = slotted.join(handed, ["k", "slot"], "left").select("row", "copy", F.coalesce("shard", F.lit(0)).alias("shard"), F.xxhash64("mixed", "row", "copy", "shard").alias("place"))
+    lost = F.raise_error(F.lit("a block of a quota was handed to no shard")).cast("long")
+    drawn = slotted.join(handed, ["k", "slot"], "left").select("row", "copy", F.coalesce("shard", lost).alias("shard"), F.xxhash64("mixed", "row", "copy", "shard").alias("place"))
     return sized.select("doc_id", "key", "row", "source", "size", "source_size", "target"), drawn
 
 
-def mix(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """The mix: rows of ``documents`` as often as drawn, with ``mix_shard`` and ``mix_place``, each shard in its random order.
+def mix(documents: DataFrame, plan: Plan = Plan(), places: bool = True) -> DataFrame:
+    """The mix: rows of ``documents`` as often as drawn, with ``mix_shard`` and ``mix_place`` unless ``places`` is false.
+
+    Each shard is in one partition and in its random order.
 
     Texts are joined to the numbers of their draws by a hash of doc_id, text and source, which rows
     without a doc_id have too. Rows that share it, thus equal in these, are matched in turn.
@@ -173,12 +178,17 @@ def mix(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     single = keyed.join(per_row.where("_of = 1").drop("_of", "_turn"), "_key")
     repeated = keyed.join(listed.where("_of > 1 and _turn = 1").select("_key"), "_key", "left_semi").withColumn("_turn", F.row_number().over(same.orderBy(text)))
     dealt = single.unionByName(repeated.join(per_row.where("_of > 1").drop("_of"), ["_key", "_turn"]).drop("_turn")).withColumn("_draw", F.explode("_draws"))
-    out = dealt.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], F.col("_draw.shard").alias("mix_shard"), F.col("_draw.place").alias("mix_place"))
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place")
+    shuffled = dealt.repartition("_draw.shard").sortWithinPartitions("_draw.shard", "_draw.place")
+    return shuffled.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], *[F.col("_draw.shard").alias("mix_shard"), F.col("_draw.place").alias("mix_place")] * places)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null texts have size 0; a source without words has target 0. Equal documents are drawn row by row."""
+    """Null texts have size 0; a source without words has target 0. Equal documents are drawn row by row.
+
+    ``shards`` lists the shards that the tree put a document's copies into, ``places`` its places in
+    them, in the order of the passes; a document is taken as often as the tree handed it out.
+    """
     sizes, drawn = draw(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    copies = drawn.groupBy("row").agg(F.count("*").alias("copies"))
-    return sizes.join(copies, "row", "left").select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).alias("taken"))
+    copies = drawn.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("copy", "shard", "place"))).alias("draws"))
+    taken = F.col("size") * F.coalesce(F.array_size("draws"), F.lit(0))
+    return sizes.join(copies, "row", "left").select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("draws.shard").alias("shards"), F.col("draws.place").alias("places"))

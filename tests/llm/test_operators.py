@@ -46,6 +46,33 @@ def test_top_k_edges(spark):
     assert top_k.top_k(rows.where("vec_id > 9"), rows.where("vec_id > 9")).count() == 0
 
 
+def test_top_k_opens_few_leaves_of_clustered_vectors():
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(50, 32)) * 60
+    v = np.round(centres[rng.integers(0, 50, 4000)] + rng.normal(size=(4000, 32)) * 6)
+    tree, ids, asks, scored = top_k.BallTree(v, 32), np.arange(4000), np.arange(0, 4000, 20), []
+    place, got, scores = top_k.search_shard(tree, ids[tree.order], v[tree.order], asks, v[asks], np.full(200, -1e300), top_k.Search(), scored)
+    assert sum(scored) < 0.25 * 4000 * 200
+    for j, q in enumerate(asks):
+        want = sorted((-int(v[i] @ v[q]), i) for i in ids if i != q)[:20]
+        assert [(-s, i) for i, s in zip(got[place == j], scores[place == j], strict=True)] == want
+
+
+def test_top_k_floors_prune_and_columns_may_clash(spark):
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(400, 3)) * 30)
+    tree, ids, few, many = top_k.BallTree(v, 8), np.arange(400), [], []
+    true = np.sort(v[:20] @ v.T, axis=1)[:, -5]
+    for floors, scored in ((true, few), (np.full(20, -1e300), many)):
+        top_k.search_shard(tree, ids[tree.order], v[tree.order], np.arange(20), v[:20], floors, top_k.Search(k=5), scored)
+    assert sum(few) <= sum(many) < 400 * 20
+    rows = spark.createDataFrame([(i, x.tolist(), 1, 2, 3, 4.0) for i, x in enumerate(v)], "vec_id long, v array<double>, q long, shard int, width int, floor double")
+    got = top_k.top_k(rows, rows.where("vec_id < 3"), top_k.Search(k=2, shard_rows=50, waves=(1, 2))).orderBy("query_id", "rank").collect()
+    for q in range(3):
+        want = sorted((-int(v[i] @ v[q]), i) for i in range(400) if i != q)[:2]
+        assert [(-r.score, r.vec_id) for r in got if r.query_id == q] == want
+
+
 # 2
 
 
@@ -206,7 +233,8 @@ def test_mixing_meets_targets(spark, sf, edges, nothing):
     assert all(r["size"] == size[r.doc_id] and r.taken <= 2 * r["size"] for r in rows)
     for s in {r.source for r in rows}:
         own = [r for r in rows if r.source == s]
-        assert sum(r["size"] for r in own) == own[0].source_size and abs(sum(r.taken for r in own) - own[0].target) <= 0.1 * own[0].target
+        near = max(r["size"] for r in own)  # within one document
+        assert sum(r["size"] for r in own) == own[0].source_size and abs(sum(r.taken for r in own) - own[0].target) <= near
     mixed = mixing.mix(docs, mixing.Plan(shard_words=5000, block_words=500))
     copies = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert mixed.select("mix_shard").distinct().count() > 3 and max(copies.values()) <= 2
@@ -215,6 +243,37 @@ def test_mixing_meets_targets(spark, sf, edges, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_the_tree_decides_what_is_taken(spark, sf, monkeypatch):
+    docs = documents(spark, sf)
+    plan = mixing.Plan(block_words=500, shard_words=5000)
+    before = mixing.draw(docs, plan)[1].collect()
+    shards = {r.shard for r in before}
+    assert len(shards) > 3
+    monkeypatch.setattr(mixing, "split", lambda quotas, shards, shard, seed: (np.zeros(len(quotas), np.int64), np.zeros(len(quotas), np.int64)))
+    with pytest.raises(Exception, match="handed to no shard"):
+        mixing.draw(docs, plan)[1].collect()
+
+
+def test_mixing_targets_against_sql(spark, sf):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    words = "len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
+    sizes = {s: (n, k) for s, n, k in duck.sql(f"SELECT source, sum({words}), row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 FROM documents GROUP BY source").fetchall()}
+    left, open_, want = 1.5 * sum(n for n, _ in sizes.values()), dict(sizes), {}
+    while open_:
+        weight = {s: (3, 1, 2)[k % 3] for s, (_, k) in open_.items()}
+        full = [s for s in open_ if left * weight[s] / sum(weight.values()) > 2 * sizes[s][0]]
+        want |= {s: 2.0 * sizes[s][0] for s in full} if full else {s: left * w / sum(weight.values()) for s, w in weight.items()}
+        left -= sum(want[s] for s in full)
+        open_ = {s: x for s, x in open_.items() if full and s not in full}
+    size = dict(duck.sql(f"SELECT doc_id, {words} FROM documents").fetchall())
+    for r in mixing.op6_mixing(spark, sf).join(documents(spark, sf).select("doc_id", "source"), "doc_id").collect():
+        assert r["size"] == size[r.doc_id] and r.source_size == sizes[r.source][0] and math.isclose(r.target, want[r.source])
+        assert r.taken == r["size"] * len(r.shards or ()) and len(r.shards or ()) <= 2
+
+
 def test_mix_holds_every_draw(spark):
     words = lambda k: " ".join(["w"] * (k % 9 + 1)) + f" {k}"
     rows = [(k if k % 3 else None, words(k), "a") for k in range(60)] + [(7, words(90), "a"), (None, "x y", None), (None, "x y", None), (5, words(5), "a"), (None, None, "a")]
