@@ -23,7 +23,7 @@ from panelworks.llm.learning import blob, table
 from panelworks.llm.linking import Similarity, band_keys, linked, signatures
 from panelworks.sources.durable import durable
 
-CHUNK = K.CHUNK // 8  # arrays over a chunk stay in a core's cache
+CHUNK = K.CHUNK // 16  # arrays over a chunk stay in a core's cache
 NORMAL = np.where(K.WHITESPACE, np.uint8(32), K.LOWER)
 SIEVE_BITS = 25  # a bitmap of 4 MB
 
@@ -34,7 +34,7 @@ class Lines:
     similarity: Similarity = field(default_factory=lambda: Similarity(percent=80, band_miss=1e-3, verify_miss=None))
     parts_per_shuffle_partition: int = 4
     hot: int = 1000  # lines of a bucket in one task beyond which they are candidates at once
-    flush: int = 1 << 19  # packed entries a task holds
+    flush: int = 1 << 18  # packed entries a task holds
     remembered: int = 1 << 17  # lines a task has sent that it still knows
 
 
@@ -193,7 +193,15 @@ def _expand(lines: Lines):
         data, at = K.utf8(bodies)
         keys = K.word_hashes(K.LOWER[data], at[:-1])
         flat, begin = line_shingles(data, at[:-1], at[1:], keys, lines.width)
-        return [np.unique(x) for x in np.split(flat, begin[1:])] if len(begin) else []
+        edges = np.append(begin, len(flat))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            flat[lo:hi].sort()
+        fresh = np.ones(len(flat), bool)
+        fresh[1:] = flat[1:] != flat[:-1]
+        fresh[begin] = True
+        upto = np.concatenate([[0], np.cumsum(fresh)])[edges]
+        flat = flat[fresh]
+        return [flat[lo:hi] for lo, hi in zip(upto[:-1], upto[1:], strict=True)]
 
     return run
 
