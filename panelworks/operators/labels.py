@@ -24,9 +24,13 @@ def true_range(df: DataFrame) -> DataFrame:
 
 
 def average_true_range(df: DataFrame, n: int = 14) -> DataFrame:
-    """Adds ``atr``: the mean of the last n true ranges, NULL while fewer are known."""
+    """Adds ``atr``: the mean of the last n true ranges, NULL while fewer are known.
+
+    Ranges are summed as decimals of twelve places, so that the order of the sum cannot matter.
+    """
     frame = Window.partitionBy("symbol").orderBy("ts").rowsBetween(1 - n, 0)
-    return true_range(df).withColumn("atr", F.when(F.count("tr").over(frame) == n, F.avg("tr").over(frame)))
+    total = F.sum(F.col("tr").cast("decimal(28,12)")).over(frame).cast("double")
+    return true_range(df).withColumn("atr", F.when(F.count("tr").over(frame) == n, total / n))
 
 
 def _first(tests: list[tuple[Column, Column | float]], otherwise: Column | float) -> Column:

@@ -19,7 +19,7 @@ def _labels() -> str:
     return f"""
 tr AS (SELECT *, lag(close) OVER w AS pc, count(*) OVER (PARTITION BY symbol) AS n_bars FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 tr2 AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM tr),
-atr AS (SELECT *, CASE WHEN count(tr) OVER r = 14 THEN avg(tr) OVER r END AS atr FROM tr2 WINDOW r AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+atr AS (SELECT *, CASE WHEN count(tr) OVER r = 14 THEN (sum(tr::DECIMAL(28, 12)) OVER r)::DOUBLE / 14 END AS atr FROM tr2 WINDOW r AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
 fwd AS (SELECT *, {leads}, lead(close, 5) OVER w AS c5, 1.5 * atr / close AS tp, 1.0 * atr / close AS sl, n_bars > 19 AS enough FROM atr WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 tch AS (SELECT *, enough AND c5 IS NOT NULL AND atr IS NOT NULL AND close > 0 AS ok, {plain('close')} AS ta, {plain('o1')} AS tb, {ft_c} AS tc, {xr_c} AS rc FROM fwd),
 labels_all AS (SELECT symbol, ts, open, high, low, close, atr,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set (local tests)."""
+    """The session's checkpoint folder; one of our own only where none is set and all runs in one local process (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="panelworks-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelworks-"))
     return sc.getCheckpointDir()
 
 
