@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelworks.functions import clip
+from panelworks.functions import clip, net_return
 
 
 def position_sizes(picks: DataFrame, k: int = 3, score: str = "p_raw") -> DataFrame:
@@ -25,6 +25,19 @@ def slot_books(picks: DataFrame, k: int = 3) -> DataFrame:
     return picks.groupBy("ts").agg(slot(top, F.col("net")).alias("base"), slot(top & F.col("keep"), F.col("net")).alias("filtered"), slot(top, F.col("net") * F.coalesce("size_x", F.lit(1.0))).alias("sized"), slot(F.col("mrank") <= k, F.col("net")).alias("reranked"))
 
 
+def resolved_arms(picks: DataFrame, k: int = 3) -> DataFrame:
+    """Per session: net, excess over the universe, wider target, hedged, filtered, sized, re-ranked.
+
+    The first four are means of the top k, the last three divide by k slots. ``picks`` has the columns
+    of ``slot_books`` and uni (the session's universe), xr_s and hedged (NULL rows do not count).
+    """
+    top = F.col("rk") <= k
+    mean = lambda x: F.avg(F.when(top, x))
+    slot = lambda cond, x: F.sum(F.when(cond, x).otherwise(0.0)) / k
+    net = F.col("net")
+    return picks.groupBy("ts").agg(mean(net).alias("net"), mean(net - F.col("uni")).alias("excess"), mean(net_return("xr_s")).alias("net_stretch"), mean(F.col("hedged")).alias("hedged"), slot(top & F.col("keep"), net).alias("meta_filtered"), slot(top, net * F.coalesce("size_x", F.lit(1.0))).alias("meta_sized"), slot(F.col("mrank") <= k, net).alias("meta_reranked"))
+
+
 def curve_stats(daily: DataFrame, value: str = "net") -> DataFrame:
     """One row for a daily series: days, mean, share of positive days, total, drawdown from the running peak, longest losing streak, worst and best month.
 

@@ -38,3 +38,9 @@ def block_bootstrap(daily: DataFrame, columns: list[str], block: int = 5, draws:
 
 def decided(intervals: DataFrame, better: str = "better", worse: str = "worse") -> DataFrame:
     return intervals.withColumn("verdict", verdict(F.col("lo"), F.col("hi"), better, worse))
+
+
+def guarded_intervals(intervals: DataFrame, least: int = 40) -> DataFrame:
+    """Intervals become NULL below ``least`` sessions; means stay."""
+    enough = F.col("n_dates") >= least
+    return intervals.withColumns({c: F.when(enough, F.col(c)) for c in ("lo", "hi")})

@@ -14,6 +14,7 @@ class Barriers:
     stop: float = 1.0
     horizon: int = 5
     atr: int = 14
+    stretch: float = 2.0  # a second, wider target with the same stop
 
 
 def true_range(df: DataFrame) -> DataFrame:
@@ -41,11 +42,15 @@ def _first(tests: list[tuple[Column, Column | float]], otherwise: Column | float
 
 
 def barrier_labels(df: DataFrame, cfg: Barriers = Barriers()) -> DataFrame:
-    """(symbol, ts, close, atr, ft_a, xr_a, ft_b, xr_b, ft_c, xr_c, gap1) of bars.
+    """(symbol, ts, open, high, low, close, atr, ft_a, xr_a, ft_b, xr_b, ft_c, xr_c, gap1, days_tp, days_sl, mfe, mae, xr_s) of bars.
 
     a: entry at the close; b: at the next open; c: at the next open, later sessions filled at an open
     beyond a barrier. A session that touches both barriers counts as a stop. NULL for a symbol's last
     ``horizon`` bars, before the first full true range, and for symbols with too few bars.
+
+    Beside version a: sessions until target and stop are first reached (NULL if they are not), the best
+    and the worst excursion from the entry, and the return under the wider target (``xr_s``). Columns
+    that a query does not ask for are pruned from the plan.
     """
     h = cfg.horizon
     order = Window.partitionBy("symbol").orderBy("ts")
@@ -73,9 +78,23 @@ def barrier_labels(df: DataFrame, cfg: Barriers = Barriers()) -> DataFrame:
     out["ft_c"] = F.when(ok, _first([(t, e) for t, e, _ in events], 0.0))
     out["xr_c"] = F.when(ok, _first([(t, r) for t, _, r in events], last / entry - 1))
     out["gap1"] = F.when(ok, entry / close - 1)
+    wide = F.lit(cfg.stretch) * F.col("atr") / close
+    stretched = [x for k in steps for x in ((down(k, close), -sl), (F.col(f"_h{k}") / close - 1 >= wide, wide))]
+    furthest = lambda pick, c: (pick(*[F.col(f"_{c}{k}") for k in steps]) if h > 1 else F.col(f"_{c}1")) / close - 1
+    beside = {"days_tp": _first([(up(k, close), k) for k in steps], None), "days_sl": _first([(down(k, close), k) for k in steps], None), "mfe": furthest(F.greatest, "h"), "mae": furthest(F.least, "l"), "xr_s": _first(stretched, last / close - 1)}
+    out |= {k: F.when(known, v) for k, v in beside.items()}
     return d.select("symbol", "ts", "open", "high", "low", "close", "atr", *[v.alias(k) for k, v in out.items()])
 
 
+def labels_for(df: DataFrame, keys: DataFrame, cfg: Barriers = Barriers()) -> DataFrame:
+    """Labels of the wanted (ts, symbol) rows only: bars of other symbols are left out before the windows.
+
+    Keys may repeat; keys without a bar give no row.
+    """
+    wanted = keys.select("ts", "symbol").distinct()
+    return barrier_labels(df.join(wanted.select("symbol").distinct(), "symbol", "left_semi"), cfg).join(wanted, ["ts", "symbol"], "left_semi")
+
+
 def barrier_labels_folded(df: DataFrame, cfg: Barriers = Barriers()) -> DataFrame:
     """(symbol, ts, ft_a): version a by a fold over the forward frame as an array; a second way to the same labels."""
     order = Window.partitionBy("symbol").orderBy("ts")

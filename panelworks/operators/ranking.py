@@ -34,10 +34,10 @@ def topn_hit_table(scores: DataFrame, sizes: tuple[int, ...] = (1, 3, 5, 10)) ->
 
 
 def rank_track_record(scores: DataFrame, top: int = 10) -> DataFrame:
-    """By rank position: days, net, excess over the universe (basis points), hit rate."""
+    """By rank position: days, net, excess over the universe (basis points), hit rate; net under the wider target where known (``xr_s``)."""
     net, day = net_return(), Window.partitionBy("ts")
     rows = ranked(scores).withColumns({"net": net, "uni": F.avg(net).over(day)}).where(F.col("rk") <= top)
-    return rows.groupBy("rk").agg(F.count("*").alias("days"), (F.avg("net") * 1e4).alias("net_bp"), (F.avg(F.col("net") - F.col("uni")) * 1e4).alias("excess_bp"), F.avg("hit").alias("hit"))
+    return rows.groupBy("rk").agg(F.count("*").alias("days"), (F.avg("net") * 1e4).alias("net_bp"), (F.avg(F.col("net") - F.col("uni")) * 1e4).alias("excess_bp"), F.avg("hit").alias("hit"), *([(F.avg(net_return("xr_s")) * 1e4).alias("stretch_net_bp")] if "xr_s" in scores.columns else []))
 
 
 def value_ranks(df: DataFrame, value: str) -> DataFrame:

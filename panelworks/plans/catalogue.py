@@ -97,7 +97,7 @@ def topn_hit_table(spark, d):
     return tidy(ranking.topn_hit_table(scores(spark, d)))
 
 
-@query(sql("scores", f"SELECT rk, count(*) AS days, {r('avg(net) * 1e4=>net_bp', 'avg(net - uni) * 1e4=>excess_bp', 'avg(hit)=>hit')} FROM (SELECT *, avg(net) OVER (PARTITION BY ts) AS uni FROM ranked) WHERE rk <= 10 GROUP BY rk"))
+@query(sql("scores", f"SELECT rk, count(*) AS days, {r('avg(net) * 1e4=>net_bp', 'avg(net - uni) * 1e4=>excess_bp', 'avg(hit)=>hit', 'avg(xr_s - 0.0035) * 1e4=>stretch_net_bp')} FROM (SELECT *, avg(net) OVER (PARTITION BY ts) AS uni FROM ranked) WHERE rk <= 10 GROUP BY rk"))
 def rank_track_record(spark, d):
     return tidy(ranking.rank_track_record(scores(spark, d)))
 
@@ -245,19 +245,21 @@ def asof_shipments(spark, d):
     return tidy(panel_features.asof_join(left, items.groupBy(F.to_date("l_shipdate").alias("ts"), "symbol").agg(F.sum("l_quantity").cast("double").alias("feature"))))
 
 
-_BENCH = "bench AS (SELECT ts, close, row_number() OVER (ORDER BY ts) AS i FROM bars WHERE symbol = 'Brand#11'), tr3 AS (SELECT *, CASE ft WHEN 1 THEN 2 WHEN -1 THEN 3 ELSE 5 END AS hold FROM ranked WHERE rk <= 3)"
+_BENCH = "bench AS (SELECT ts, close, row_number() OVER (ORDER BY ts) AS i FROM bars WHERE symbol = 'Brand#11'), tr3 AS (SELECT *, CASE ft WHEN 1 THEN days_tp WHEN -1 THEN days_sl ELSE 5 END AS hold FROM ranked WHERE rk <= 3)"
 _HEDGED = f"SELECT t.ts, t.symbol, t.rk, {r('e.close / s.close - 1=>bench', 't.net - (e.close / s.close - 1) - 0.0003=>hedged')} FROM tr3 t LEFT JOIN bench s ON t.ts = s.ts LEFT JOIN bench e ON e.i = s.i + t.hold"
 
 
-def _hedged(spark, d):
-    top = ranking.ranked(scores(spark, d)).where("rk <= 3").withColumns({"hold": F.when(F.col("ft") == 1, 2).when(F.col("ft") == -1, 3).otherwise(5), "net": net_return()})
+def _hedged(picks, spark, d):
+    """Net of the benchmark over the sessions a trade was held: to its target, to its stop, or all five."""
+    held = picks.withColumn("hold", F.when(F.col("ft") == 1, F.col("days_tp")).when(F.col("ft") == -1, F.col("days_sl")).otherwise(5))
     bench = bars(spark, d).where("symbol = 'Brand#11'").select("ts", "close")
-    return panel_features.holding_return(top, bench).withColumn("hedged", F.col("net") - F.col("bench") - 3 / 1e4)
+    return panel_features.holding_return(held, bench).withColumn("hedged", F.col("net") - F.col("bench") - 3 / 1e4)
 
 
 @query(sql("scores", _HEDGED, _BENCH))
 def hold_period_hedge(spark, d):
-    return tidy(_hedged(spark, d), "ts", "symbol", "rk", "bench", "hedged")
+    top = ranking.ranked(scores(spark, d)).where("rk <= 3").withColumn("net", net_return())
+    return tidy(_hedged(top, spark, d), "ts", "symbol", "rk", "bench", "hedged")
 
 
 _DAILY = "dl AS (SELECT ts, avg(net) AS net FROM ranked WHERE rk <= 3 GROUP BY ts)"
@@ -288,9 +290,11 @@ arms AS (SELECT *, w * 3 / sum(w) OVER (PARTITION BY ts) AS size_x FROM a1)"""
 
 
 def _arms(spark, d):
-    pool = ranking.ranked(scores(spark, d)).where("rk <= 5").withColumns({"net": net_return(), "keep": (F.col("rk") <= 3) & F.coalesce(F.col("p_short") >= 0.5, F.lit(False)), "mrank": F.row_number().over(Window.partitionBy("ts").orderBy(F.col("p_short").desc_nulls_last(), "symbol"))})
-    sized = books.position_sizes(pool.where("rk <= 3")).unionByName(pool.where("rk > 3").withColumn("size_x", F.lit(None).cast("double")))
-    return sized
+    """The day's five best with their universe's mean, from one pass over the scores."""
+    day, top = Window.partitionBy("ts"), F.col("rk") <= 3
+    pool = ranking.ranked(scores(spark, d)).withColumn("net", net_return()).withColumn("uni", F.avg("net").over(day)).where("rk <= 5")
+    pool = pool.withColumns({"keep": top & F.coalesce(F.col("p_short") >= 0.5, F.lit(False)), "mrank": F.row_number().over(day.orderBy(F.col("p_short").desc_nulls_last(), "symbol")), "_top": F.when(top, F.col("p_raw"))})
+    return books.position_sizes(pool, score="_top").drop("_top")
 
 
 @query(sql("scores", f"SELECT ts, symbol, rk, {r('size_x')} FROM arms WHERE rk <= 3", _ARMS))
@@ -436,12 +440,17 @@ def feature_screen(spark, d):
     return tidy(panel_features.feature_screen(x, ["open", "half_close", "ret1", "sparse"]))
 
 
-@query(sql("scores", f"SELECT t.ts, {r('t.net=>net', 't.net - u.uni=>excess', 'h.hedged=>hedged', 'b.filtered=>meta_filtered', 'b.sized=>meta_sized', 'b.reranked=>meta_reranked')} FROM (SELECT ts, avg(net) AS net FROM ranked WHERE rk <= 3 GROUP BY ts) t JOIN (SELECT ts, avg(net) AS uni FROM ranked GROUP BY ts) u USING (ts) JOIN (SELECT ts, avg(hedged) AS hedged FROM hd GROUP BY ts) h USING (ts) JOIN bk b USING (ts)", _BENCH + "," + _ARMS + f", hd AS (SELECT t.ts, t.net - (e.close / s.close - 1) - 0.0003 AS hedged FROM tr3 t LEFT JOIN bench s ON t.ts = s.ts LEFT JOIN bench e ON e.i = s.i + t.hold), bk AS (SELECT ts, sum(CASE WHEN rk <= 3 AND keep THEN net ELSE 0 END) / 3 AS filtered, sum(CASE WHEN rk <= 3 THEN net * coalesce(size_x, 1) ELSE 0 END) / 3 AS sized, sum(CASE WHEN mrank <= 3 THEN net ELSE 0 END) / 3 AS reranked FROM arms GROUP BY ts)"))
+@query(sql("scores", f"SELECT t.ts, {r('t.net=>net', 't.net - u.uni=>excess', 't.stretch=>net_stretch', 'h.hedged=>hedged', 'b.filtered=>meta_filtered', 'b.sized=>meta_sized', 'b.reranked=>meta_reranked')} FROM (SELECT ts, avg(net) AS net, avg(xr_s - 0.0035) AS stretch FROM ranked WHERE rk <= 3 GROUP BY ts) t JOIN (SELECT ts, avg(net) AS uni FROM ranked GROUP BY ts) u USING (ts) JOIN (SELECT ts, avg(hedged) AS hedged FROM hd GROUP BY ts) h USING (ts) JOIN bk b USING (ts)", _BENCH + "," + _ARMS + f", hd AS (SELECT t.ts, t.net - (e.close / s.close - 1) - 0.0003 AS hedged FROM tr3 t LEFT JOIN bench s ON t.ts = s.ts LEFT JOIN bench e ON e.i = s.i + t.hold), bk AS (SELECT ts, sum(CASE WHEN rk <= 3 AND keep THEN net ELSE 0 END) / 3 AS filtered, sum(CASE WHEN rk <= 3 THEN net * coalesce(size_x, 1) ELSE 0 END) / 3 AS sized, sum(CASE WHEN mrank <= 3 THEN net ELSE 0 END) / 3 AS reranked FROM arms GROUP BY ts)"))
 def resolve_arms(spark, d):
-    base = ranking.topn_vs_universe(scores(spark, d)).select("ts", F.col("top_net").alias("net"), "excess")
-    hedged = _hedged(spark, d).groupBy("ts").agg(F.avg("hedged").alias("hedged"))
-    slots = books.slot_books(_arms(spark, d)).select("ts", F.col("filtered").alias("meta_filtered"), F.col("sized").alias("meta_sized"), F.col("reranked").alias("meta_reranked"))
-    return tidy(base.join(hedged, "ts").join(slots, "ts"))
+    """All seven arms of a session from one grouping of its five best."""
+    return tidy(books.resolved_arms(_hedged(_arms(spark, d), spark, d)))
+
+
+@query()
+def resolve_intervals(spark, d):
+    """Mean of each arm; an interval from 40 sessions on."""
+    arms = books.resolved_arms(_hedged(_arms(spark, d), spark, d))
+    return evidence.guarded_intervals(evidence.block_bootstrap(arms, [c for c in arms.columns if c != "ts"]))
 
 
 @query(sql("scores", " UNION ALL ".join(f"SELECT '{v}' AS version, year(ts) AS year, {r('avg(m) * 1e4=>net_bp')} FROM (SELECT ts, avg(xr_{v} - 0.0035) AS m FROM ranked WHERE rk <= 3 GROUP BY ts) GROUP BY year(ts)" for v in "abc")))

@@ -15,18 +15,23 @@ def _labels() -> str:
         steps += [(f"{gap(k)} <= -sl", "-1.0", gap(k)), (f"{gap(k)} >= tp", "1.0", gap(k)), (down(k, "o1"), "-1.0", "-sl"), (up(k, "o1"), "1.0", "tp")]
     ft_c = "CASE " + " ".join(f"WHEN {t} THEN {e}::DOUBLE" for t, e, _ in steps) + " ELSE 0.0::DOUBLE END"
     xr_c = "CASE " + " ".join(f"WHEN {t} THEN {r}" for t, _, r in steps) + " ELSE c5 / o1 - 1 END"
+    first = lambda test: "CASE " + " ".join(f"WHEN {test(k)} THEN {k}::BIGINT" for k in range(1, 6)) + " END"
+    stretched = "CASE " + " ".join(f"WHEN {down(k, 'close')} THEN -sl WHEN h{k} / close - 1 >= 2.0 * atr / close THEN 2.0 * atr / close" for k in range(1, 6)) + " ELSE c5 / close - 1 END"
     leads = ", ".join(f"lead({c}, {k}) OVER w AS {c[0]}{k}" for k in range(1, 6) for c in ("open", "high", "low"))
     return f"""
 tr AS (SELECT *, lag(close) OVER w AS pc, count(*) OVER (PARTITION BY symbol) AS n_bars FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 tr2 AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM tr),
 atr AS (SELECT *, CASE WHEN count(tr) OVER r = 14 THEN (sum(tr::DECIMAL(28, 12)) OVER r)::DOUBLE / 14 END AS atr FROM tr2 WINDOW r AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
 fwd AS (SELECT *, {leads}, lead(close, 5) OVER w AS c5, 1.5 * atr / close AS tp, 1.0 * atr / close AS sl, n_bars > 19 AS enough FROM atr WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-tch AS (SELECT *, enough AND c5 IS NOT NULL AND atr IS NOT NULL AND close > 0 AS ok, {plain('close')} AS ta, {plain('o1')} AS tb, {ft_c} AS tc, {xr_c} AS rc FROM fwd),
+tch AS (SELECT *, enough AND c5 IS NOT NULL AND atr IS NOT NULL AND close > 0 AS ok, {plain('close')} AS ta, {plain('o1')} AS tb, {ft_c} AS tc, {xr_c} AS rc,
+  {first(lambda k: up(k, 'close'))} AS dt, {first(lambda k: down(k, 'close'))} AS ds, {stretched} AS rs FROM fwd),
 labels_all AS (SELECT symbol, ts, open, high, low, close, atr,
   CASE WHEN ok THEN ta END AS ft_a, CASE WHEN ok THEN CASE ta WHEN 1 THEN tp WHEN -1 THEN -sl ELSE c5 / close - 1 END END AS xr_a,
   CASE WHEN ok AND o1 > 0 THEN tb END AS ft_b, CASE WHEN ok AND o1 > 0 THEN CASE tb WHEN 1 THEN tp WHEN -1 THEN -sl ELSE c5 / o1 - 1 END END AS xr_b,
   CASE WHEN ok AND o1 > 0 THEN tc END AS ft_c, CASE WHEN ok AND o1 > 0 THEN rc END AS xr_c,
-  CASE WHEN ok AND o1 > 0 THEN o1 / close - 1 END AS gap1 FROM tch)"""
+  CASE WHEN ok AND o1 > 0 THEN o1 / close - 1 END AS gap1,
+  CASE WHEN ok THEN dt END AS days_tp, CASE WHEN ok THEN ds END AS days_sl, CASE WHEN ok THEN rs END AS xr_s,
+  CASE WHEN ok THEN greatest(h1, h2, h3, h4, h5) / close - 1 END AS mfe, CASE WHEN ok THEN least(l1, l2, l3, l4, l5) / close - 1 END AS mae FROM tch)"""
 
 
 VIEWS = {
@@ -37,7 +42,7 @@ bars AS (SELECT p_brand AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE)
     "scores": """
 mom AS (SELECT *, close / lag(close, 5) OVER w - 1 AS m5, close / lag(close, 1) OVER w - 1 AS m1 FROM labels_all WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 scores AS (SELECT ts, symbol, 0.5 + 0.5 * m5 / (1 + abs(m5)) AS p_raw, 0.5 + 0.5 * m1 / (1 + abs(m1)) AS p_short, xr_a AS exit_ret, ft_a AS ft, CAST(xr_a - 0.0035 > 0 AS INT)::DOUBLE AS y, CAST(ft_a = 1 AS INT)::DOUBLE AS hit,
-  xr_a - 0.0035 AS net, gap1, xr_a, xr_b, xr_c, ft_c FROM mom WHERE m5 IS NOT NULL AND xr_a IS NOT NULL),
+  xr_a - 0.0035 AS net, gap1, xr_a, xr_b, xr_c, ft_c, xr_s, days_tp, days_sl, mfe, mae, close, atr FROM mom WHERE m5 IS NOT NULL AND xr_a IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY p_raw DESC, symbol) AS rk FROM scores),
 axis AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS sidx, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM scores))""",
     "panel": """

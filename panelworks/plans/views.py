@@ -20,8 +20,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ts, symbol, p_raw, p_short, exit_ret, ft, y, hit, gap1, xr_*): two causal scores of labelled bars."""
+    """(ts, symbol, p_raw, p_short, exit_ret, ft, y, hit, gap1, xr_*, days_*, mfe, mae, close, atr): two causal scores of labelled bars."""
     order = Window.partitionBy("symbol").orderBy("ts")
     d = labelled(spark, sf_dir).withColumns({"p_raw": squash(F.col("close") / F.lag("close", 5).over(order) - 1), "p_short": squash(F.col("close") / F.lag("close", 1).over(order) - 1)})
     d = d.where("p_raw is not null and xr_a is not null").withColumn("exit_ret", F.col("xr_a"))
-    return d.select("ts", "symbol", "p_raw", "p_short", "exit_ret", F.col("ft_a").alias("ft"), (net_return() > 0).cast("double").alias("y"), (F.col("ft_a") == 1).cast("double").alias("hit"), "gap1", "xr_a", "xr_b", "xr_c", "ft_c")
+    return d.select("ts", "symbol", "p_raw", "p_short", "exit_ret", F.col("ft_a").alias("ft"), (net_return() > 0).cast("double").alias("y"), (F.col("ft_a") == 1).cast("double").alias("hit"), "gap1", "xr_a", "xr_b", "xr_c", "ft_c", "xr_s", "days_tp", "days_sl", "mfe", "mae", "close", "atr")
