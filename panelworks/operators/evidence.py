@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.functions import verdict
+from panelworks.functions import net_return, verdict
+from panelworks.operators.ranking import ranked
 
 SCHEMA = "series string, mean double, lo double, hi double, n_dates long"
 
@@ -44,3 +45,15 @@ def guarded_intervals(intervals: DataFrame, least: int = 40) -> DataFrame:
     """Intervals become NULL below ``least`` sessions; means stay."""
     enough = F.col("n_dates") >= least
     return intervals.withColumns({c: F.when(enough, F.col(c)) for c in ("lo", "hi")})
+
+
+def topn_evidence(scores: DataFrame, sizes: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """(top_n, measure, mean, lo, hi, n_dates, clears): daily hit rate and net return of each top N, with intervals.
+
+    ``clears``: the net return's interval lies above zero; false where there is none.
+    """
+    x = ranked(scores).withColumn("net", net_return()).where(F.col("rk") <= max(sizes))
+    daily = x.groupBy("ts").agg(*[F.avg(F.when(F.col("rk") <= n, F.col(c))).alias(f"{c}_{n}") for n in sizes for c in ("hit", "net")])
+    out = block_bootstrap(daily, [f"{c}_{n}" for n in sizes for c in ("hit", "net")])
+    name = F.split("series", "_")
+    return out.select(name[1].cast("long").alias("top_n"), name[0].alias("measure"), "mean", "lo", "hi", "n_dates", ((name[0] == "net") & F.coalesce(F.col("lo") > 0, F.lit(False))).alias("clears"))

@@ -9,14 +9,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.operators.splits import capped_sample, hashed_days
+from panelworks.operators.splits import capped_sample, day_blocks, hashed_days, held_out
+from panelworks.sources.durable import durable
 from panelworks.sources.tables import assert_no_label_leak
 
 
@@ -61,7 +63,7 @@ def fit_regressor(train: DataFrame, cfg: Trees = Trees()):
 
 def walk_forward(df: DataFrame, folds: DataFrame, features: list[str], kind: str = "gbt", cfg: Trees = Trees()) -> DataFrame:
     """Scores of each fold's test block by a model of its training days. One fit per fold, folds are a handful."""
-    data = assembled(df, features).cache()
+    data = assembled(df, features)
     parts = []
     for f in folds.orderBy("block").collect():
         train = data.where(F.col("ts") <= F.lit(f["train_end"])).where("label is not null")
@@ -92,15 +94,19 @@ def calibrated_by_earlier_folds(scored: DataFrame, score: str = "p_raw", y: str
 
 def bagged(df: DataFrame, sessions: DataFrame, features: list[str], bags: int = 10, share: float = 0.8, kind: str = "forest", cfg: Trees = Trees(rounds=150, depth=3, rate=0.05, leaf=100)) -> list:
     """Members fitted on whole days each."""
-    data = assembled(df.where("label is not null"), features).cache()
+    data = assembled(df.where("label is not null"), features)
     return [fit_classifier(data.join(F.broadcast(hashed_days(sessions, share, b)), "ts", "left_semi"), kind, cfg) for b in range(bags)]
 
 
-def bag_predictions(members: list, df: DataFrame, features: list[str]) -> DataFrame:
-    """Adds ``meta_p`` (mean of the members) and ``spread_lo``/``spread_hi``, their 10th and 90th percentiles."""
+def bag_predictions(members: list, df: DataFrame, features: list[str], iso=None) -> DataFrame:
+    """Adds ``meta_p`` (mean of the members) and ``spread_lo``/``spread_hi``, their 10th and 90th percentiles; all calibrated by ``iso`` if given."""
     d = assembled(df, features)
     for b, m in enumerate(members):
         d = probability(m, d, f"_p{b}")
+    d = d.withColumn("meta_p", sum((F.col(f"_p{b}") for b in range(len(members))), F.lit(0.0)) / len(members))
+    if iso is not None:
+        for c in ("meta_p", *[f"_p{b}" for b in range(len(members))]):
+            d = calibrated(iso, d, c, c)
     each = F.array(*[F.col(f"_p{b}") for b in range(len(members))])
     d = d.withColumn("_each", F.array_sort(each))
     n = len(members)
@@ -110,5 +116,92 @@ def bag_predictions(members: list, df: DataFrame, features: list[str]) -> DataFr
         low = int(at)
         return F.col("_each")[low] + (F.col("_each")[min(low + 1, n - 1)] - F.col("_each")[low]) * (at - low)
 
-    mean = F.aggregate("_each", F.lit(0.0), lambda a, x: a + x) / n
-    return d.withColumns({"meta_p": mean, "spread_lo": quantile(0.1), "spread_hi": quantile(0.9)}).drop("features", "_each", *[f"_p{b}" for b in range(n)])
+    return d.withColumns({"spread_lo": quantile(0.1), "spread_hi": quantile(0.9)}).drop("features", "_each", *[f"_p{b}" for b in range(n)])
+
+
+BUNDLE = ("TP", "SL", "MFE", "MAE", "DAYS")
+
+
+def fit_bundle(train: DataFrame, features: list[str], cfg: Trees = Trees()) -> dict:
+    """Five models of the same features: target first, stop first, best and worst excursion, sessions to the target.
+
+    ``train`` has key, ft, mfe, mae and days_tp. Rows without an outcome do not count; sessions are
+    learnt from rows whose target came first. At most ``fit_cap`` rows each, the first by a hash of the key.
+    """
+    data = assembled(train.where("ft is not null"), features)
+    rows = capped_sample(data, "key", cfg.fit_cap, cfg.seed)
+    reached = capped_sample(data.where("ft = 1 and days_tp is not null"), "key", cfg.fit_cap, cfg.seed)
+    labelled = lambda df, c: df.withColumn("label", c.cast("double")).where("label is not null")
+    return {
+        "TP": fit_classifier(labelled(rows, F.col("ft") == 1), "gbt", cfg),
+        "SL": fit_classifier(labelled(rows, F.col("ft") == -1), "gbt", cfg),
+        "MFE": fit_regressor(labelled(rows, F.col("mfe")), cfg),
+        "MAE": fit_regressor(labelled(rows, F.col("mae")), cfg),
+        "DAYS": fit_regressor(labelled(reached, F.col("days_tp")), cfg),
+    }
+
+
+def predict_bundle(bundle: dict, df: DataFrame, features: list[str], horizon: int = 5) -> DataFrame:
+    """Adds raw, p_sl, mfe_hat, mae_hat and days_hat, the last within 1 and ``horizon``."""
+    d = probability(bundle["SL"], probability(bundle["TP"], assembled(df, features), "raw"), "p_sl")
+    for name, out in (("MFE", "mfe_hat"), ("MAE", "mae_hat"), ("DAYS", "days_hat")):
+        d = bundle[name].transform(d).withColumnRenamed("prediction", out)
+    return d.withColumn("days_hat", F.greatest(F.lit(1.0), F.least(F.lit(float(horizon)), F.col("days_hat")))).drop("features")
+
+
+def save_bundle(bundle: dict, path: str) -> None:
+    for name in BUNDLE:
+        bundle[name].write().overwrite().save(f"{path}/{name}")
+
+
+def load_bundle(path: str) -> dict:
+    kinds = {"TP": GBTClassificationModel, "SL": GBTClassificationModel}
+    return {name: kinds.get(name, GBTRegressionModel).load(f"{path}/{name}") for name in BUNDLE}
+
+
+@dataclass(frozen=True)
+class Meta:
+    members: list
+    iso: object
+    tau: float
+
+
+def fit_meta(df: DataFrame, sessions: DataFrame, features: list[str], top: int = 3, skip: float = 0.30, bags: int = 10, oof_bags: int = 3, blocks: int = 5, kind: str = "gbt", cfg: Trees = Trees(rounds=150, depth=3, rate=0.05, leaf=100)) -> Meta:
+    """A bagged classifier, calibrated on scores that its training rows had not seen.
+
+    Each block of days is scored by members fitted outside its guard band; a block whose training rows
+    hold a single class is left out. The cut ``tau`` is the ``skip`` quantile of the calibrated scores of
+    the top by ``rk``, 0 if there are none.
+    """
+    known = df.where("label is not null")
+    parts = []
+    for b in day_blocks(sessions, blocks).collect():  # a handful
+        d = held_out(known, b)
+        train, block = d.where("part = 'train'"), d.where("part = 'block'")
+        if train.agg(F.count_distinct("label")).first()[0] > 1:
+            parts.append(bag_predictions(bagged(train, sessions, features, oof_bags, kind=kind, cfg=cfg), block, features).select("ts", "symbol", "rk", "label", "meta_p"))
+    if not parts:
+        raise ValueError("labels of one class only: nothing to learn")
+    oof = durable(reduce(lambda a, b: a.unionByName(b), parts))
+    iso = isotonic(oof, "meta_p", "label")
+    tau = calibrated(iso, oof.where(F.col("rk") <= top), "meta_p").agg(F.percentile("p_cal", skip)).first()[0]
+    return Meta(bagged(known, sessions, features, bags, kind=kind, cfg=cfg), iso, tau or 0.0)
+
+
+def predict_meta(fitted: Meta, df: DataFrame, features: list[str]) -> DataFrame:
+    """Adds the calibrated mean of the members and the 10th and 90th percentiles of their calibrated scores.
+
+    Calibration never falls, so a percentile between two members is taken after it, as the mean is before.
+    """
+    return bag_predictions(fitted.members, df, features, fitted.iso)
+
+
+def importance(members: list, features: list[str], top: int = 8) -> list[tuple[str, float]]:
+    """Share of the split gain of each feature over all members, its missing flag included; the largest first."""
+    gain = np.zeros(2 * len(features))
+    for m in members:
+        gain += m.featureImportances.toArray()
+    both = gain[: len(features)] + gain[len(features) :]
+    if both.sum() <= 0:
+        return []
+    return sorted(zip(features, (both / both.sum()).tolist()), key=lambda x: (-x[1], x[0]))[:top]

@@ -53,3 +53,18 @@ def hashed_days(sessions: DataFrame, share: float = 0.8, bag: int = 0) -> DataFr
 def capped_sample(df: DataFrame, key: str, cap: int, seed: int = 7) -> DataFrame:
     """At most ``cap`` rows, the first by a hash of the key: the same rows for all who ask."""
     return df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))).orderBy("_h", key).limit(cap).drop("_h")
+
+
+def lockbox_parts(sessions: DataFrame, share: float = 0.15, embargo: int = 5) -> DataFrame:
+    """(ts, part): research, a gap of ``embargo`` sessions, and the lockbox, the last ``share`` that no fold may see."""
+    d = _numbered(sessions)
+    start = F.floor(F.col("n") * (1 - share)).cast("long")
+    return d.select("ts", F.when(F.col("sidx") >= start, "lockbox").when(F.col("sidx") < start - embargo, "research").otherwise("gap").alias("part"))
+
+
+def held_out(df: DataFrame, block) -> DataFrame:
+    """Rows of one block of days (a row of ``day_blocks``) as ``block``, rows outside its guard band as ``train``; the rest go."""
+    inside = F.col("ts").between(F.lit(block["lo"]), F.lit(block["hi"]))
+    guarded = F.col("ts").between(F.lit(block["guard_lo"]), F.lit(block["guard_hi"]))
+    part = F.when(inside, "block").when(~guarded, "train")
+    return df.withColumn("part", part).where("part is not null")
