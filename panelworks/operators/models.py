@@ -63,7 +63,7 @@ def fit_regressor(train: DataFrame, cfg: Trees = Trees()):
 
 def walk_forward(df: DataFrame, folds: DataFrame, features: list[str], kind: str = "gbt", cfg: Trees = Trees()) -> DataFrame:
     """Scores of each fold's test block by a model of its training days. One fit per fold, folds are a handful."""
-    data = assembled(df, features)
+    data = durable(assembled(df, features))
     parts = []
     for f in folds.orderBy("block").collect():
         train = data.where(F.col("ts") <= F.lit(f["train_end"])).where("label is not null")
@@ -94,7 +94,7 @@ def calibrated_by_earlier_folds(scored: DataFrame, score: str = "p_raw", y: str
 
 def bagged(df: DataFrame, sessions: DataFrame, features: list[str], bags: int = 10, share: float = 0.8, kind: str = "forest", cfg: Trees = Trees(rounds=150, depth=3, rate=0.05, leaf=100)) -> list:
     """Members fitted on whole days each."""
-    data = assembled(df.where("label is not null"), features)
+    data = durable(assembled(df.where("label is not null"), features))
     return [fit_classifier(data.join(F.broadcast(hashed_days(sessions, share, b)), "ts", "left_semi"), kind, cfg) for b in range(bags)]
 
 
@@ -128,7 +128,7 @@ def fit_bundle(train: DataFrame, features: list[str], cfg: Trees = Trees()) -> d
     ``train`` has key, ft, mfe, mae and days_tp. Rows without an outcome do not count; sessions are
     learnt from rows whose target came first. At most ``fit_cap`` rows each, the first by a hash of the key.
     """
-    data = assembled(train.where("ft is not null"), features)
+    data = durable(assembled(train.where("ft is not null").select("key", "ft", "mfe", "mae", "days_tp", *features), features))
     rows = capped_sample(data, "key", cfg.fit_cap, cfg.seed)
     reached = capped_sample(data.where("ft = 1 and days_tp is not null"), "key", cfg.fit_cap, cfg.seed)
     labelled = lambda df, c: df.withColumn("label", c.cast("double")).where("label is not null")
@@ -173,7 +173,7 @@ def fit_meta(df: DataFrame, sessions: DataFrame, features: list[str], top: int =
     hold a single class is left out. The cut ``tau`` is the ``skip`` quantile of the calibrated scores of
     the top by ``rk``, 0 if there are none.
     """
-    known = df.where("label is not null")
+    known = durable(df.where("label is not null").select("ts", "symbol", "rk", "label", *features))
     parts = []
     for b in day_blocks(sessions, blocks).collect():  # a handful
         d = held_out(known, b)
@@ -191,7 +191,7 @@ def fit_meta(df: DataFrame, sessions: DataFrame, features: list[str], top: int =
 def predict_meta(fitted: Meta, df: DataFrame, features: list[str]) -> DataFrame:
     """Adds the calibrated mean of the members and the 10th and 90th percentiles of their calibrated scores.
 
-    Calibration never falls, so a percentile between two members is taken after it, as the mean is before.
+    The mean is taken before calibration, the percentiles after it.
     """
     return bag_predictions(fitted.members, df, features, fitted.iso)
 

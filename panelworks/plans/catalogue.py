@@ -227,11 +227,13 @@ def returns_gapvol(spark, d):
     return tidy(panel_features.returns_and_gaps(bars(spark, d)))
 
 
-@query(sql("panel", f"SELECT l.ts, l.symbol, {r('l.value=>value')}, r.ts AS ts_matched, {r('r.feature=>feature')} FROM panel l ASOF LEFT JOIN (SELECT ts, symbol, CASE WHEN symbol % 7 <> 0 THEN value END AS feature FROM panel WHERE date_part('day', ts)::INT % 4 = 1) r ON l.symbol = r.symbol AND l.ts >= r.ts"))
+@query(sql("panel", f"SELECT l.ts, l.symbol, {r('l.value=>value')}, r.ts AS ts_matched, {r('r.feature=>feature')} FROM panel l ASOF LEFT JOIN (SELECT CAST(date_trunc('day', ts) AS DATE) AS ts, user_id AS symbol, CASE WHEN count(*) > 1 THEN max(value) END AS feature FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY ALL) r ON l.symbol = r.symbol AND l.ts >= r.ts"))
 def asof_features(spark, d):
-    p = day_panel(spark, d)
-    right = p.where(F.dayofmonth("ts") % 4 == 1).select("ts", "symbol", F.when(F.col("symbol") % 7 != 0, F.col("value")).alias("feature"))
-    return tidy(panel_features.asof_join(p, right))
+    """Each user's day with their last day of the first event type, whose feature is missing where a day has one such event only."""
+    events = scan(spark, d, "events", "ts", "user_id", "event_type", "value")
+    first = events.join(F.broadcast(events.agg(F.min("event_type").alias("event_type"))), "event_type", "left_semi")  # one row
+    right = first.groupBy(F.to_date("ts").alias("ts"), F.col("user_id").alias("symbol")).agg(F.when(F.count("*") > 1, F.max("value")).alias("feature"))
+    return tidy(panel_features.asof_join(day_panel(spark, d), right))
 
 
 @query("""WITH l AS (SELECT CAST(o_orderdate AS DATE) AS ts, o_custkey AS symbol, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL),
@@ -326,11 +328,12 @@ def _vectors(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-x AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_distance(q.v, p.v), 6) AS dist FROM v q JOIN v p ON q.vec_id % 10 = 0 AND p.vec_id % 10 <> 0)
+x AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_distance(q.v, p.v), 6) AS dist FROM v q JOIN v p ON q.vec_id % 10 = 0 AND p.vec_id <> q.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank, id, dist + 0.0 AS dist FROM x QUALIFY rank <= 5""")
 def knn_cross(spark, d):
+    """A tenth of the rows as queries, against every row but the query's own."""
     v = _vectors(spark, d)
-    return tidy(neighbours.knn_sharded(v.where("id % 10 = 0"), v.where("id % 10 <> 0"), 5, digits=6))
+    return tidy(neighbours.knn_sharded(v.where("id % 10 = 0"), v, 5, digits=6))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),

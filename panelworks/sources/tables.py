@@ -27,6 +27,37 @@ def scan_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return reader.json(path)
 
 
+def newest_run(df: DataFrame, run: str = "run") -> DataFrame:
+    """The rows of the newest run of a table laid out by run: files of older runs are pruned, not read."""
+    newest = df.agg(F.max(run)).first()[0]
+    return df.where(F.col(run) == newest) if newest is not None else df
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def computed_once(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:
+    """The table at ``path``, built and written first if it is not there or is to be rebuilt.
+
+    Spark's success marker tells a whole table from one whose job was lost half-way.
+    """
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if rebuild or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def named(columns: list[str], prefix: str = "", part: str = "") -> list[str]:
+    """Columns by prefix and by a part of their name, each once, in their order."""
+    return list(dict.fromkeys(c for c in columns if c.startswith(prefix) and part in c))
+
+
+def as_float(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Single precision, for tables of features to be stored."""
+    return df.withColumns({c: F.col(c).cast("float") for c in columns})
+
+
 def with_optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds columns that a source lacks as typed NULLs."""
     return df.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items() if c not in df.columns})
