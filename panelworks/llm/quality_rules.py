@@ -129,17 +129,21 @@ def _counts(rules: Rules):
 def language_references(documents: DataFrame, rules: Rules = Rules()) -> list[dict]:
     """Per language: class counts, the hashes of its commonest words, and their counts with the rest's count last.
 
-    One row per language comes to the driver, as languages are few by nature.
+    Of words that tie over the last place none is common, so no order among ties decides. A bounded
+    number of rows a language comes to the driver, as languages are few by nature.
     """
     counts = documents.select("text", "lang").mapInArrow(_counts(rules), "lang string, kind int, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    kept = counts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(rules.common_words, len(CLASS_NAMES)))
+    kept = counts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(rules.common_words + 1, len(CLASS_NAMES)))
     found: dict[str, dict] = {}
     for r in kept.collect():
         found.setdefault(r["lang"], {0: {}, 1: {}, 2: {0: 0}})[r["kind"]][r["item"]] = r["n"]
     out = []
     for lang in sorted(found):
         classes, words, total = found[lang][0], found[lang][1], found[lang][2][0]
+        if len(words) > rules.common_words:
+            border = sorted(words.values(), reverse=True)[rules.common_words]
+            words = {k: n for k, n in words.items() if n > border}
         keys = np.sort(np.array(list(words), np.int64).view(np.uint64))
         own = np.array([words[int(k)] for k in keys.view(np.int64)], np.float64)
         out.append({"lang": lang, "classes": np.array([classes.get(k, 0) for k in range(len(CLASS_NAMES))], np.float64), "keys": keys, "words": np.append(own, max(total - own.sum(), 0))})
@@ -186,4 +190,5 @@ def quality_rules(documents: DataFrame, rules: Rules = Rules(), references: list
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    out = quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
