@@ -363,12 +363,21 @@ def knn_self_cutoff(spark, d):
     return tidy(neighbours.knn_self(_states(spark, d), ["za", "zb"], "exit_ret"))
 
 
-@query()
+_DECLUSTERED = """
+last AS (SELECT symbol, max(sidx) AS s FROM zz GROUP BY symbol),
+near AS MATERIALIZED (SELECT p.symbol, p.sidx, round(sqrt(pow(p.za - q.za, 2) + pow(p.zb - q.zb, 2)), 9) AS d, row_number() OVER (PARTITION BY p.symbol ORDER BY d, p.sidx) AS i FROM zz p JOIN last ON last.symbol = p.symbol JOIN zz q ON q.symbol = p.symbol AND q.sidx = last.s WHERE p.sidx <= last.s - 6),
+taken AS (SELECT symbol, 0::BIGINT AS i, []::BIGINT[] AS picks FROM last
+  UNION ALL SELECT t.symbol, n.i, CASE WHEN len(picks) < 10 AND len(list_filter(picks, lambda x: abs(x - n.sidx) < 5)) = 0 THEN list_append(picks, n.sidx) ELSE picks END FROM taken t JOIN near n ON n.symbol = t.symbol AND n.i = t.i + 1),
+done AS (SELECT symbol, unnest(picks) AS sidx, unnest(range(1, len(picks) + 1)) AS place FROM (SELECT symbol, arg_max(picks, i) AS picks FROM taken GROUP BY symbol))"""
+
+
+@query(sql("scores", f"SELECT symbol, place, sidx, {r('d')} FROM done JOIN near USING (symbol, sidx)", _SELF + "," + _DECLUSTERED).replace("WITH ", "WITH RECURSIVE ", 1))
 def declustered_neighbours(spark, d):
     z = _states(spark, d)
     q = z.groupBy("symbol").agg(F.max_by(F.struct("za", "zb", "sidx"), "sidx").alias("q"))
     pairs = z.join(q, "symbol").where(F.col("sidx") <= F.col("q.sidx") - 6).select("symbol", F.col("sidx").cast("long").alias("sidx"), F.round(F.hypot(F.col("za") - F.col("q.za"), F.col("zb") - F.col("q.zb")), 9).alias("d"))
-    return neighbours.declustered(pairs, ["symbol"]).select("symbol", F.posexplode("picks").alias("place", "pick")).select("symbol", (F.col("place") + 1).cast("long").alias("place"), "pick.sidx", "pick.d")
+    picks = neighbours.declustered(pairs, ["symbol"]).select("symbol", F.posexplode("picks").alias("place", "pick"))
+    return tidy(picks.select("symbol", (F.col("place") + 1).cast("long").alias("place"), "pick.sidx", "pick.d"))
 
 
 _LEDGER = "l0 AS (SELECT ts AS date, symbol, rk FROM ranked WHERE rk <= 3)"
