@@ -132,7 +132,7 @@ def nested_evaluation(spark, d):
     """Intervals and verdicts of the second stage's arms on blocks of days later than its training."""
     x, _ = _learning(spark, d)
     x = ranking.ranked(x).withColumn("net", net_return())
-    picks = second_stage.nested_picks(x.where("rk <= 10"), ["p_raw", "p_short", "ret5", "gapvol20"], bags=2, oof_bags=1, blocks=2, cfg=TINY)
+    picks = second_stage.nested_picks(x.where("rk <= 10"), ["p_raw", "p_short", "ret5", "gapvol20"], folds=2, bags=2, oof_bags=1, blocks=2, cfg=TINY)
     arms = second_stage.nested_books(second_stage.decided_picks(picks))
     return evidence.decided(evidence.block_bootstrap(arms, [c for c in arms.columns if c != "ts"]))
 
