@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions import net_return, verdict
@@ -13,28 +11,30 @@ from panelworks.operators.ranking import ranked
 SCHEMA = "series string, mean double, lo double, hi double, n_dates long"
 
 
-def bootstrap_mean(x: np.ndarray, block: int = 5, draws: int = 2000, seed: int = 7) -> tuple[float, float | None, float | None]:
-    """Mean and 2.5 / 97.5 percentiles of means over circular blocks; no interval below two blocks of days."""
-    n = len(x)
-    if n < 2 * block:
-        return (float(x.mean()) if n else None), None, None
-    rng = np.random.default_rng(seed)
-    starts = rng.integers(0, n, (draws, -(-n // block)))
-    at = (starts[:, :, None] + np.arange(block)).reshape(draws, -1)[:, :n] % n
-    lo, hi = np.percentile(x[at].mean(1), [2.5, 97.5])
-    return float(x.mean()), float(lo), float(hi)
-
-
 def block_bootstrap(daily: DataFrame, columns: list[str], block: int = 5, draws: int = 2000, seed: int = 7) -> DataFrame:
-    """(series, mean, lo, hi, n_dates) for each column of a table with a row per session: one task per series."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("ts")["value"].to_numpy(float)
-        mean, lo, hi = bootstrap_mean(x, block, draws, seed)
-        return pd.DataFrame({"series": group["series"].iloc[:1], "mean": [mean], "lo": [lo], "hi": [hi], "n_dates": [len(x)]})
+    """(series, mean, lo, hi, n_dates) for each column of a table with a row per session.
 
+    ``lo`` and ``hi`` are the 2.5 and 97.5 percentiles of means over circular blocks of sessions, the last
+    block cut to the series' length; NULL below two blocks of sessions. Where a block starts is a hash of
+    series, seed, draw and block, so draws need no generator, spread over tasks and are the same everywhere.
+    """
+    by = Window.partitionBy("series")
     long = daily.unpivot(["ts"], columns, "series", "value").where("value is not null")
-    return long.groupBy("series").applyInPandas(run, SCHEMA)
+    x = long.withColumns({"i": F.row_number().over(by.orderBy("ts")) - 1, "n": F.count("*").over(by)})
+    round_ = x.unionByName(x.where(F.col("i") < block).withColumn("i", F.col("i") + F.col("n")))
+    after = [F.lead("value", k).over(by.orderBy("i")) if k else F.col("value") for k in range(block)]
+    rest = F.pmod(F.col("n") - 1, F.lit(block)) + 1  # sessions of the last block
+    whole, cut = sum(after[1:], after[0]), sum((F.when(rest > k, a).otherwise(0.0) for k, a in enumerate(after)), F.lit(0.0))
+    starts = round_.select("series", "i", "n", whole.alias("whole"), cut.alias("cut")).where("i < n")
+    means = long.groupBy("series").agg(F.avg("value").alias("mean"), F.count("*").alias("n_dates"))
+    each = means.where(F.col("n_dates") >= 2 * block).select("series", F.ceil(F.col("n_dates") / block).alias("blocks"), "n_dates")
+    drawn = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = F.md5(F.concat_ws(":", "series", F.lit(seed), "draw", "b"))
+    at = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.col("n_dates")).cast("int")
+    met = drawn.select("series", "draw", "n_dates", (F.col("b") == F.col("blocks") - 1).alias("last"), at.alias("i")).join(starts.drop("n"), ["series", "i"])
+    sums = met.groupBy("series", "draw").agg((F.sum(F.when(F.col("last"), F.col("cut")).otherwise(F.col("whole"))) / F.first("n_dates")).alias("drawn"))
+    ends = sums.groupBy("series").agg(F.percentile("drawn", 0.025).alias("lo"), F.percentile("drawn", 0.975).alias("hi"))
+    return means.join(ends, "series", "left").select("series", "mean", "lo", "hi", "n_dates")
 
 
 def decided(intervals: DataFrame, better: str = "better", worse: str = "worse") -> DataFrame:

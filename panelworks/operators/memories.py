@@ -6,12 +6,15 @@ sessions old or older. Sessions and months are few; the rest is keyed by symbol
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions import guarded
+from panelworks.operators import analogues
+from panelworks.operators.sampling import hash60, hash_limits
+from panelworks.sources.durable import durable
 
 OUTCOMES = ("tp", "ret", "mfe", "mae", "sl")
 
@@ -45,78 +48,41 @@ def own_record(rows: DataFrame, outcomes: tuple[str, ...] = OUTCOMES, compared:
 
 
 def _months(rows: DataFrame, finished: Column, lag: int, least: int) -> DataFrame:
-    """(month, cut, asked): months whose pool, the finished rows entered up to ``cut``, has ``least`` rows or more."""
-    daily = rows.groupBy("sidx").agg(F.min(F.date_trunc("month", "ts")).alias("month"), F.count_if(finished).alias("ok"), F.count("*").alias("asked"))
+    """(month, cut): months whose pool, the finished rows entered up to ``cut``, has ``least`` rows or more."""
+    daily = rows.groupBy("sidx").agg(F.min(F.trunc("ts", "month")).alias("month"), F.count_if(finished).alias("ok"))
     daily = daily.withColumn("pool", F.sum("ok").over(Window.orderBy("sidx").rowsBetween(Window.unboundedPreceding, 0)))
-    months = daily.groupBy("month").agg((F.min("sidx") - lag).alias("cut"), F.sum("asked").alias("asked"))
+    months = daily.groupBy("month").agg((F.min("sidx") - lag).alias("cut"))
     upto = daily.select(F.col("sidx").alias("cut"), "pool")
-    return months.join(upto, "cut").where(F.col("pool") >= least).select("month", "cut", "asked")
-
-
-def _near_across(k: int, eps: float, names: list[str]):
-    def run(pool: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = {c: [] for c in ("symbol", "ts", *names, "dist")}
-        if len(pool) and len(asked):
-            pool = pool.sort_values(["sidx", "symbol"])
-            v, y = np.array(pool["z"].tolist(), float), np.array(pool["y"].tolist(), float)
-            take = min(k, len(v))
-            for lo in range(0, len(asked), 32):
-                part = asked.iloc[lo : lo + 32]
-                q = np.array(part["z"].tolist(), float)
-                dist = np.round(np.sqrt(sum((q[:, j, None] - v[:, j]) ** 2 for j in range(v.shape[1]))), 9)
-                border = np.partition(dist, take - 1, axis=1)[:, take - 1]
-                for i in range(len(q)):
-                    at = np.flatnonzero(dist[i] <= border[i])
-                    at = at[np.argsort(dist[i, at], kind="stable")[:take]]  # ties to the earlier session, then by symbol
-                    w = 1.0 / (dist[i, at] + eps)
-                    for name, value in zip(names, w @ y[at] / w.sum(), strict=True):
-                        found[name].append(value)
-                    found["dist"].append(dist[i, at].mean())
-                found["symbol"] += part["symbol"].tolist()
-                found["ts"] += part["ts"].tolist()
-        return pd.DataFrame(found)
-
-    return run
-
-
-def memory(rows: DataFrame, dims: list[str], outcomes: tuple[str, ...] = OUTCOMES, lag: int = 6, k_cross: int = 50, k_self: int = 20, least_self: int = 30, least_pool: int = 5_000, pool_cap: int = 200_000, eps: float = 0.1, shrink_k: float = 10.0, horizon: float = 5.0, block: int = 4096) -> DataFrame:
+    return months.join(upto, "cut").where(F.col("pool") >= least).select("month", F.col("cut").cast("long").alias("cut"))
+
+
+def memory(rows: DataFrame, dims: list[str], outcomes: tuple[str, ...] = OUTCOMES, lag: int = 6, k_cross: int = 50, k_self: int = 20, least_self: int = 30, least_pool: int = 5_000, pool_cap: int | None = None, eps: float = 0.1, shrink_k: float = 10.0, horizon: float = 5.0, block: int = 4096, sizes: analogues.Sizes = analogues.Sizes()) -> DataFrame:
     """(symbol, ts, mem_...): outcomes of the nearest finished moments of all symbols and of the symbol itself, and their blend.
 
-    ``rows`` has sidx (the session's number) and the dimensions. Pools are renewed each month: rows
-    with all outcomes, entered ``lag`` sessions before the month's first session or earlier, at most
-    ``pool_cap`` of them by a hash of their key; a month with fewer than ``least_pool`` has no memory.
-    Queries of a month meet its pool in blocks, so a task holds one capped pool and one block.
+    ``rows`` has sidx (the session's number) and the dimensions; rows with a missing dimension take no
+    part. Pools are renewed each month: rows with all outcomes, entered ``lag`` sessions before the
+    month's first session or earlier; a month with fewer than ``least_pool`` has no memory. Pools across
+    symbols are whole unless ``pool_cap`` asks for samples: then a month's is its first ``pool_cap`` rows
+    by a hash of their key. Samples of all months come from one reading of the rows, as a later month's
+    is a part of the earlier months' and of what came in since.
     """
+    sizes = replace(sizes, block=block)
+    known = rows.where(analogues.finite(dims)).withColumns({"sidx": F.col("sidx").cast("long")} | {c: F.col(c).cast("double") for c in (*dims, *outcomes)})
     finished = F.lit(True)
     for o in outcomes:
         finished = finished & F.col(o).isNotNull()
-    months = F.broadcast(_months(rows, finished, lag, least_pool))  # a row per month
-    month = F.date_trunc("month", "ts")
-    queries = rows.withColumn("month", month).join(months, "month")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("asked") / block)).cast("int")
-
-    done = rows.where(finished)
-    first = Window.partitionBy("month").orderBy(F.md5(F.concat_ws("/", "symbol", "ts")), "symbol", "ts")
-    pool = done.select("symbol", "ts", "sidx", F.array(*dims).alias("z"), F.array(*outcomes).alias("y")).join(months, F.col("sidx") <= F.col("cut"))
-    pool = pool.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= pool_cap)
-    dealt = pool.select("month", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "symbol", "sidx", "z", "y")
-    asked = queries.select("month", F.pmod(F.xxhash64("symbol", "ts"), blocks).cast("int").alias("block"), "symbol", "ts", F.array(*dims).alias("z"))
-    asked = asked.toDF(*asked.columns)  # columns of its own: both sides come from the same rows
-    schema = f"symbol {dict(rows.dtypes)['symbol']}, ts {dict(rows.dtypes)['ts']}, " + ", ".join(f"mem_cross_{o} double" for o in outcomes) + ", mem_cross_dist double"
-    names = [f"mem_cross_{o}" for o in outcomes]
-    renamed = lambda run: lambda a, b: run(a, b).rename(columns={"dist": "mem_cross_dist"})
-    across = dealt.groupBy("month", "block").cogroup(asked.groupBy("month", "block")).applyInPandas(renamed(_near_across(k_cross, eps, names)), schema)
-
-    q = queries.select("symbol", "ts", "cut", *[F.col(c).alias(f"_q_{c}") for c in dims])
-    p = done.select("symbol", "sidx", *dims, *outcomes)
-    dist = F.sqrt(sum((F.pow(F.col(f"_q_{c}") - F.col(c), 2) for c in dims), F.lit(0.0)))
-    key = Window.partitionBy("symbol", "ts")
-    own = q.join(p, "symbol").where("sidx <= cut").select("symbol", "ts", "sidx", *outcomes, F.round(dist, 9).alias("_d"))
-    own = own.withColumns({"_r": F.row_number().over(key.orderBy("_d", "sidx")), "_n": F.count("*").over(key)}).where((F.col("_r") <= k_self) & (F.col("_n") >= least_self))
-    w = 1.0 / (F.col("_d") + eps)
-    own = own.groupBy("symbol", "ts").agg(*[(F.sum(w * F.col(o)) / F.sum(w)).alias(f"mem_self_{o}") for o in outcomes], F.max("_n").cast("double").alias("mem_self_n"), F.avg("_d").alias("mem_self_dist"))
-
-    d = across.join(own, ["symbol", "ts"], "left")
+    months = _months(known, finished, lag, least_pool)
+    months = F.broadcast(rows.sparkSession.createDataFrame(sorted(map(tuple, months.collect())), months.schema))  # a row per month
+    hashed = F.lit(0).cast("long") if pool_cap is None else hash60(F.concat_ws("/", "symbol", "ts"))
+    moments = durable(known.where(finished).select("sidx", F.col("symbol").alias("who"), hashed.alias("sampled"), *dims, *outcomes))
+    months = months.withColumn("limit", F.lit(0).cast("long")) if pool_cap is None else _sampled(moments, months, pool_cap)
+    queries = durable(known.withColumn("month", F.trunc("ts", "month")).join(months, "month").select("symbol", "ts", "cut", "limit", *dims))
+
+    cross = analogues.across(moments, queries, dims, outcomes, k_cross, eps, "mem_cross_", sizes).drop("mem_cross_n", "mem_cross_kth")
+    own = analogues.within(moments.withColumn("sampled", F.lit(0).cast("long")), queries, dims, outcomes, k_self, eps, "mem_self_", sizes).drop("mem_self_kth")
+    own = own.where(F.col("mem_self_n") >= least_self).withColumn("mem_self_n", F.col("mem_self_n").cast("double"))
+
+    d = cross.join(own, ["symbol", "ts"], "left")
     n = F.coalesce("mem_self_n", F.lit(0.0)) / horizon
     one, all_ = (lambda o: F.col(f"mem_self_{o}")), (lambda o: F.col(f"mem_cross_{o}"))
     d = d.withColumns({f"mem_{o}": F.when(one(o).isNotNull(), (n * one(o) + shrink_k * all_(o)) / (n + shrink_k)).otherwise(all_(o)) for o in outcomes})
@@ -124,6 +90,17 @@ def memory(rows: DataFrame, dims: list[str], outcomes: tuple[str, ...] = OUTCOME
     return d.withColumns({"mem_gap_tp": one("tp") - all_("tp"), "mem_gap_ret": one("ret") - all_("ret"), "mem_tp_se": F.sqrt(spread / F.greatest(n + k_cross / horizon, F.lit(1.0)))})
 
 
+def _sampled(moments: DataFrame, months: DataFrame, cap: int) -> DataFrame:
+    """``months`` with ``limit``: moments up to the cut whose hash is no greater are the month's sample."""
+    turns = sorted((r["cut"], r["month"]) for r in months.collect())
+    cuts = [c for c, _ in turns]
+    later = F.lit(len(turns))
+    for g in reversed(range(len(turns))):
+        later = F.when(F.col("sidx") <= cuts[g], g).otherwise(later)
+    limits = hash_limits(moments.withColumn("_entered", later), "sampled", "_entered", len(turns), cap)
+    return F.broadcast(months.sparkSession.createDataFrame([(m, c, x) for (c, m), x in zip(turns, limits, strict=True)], "month date, cut long, limit long"))
+
+
 def remembered(rows: DataFrame, dims: list[str], missing: str, **settings) -> DataFrame:
     """The own record and the memory of every row that has any of them, and the number of missing dimensions."""
     record, past = own_record(rows), memory(rows, dims, **settings)

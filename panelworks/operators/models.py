@@ -1,7 +1,7 @@
-"""Walk-forward classifiers, isotonic calibration and bagged second-stage models on pyspark.ml.
+"""Walk-forward classifiers, isotonic calibration and bagged second-stage models.
 
-Trees reject missing features, so features are filled with zero and flagged. Scores are a model's
-own; only the workflow around them (folds, embargo, calibration on earlier data) is fixed.
+Boosted trees (``boosting``) take missing features as they are. The forests and linear models of
+pyspark.ml reject them; for these, features are filled with zero and flagged.
 """
 
 from __future__ import annotations
@@ -10,14 +10,16 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.operators.splits import capped_sample, day_blocks, hashed_days, held_out
+from panelworks.operators import boosting
+from panelworks.operators.isotonic import calibrated, isotonic
+from panelworks.operators.sampling import capped_sample
+from panelworks.operators.splits import day_blocks, hashed_days, held_out
 from panelworks.sources.durable import durable
 from panelworks.sources.tables import assert_no_label_leak
 
@@ -30,10 +32,13 @@ class Trees:
     leaf: int = 200
     fit_cap: int = 400_000
     seed: int = 7
+    l2: float = 1.0
+
+    def boosting(self, loss: str) -> boosting.Boosting:
+        return boosting.Boosting(self.rounds, self.depth, self.rate, self.leaf, self.l2, loss)
 
 
 FACTORIES = {
-    "gbt": lambda c: GBTClassifier(featuresCol="features", labelCol="label", maxIter=c.rounds, maxDepth=c.depth, stepSize=c.rate, minInstancesPerNode=c.leaf, maxBins=255, seed=c.seed),
     "forest": lambda c: RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=c.rounds, maxDepth=c.depth, minInstancesPerNode=c.leaf, seed=c.seed),
     "logistic": lambda c: LogisticRegression(featuresCol="features", labelCol="label", regParam=0.01),
 }
@@ -47,41 +52,46 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return out.drop(*(f"_f_{c}" for c in features), *(f"_m_{c}" for c in features))
 
 
-def fit_classifier(train: DataFrame, kind: str = "gbt", cfg: Trees = Trees()):
-    return FACTORIES[kind](cfg).fit(train)
+def prepared(df: DataFrame, features: list[str], kind: str) -> DataFrame:
+    """``df`` as the kind of model needs it: boosted trees read the features themselves."""
+    assert_no_label_leak(features)
+    return df if kind == "gbt" else assembled(df, features)
+
+
+def fit_classifier(train: DataFrame, kind: str = "gbt", cfg: Trees = Trees(), features: list[str] | None = None):
+    """``train`` is ``prepared``; of an ``assembled`` one the features are known. Kinds: gbt, forest, logistic."""
+    if kind != "gbt":
+        return FACTORIES[kind](cfg).fit(train)
+    if features is None:
+        names = [a["name"] for kinds in train.schema["features"].metadata["ml_attr"]["attrs"].values() for a in kinds]
+        features = [n[3:] for n in names if n.startswith("_f_")]
+    return boosting.fit(train, features, "label", cfg.boosting("log"))
 
 
 def probability(model, df: DataFrame, out: str = "p_raw") -> DataFrame:
+    if isinstance(model, boosting.Model):
+        return df.withColumn(out, model.score(df.sparkSession))
     scored = model.transform(df)
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def fit_regressor(train: DataFrame, cfg: Trees = Trees()):
-    """Absolute-error boosting: about a median."""
-    return GBTRegressor(featuresCol="features", labelCol="label", lossType="absolute", maxIter=cfg.rounds, maxDepth=cfg.depth, stepSize=cfg.rate, minInstancesPerNode=cfg.leaf, maxBins=255, seed=cfg.seed).fit(train)
+def fit_regressor(train: DataFrame, features: list[str], cfg: Trees = Trees()) -> boosting.Model:
+    """Absolute-error boosting: the typical value, not the average."""
+    return boosting.fit(train, features, "label", cfg.boosting("absolute"))
 
 
 def walk_forward(df: DataFrame, folds: DataFrame, features: list[str], kind: str = "gbt", cfg: Trees = Trees()) -> DataFrame:
     """Scores of each fold's test block by a model of its training days. One fit per fold, folds are a handful."""
-    data = durable(assembled(df, features))
+    data = durable(prepared(df, features, kind))
     parts = []
     for f in folds.orderBy("block").collect():
         train = data.where(F.col("ts") <= F.lit(f["train_end"])).where("label is not null")
         train = capped_sample(train, "key", cfg.fit_cap, cfg.seed) if "key" in df.columns else train
         test = data.where(F.col("ts").between(F.lit(f["test_start"]), F.lit(f["test_end"])))
-        parts.append(probability(fit_classifier(train, kind, cfg), test).withColumn("fold", F.lit(f["block"]).cast("long")).drop("features"))
+        parts.append(probability(fit_classifier(train, kind, cfg, features), test).withColumn("fold", F.lit(f["block"]).cast("long")).drop("features"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def isotonic(train: DataFrame, score: str, y: str):
-    return IsotonicRegression(featuresCol="_x", labelCol=y, isotonic=True).fit(train.select(F.col(score).cast("double").alias("_x"), F.col(y).cast("double").alias(y)))
-
-
-def calibrated(model, df: DataFrame, score: str, out: str = "p_cal") -> DataFrame:
-    scored = model.transform(df.withColumn("_x", F.col(score).cast("double")))
-    return scored.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))).drop("_x", "prediction")
-
-
 def calibrated_by_earlier_folds(scored: DataFrame, score: str = "p_raw", y: str = "label") -> DataFrame:
     """Adds ``conf_cf``: each fold's calibration fitted on earlier folds only; NULL in the first."""
     folds = sorted(r["fold"] for r in scored.select("fold").distinct().collect())
@@ -94,13 +104,13 @@ def calibrated_by_earlier_folds(scored: DataFrame, score: str = "p_raw", y: str
 
 def bagged(df: DataFrame, sessions: DataFrame, features: list[str], bags: int = 10, share: float = 0.8, kind: str = "forest", cfg: Trees = Trees(rounds=150, depth=3, rate=0.05, leaf=100)) -> list:
     """Members fitted on whole days each."""
-    data = durable(assembled(df.where("label is not null"), features))
-    return [fit_classifier(data.join(F.broadcast(hashed_days(sessions, share, b)), "ts", "left_semi"), kind, cfg) for b in range(bags)]
+    data = durable(prepared(df.where("label is not null"), features, kind))
+    return [fit_classifier(data.join(F.broadcast(hashed_days(sessions, share, b)), "ts", "left_semi"), kind, cfg, features) for b in range(bags)]
 
 
 def bag_predictions(members: list, df: DataFrame, features: list[str], iso=None) -> DataFrame:
     """Adds ``meta_p`` (mean of the members) and ``spread_lo``/``spread_hi``, their 10th and 90th percentiles; all calibrated by ``iso`` if given."""
-    d = assembled(df, features)
+    d = df if all(isinstance(m, boosting.Model) for m in members) else assembled(df, features)
     for b, m in enumerate(members):
         d = probability(m, d, f"_p{b}")
     d = d.withColumn("meta_p", sum((F.col(f"_p{b}") for b in range(len(members))), F.lit(0.0)) / len(members))
@@ -128,35 +138,34 @@ def fit_bundle(train: DataFrame, features: list[str], cfg: Trees = Trees()) -> d
     ``train`` has key, ft, mfe, mae and days_tp. Rows without an outcome do not count; sessions are
     learnt from rows whose target came first. At most ``fit_cap`` rows each, the first by a hash of the key.
     """
-    data = durable(assembled(train.where("ft is not null").select("key", "ft", "mfe", "mae", "days_tp", *features), features))
+    assert_no_label_leak(features)
+    data = durable(train.where("ft is not null").select("key", "ft", "mfe", "mae", "days_tp", *features))
     rows = capped_sample(data, "key", cfg.fit_cap, cfg.seed)
     reached = capped_sample(data.where("ft = 1 and days_tp is not null"), "key", cfg.fit_cap, cfg.seed)
     labelled = lambda df, c: df.withColumn("label", c.cast("double")).where("label is not null")
     return {
-        "TP": fit_classifier(labelled(rows, F.col("ft") == 1), "gbt", cfg),
-        "SL": fit_classifier(labelled(rows, F.col("ft") == -1), "gbt", cfg),
-        "MFE": fit_regressor(labelled(rows, F.col("mfe")), cfg),
-        "MAE": fit_regressor(labelled(rows, F.col("mae")), cfg),
-        "DAYS": fit_regressor(labelled(reached, F.col("days_tp")), cfg),
+        "TP": fit_classifier(labelled(rows, F.col("ft") == 1), "gbt", cfg, features),
+        "SL": fit_classifier(labelled(rows, F.col("ft") == -1), "gbt", cfg, features),
+        "MFE": fit_regressor(labelled(rows, F.col("mfe")), features, cfg),
+        "MAE": fit_regressor(labelled(rows, F.col("mae")), features, cfg),
+        "DAYS": fit_regressor(labelled(reached, F.col("days_tp")), features, cfg),
     }
 
 
 def predict_bundle(bundle: dict, df: DataFrame, features: list[str], horizon: int = 5) -> DataFrame:
     """Adds raw, p_sl, mfe_hat, mae_hat and days_hat, the last within 1 and ``horizon``."""
-    d = probability(bundle["SL"], probability(bundle["TP"], assembled(df, features), "raw"), "p_sl")
-    for name, out in (("MFE", "mfe_hat"), ("MAE", "mae_hat"), ("DAYS", "days_hat")):
-        d = bundle[name].transform(d).withColumnRenamed("prediction", out)
-    return d.withColumn("days_hat", F.greatest(F.lit(1.0), F.least(F.lit(float(horizon)), F.col("days_hat")))).drop("features")
+    outs = {"TP": "raw", "SL": "p_sl", "MFE": "mfe_hat", "MAE": "mae_hat", "DAYS": "days_hat"}
+    d = df.withColumns({out: bundle[name].score(df.sparkSession) for name, out in outs.items()})
+    return d.withColumn("days_hat", F.greatest(F.lit(1.0), F.least(F.lit(float(horizon)), F.col("days_hat"))))
 
 
 def save_bundle(bundle: dict, path: str) -> None:
     for name in BUNDLE:
-        bundle[name].write().overwrite().save(f"{path}/{name}")
+        bundle[name].save(SparkSession.active(), f"{path}/{name}")
 
 
 def load_bundle(path: str) -> dict:
-    kinds = {"TP": GBTClassificationModel, "SL": GBTClassificationModel}
-    return {name: kinds.get(name, GBTRegressionModel).load(f"{path}/{name}") for name in BUNDLE}
+    return {name: boosting.Model.load(SparkSession.active(), f"{path}/{name}") for name in BUNDLE}
 
 
 @dataclass(frozen=True)
@@ -179,7 +188,7 @@ def fit_meta(df: DataFrame, sessions: DataFrame, features: list[str], top: int =
         d = held_out(known, b)
         train, block = d.where("part = 'train'"), d.where("part = 'block'")
         if train.agg(F.count_distinct("label")).first()[0] > 1:
-            parts.append(bag_predictions(bagged(train, sessions, features, oof_bags, kind=kind, cfg=cfg), block, features).select("ts", "symbol", "rk", "label", "meta_p"))
+            parts.append(bag_predictions(bagged(train, train.select("ts").distinct(), features, oof_bags, kind=kind, cfg=cfg), block, features).select("ts", "symbol", "rk", "label", "meta_p"))
     if not parts:
         raise ValueError("labels of one class only: nothing to learn")
     oof = durable(reduce(lambda a, b: a.unionByName(b), parts))
@@ -198,10 +207,10 @@ def predict_meta(fitted: Meta, df: DataFrame, features: list[str]) -> DataFrame:
 
 def importance(members: list, features: list[str], top: int = 8) -> list[tuple[str, float]]:
     """Share of the split gain of each feature over all members, its missing flag included; the largest first."""
-    gain = np.zeros(2 * len(features))
+    both = np.zeros(len(features))
     for m in members:
-        gain += m.featureImportances.toArray()
-    both = gain[: len(features)] + gain[len(features) :]
+        gain = m.gains() if isinstance(m, boosting.Model) else m.featureImportances.toArray()
+        both += gain[: len(features)] + (gain[len(features) :] if len(gain) > len(features) else 0.0)
     if both.sum() <= 0:
         return []
     return sorted(zip(features, (both / both.sum()).tolist()), key=lambda x: (-x[1], x[0]))[:top]

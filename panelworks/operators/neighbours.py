@@ -2,56 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-POOL = 200_000  # rows of a pool at most; the caller samples down to it
-
-
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
-
-
-def knn_cross(queries: DataFrame, pool: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """(query_id, rank, id, dist): the k nearest pool rows of each query, ties to the smaller id.
-
-    ``queries`` and ``pool``: id, v (equal widths). The pool is broadcast, its size checked; queries
-    are worked off in blocks where they lie, without a shuffle.
-    """
-    rows = pool.select("id", "v").where("v is not null").limit(POOL + 1).toArrow()
-    if rows.num_rows > POOL:
-        raise ValueError(f"the pool has more than {POOL} rows; sample it first")
-    ids, vectors = rows.column("id").to_numpy(), _vectors(rows.column("v").combine_chunks())
-    order = np.argsort(ids)
-    shared = queries.sparkSession.sparkContext.broadcast((ids[order], vectors[order] if len(ids) else vectors))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows if len(ids) else 0, block):
-                part = batch.slice(lo, block)
-                own, q = np.asarray(part.column("id")), _vectors(part.column("v"))
-                rough = (q**2).sum(1)[:, None] - 2 * q @ vectors.T + (vectors**2).sum(1)
-                wide = min(len(ids), k + 16)
-                near = np.sort(np.argpartition(rough, wide - 1, axis=1)[:, :wide], axis=1)
-                dist = np.sqrt(((vectors[near] - q[:, None]) ** 2).sum(2))
-                first = np.argsort(np.round(dist, 9), axis=1, kind="stable")[:, : min(k, len(ids))]
-                n = first.shape[1]
-                at = np.take_along_axis(near, first, 1)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(own, n)), "rank": pa.array(np.tile(np.arange(1, n + 1, dtype=np.int64), len(own))), "id": pa.array(ids[at].ravel()), "dist": pa.array(np.take_along_axis(dist, first, 1).ravel())})
-
-    return queries.select("id", "v").where("v is not null").mapInArrow(run, "query_id long, rank long, id long, dist double")
-
+from panelworks.operators import analogues
 
 def knn_sharded(queries: DataFrame, pool: DataFrame, k: int, digits: int = 9, shard_rows: int = 8192, block_queries: int = 1024) -> DataFrame:
-    """(query_id, rank, id, dist): as ``knn_cross``, over a pool of any size.
+    """(query_id, rank, id, dist): the k nearest pool rows of each query, ties to the smaller id.
 
-    Pool rows are dealt into shards and queries into blocks, both of bounded size; each (shard, block)
+    ``queries`` and ``pool``: id, v. Pool rows are dealt into shards and queries into blocks, both of bounded size; each (shard, block)
     gives its k nearest rows, which a window merges. A pool row with the query's own id is skipped.
     Distances are ranked by their ``digits`` decimal places; equal query rows count once. Vectors meet
     those of their own width.
@@ -91,23 +52,19 @@ def knn_sharded(queries: DataFrame, pool: DataFrame, k: int, digits: int = 9, sh
     return best.select(*names).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
 
 
-def knn_self(rows: DataFrame, dims: list[str], outcome: str, k: int = 20, lag: int = 6, least: int = 30, eps: float = 0.1) -> DataFrame:
+def knn_self(rows: DataFrame, dims: list[str], outcome: str, k: int = 20, lag: int = 6, least: int = 30, eps: float = 0.1, sizes: analogues.Sizes = analogues.Sizes()) -> DataFrame:
     """(symbol, ts, n, dist, mean): the distance-weighted outcome of a symbol's own k nearest finished moments.
 
     ``rows``: symbol, ts, sidx, dims, outcome. The pool of a month are rows entered ``lag`` sessions
-    before the month's first session or earlier. A symbol's history is its sessions, so the join is
-    bounded by them; symbols spread over tasks.
+    before the month's first session or earlier. Rows with a missing dimension take no part.
     """
     month = F.date_trunc("month", "ts")
     cuts = rows.groupBy(month.alias("month")).agg((F.min("sidx") - lag).alias("cut"))
-    q = rows.withColumn("month", month).join(F.broadcast(cuts), "month").select("symbol", "ts", "cut", *[F.col(d).alias(f"q_{d}") for d in dims])
-    p = rows.where(F.col(outcome).isNotNull()).select("symbol", "sidx", *dims, F.col(outcome).alias("y"))
-    dist = F.sqrt(sum((F.pow(F.col(f"q_{d}") - F.col(d), 2) for d in dims), F.lit(0.0)))
-    pairs = q.join(p, "symbol").where("sidx <= cut").select("symbol", "ts", "sidx", "y", F.round(dist, 9).alias("d"))
-    key = Window.partitionBy("symbol", "ts")
-    near = pairs.withColumns({"_r": F.row_number().over(key.orderBy("d", "sidx")), "n": F.count("*").over(key)}).where((F.col("_r") <= k) & (F.col("n") >= least))
-    w = 1.0 / (F.col("d") + eps)
-    return near.groupBy("symbol", "ts").agg(F.max("n").alias("n"), F.avg("d").alias("dist"), (F.sum(w * F.col("y")) / F.sum(w)).alias("mean"))
+    known = rows.where(analogues.finite(dims)).withColumn("sidx", F.col("sidx").cast("long"))
+    q = known.withColumn("month", month).join(F.broadcast(cuts), "month").select("symbol", "ts", F.col("cut").cast("long").alias("cut"), F.lit(0).cast("long").alias("limit"), *dims)
+    p = known.where(F.col(outcome).isNotNull()).select("sidx", F.col("symbol").alias("who"), F.lit(0).cast("long").alias("sampled"), *dims, F.col(outcome).cast("double").alias("y"))
+    near = analogues.within(p, q.toDF(*q.columns), dims, ("y",), k, eps, "_", sizes).where(F.col("_n") >= least)
+    return near.select("symbol", "ts", F.col("_n").alias("n"), F.col("_dist").alias("dist"), F.col("_y").alias("mean"))
 
 
 def declustered(pairs: DataFrame, keys: list[str], k: int = 10, spacing: int = 5) -> DataFrame:

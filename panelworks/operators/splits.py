@@ -1,4 +1,4 @@
-"""Walk-forward folds, nested blocks and day blocks on the session axis; sampling by hash order.
+"""Walk-forward folds, nested blocks and day blocks on the session axis; bags of days by hash order.
 
 All of it is arithmetic on session numbers, so the tables have a row per session or per fold.
 """
@@ -50,11 +50,6 @@ def hashed_days(sessions: DataFrame, share: float = 0.8, bag: int = 0) -> DataFr
     return d.where(F.col("_r") <= F.floor(F.col("_n") * share)).select("ts")
 
 
-def capped_sample(df: DataFrame, key: str, cap: int, seed: int = 7) -> DataFrame:
-    """At most ``cap`` rows, the first by a hash of the key: the same rows for all who ask."""
-    return df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))).orderBy("_h", key).limit(cap).drop("_h")
-
-
 def lockbox_parts(sessions: DataFrame, share: float = 0.15, embargo: int = 5) -> DataFrame:
     """(ts, part): research, a gap of ``embargo`` sessions, and the lockbox, the last ``share`` that no fold may see."""
     d = _numbered(sessions)

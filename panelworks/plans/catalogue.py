@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions import net_return, outcome_name, percentile_word
-from panelworks.operators import books, evaluation, evidence, labels, models, neighbours, panel_features, ranking, splits
-from panelworks.plans.oracle import sql
+from panelworks.operators import books, evaluation, evidence, labels, models, neighbours, panel_features, ranking, sampling, splits
+from panelworks.plans.oracle import interpolated, interval_sql, isotonic_sql, sql
 from panelworks.plans.views import labelled, scores
 from panelworks.sources.tables import bars, day_panel, scan, scored_docs, sessions
 
@@ -436,7 +436,7 @@ def day_bags(spark, d):
 
 @query("SELECT o_orderkey FROM orders ORDER BY md5(concat(o_orderkey::VARCHAR, ':7')), o_orderkey LIMIT 500")
 def capped_sample(spark, d):
-    return splits.capped_sample(scan(spark, d, "orders", "o_orderkey"), "o_orderkey", 500)
+    return sampling.capped_sample(scan(spark, d, "orders", "o_orderkey"), "o_orderkey", 500)
 
 
 _SCREEN = """
@@ -452,17 +452,24 @@ def feature_screen(spark, d):
     return tidy(panel_features.feature_screen(x, ["open", "half_close", "ret1", "sparse"]))
 
 
-@query(sql("scores", f"SELECT t.ts, {r('t.net=>net', 't.net - u.uni=>excess', 't.stretch=>net_stretch', 'h.hedged=>hedged', 'b.filtered=>meta_filtered', 'b.sized=>meta_sized', 'b.reranked=>meta_reranked')} FROM (SELECT ts, avg(net) AS net, avg(xr_s - 0.0035) AS stretch FROM ranked WHERE rk <= 3 GROUP BY ts) t JOIN (SELECT ts, avg(net) AS uni FROM ranked GROUP BY ts) u USING (ts) JOIN (SELECT ts, avg(hedged) AS hedged FROM hd GROUP BY ts) h USING (ts) JOIN bk b USING (ts)", _BENCH + "," + _ARMS + f", hd AS (SELECT t.ts, t.net - (e.close / s.close - 1) - 0.0003 AS hedged FROM tr3 t LEFT JOIN bench s ON t.ts = s.ts LEFT JOIN bench e ON e.i = s.i + t.hold), bk AS (SELECT ts, sum(CASE WHEN rk <= 3 AND keep THEN net ELSE 0 END) / 3 AS filtered, sum(CASE WHEN rk <= 3 THEN net * coalesce(size_x, 1) ELSE 0 END) / 3 AS sized, sum(CASE WHEN mrank <= 3 THEN net ELSE 0 END) / 3 AS reranked FROM arms GROUP BY ts)"))
+_RESOLVED = _BENCH + "," + _ARMS + """, hd AS (SELECT t.ts, t.net - (e.close / s.close - 1) - 0.0003 AS hedged FROM tr3 t LEFT JOIN bench s ON t.ts = s.ts LEFT JOIN bench e ON e.i = s.i + t.hold),
+bk AS (SELECT ts, sum(CASE WHEN rk <= 3 AND keep THEN net ELSE 0 END) / 3 AS filtered, sum(CASE WHEN rk <= 3 THEN net * coalesce(size_x, 1) ELSE 0 END) / 3 AS sized, sum(CASE WHEN mrank <= 3 THEN net ELSE 0 END) / 3 AS reranked FROM arms GROUP BY ts),
+seven AS (SELECT t.ts, t.net, t.net - u.uni AS excess, t.stretch AS net_stretch, h.hedged, b.filtered AS meta_filtered, b.sized AS meta_sized, b.reranked AS meta_reranked FROM (SELECT ts, avg(net) AS net, avg(xr_s - 0.0035) AS stretch FROM ranked WHERE rk <= 3 GROUP BY ts) t
+  JOIN (SELECT ts, avg(net) AS uni FROM ranked GROUP BY ts) u USING (ts) JOIN (SELECT ts, avg(hedged) AS hedged FROM hd GROUP BY ts) h USING (ts) JOIN bk b USING (ts))"""
+_SEVEN = ("net", "excess", "net_stretch", "hedged", "meta_filtered", "meta_sized", "meta_reranked")
+
+
+@query(sql("scores", f"SELECT ts, {r(*_SEVEN)} FROM seven", _RESOLVED))
 def resolve_arms(spark, d):
     """All seven arms of a session from one grouping of its five best."""
     return tidy(books.resolved_arms(_hedged(_arms(spark, d), spark, d)))
 
 
-@query()
+@query(sql("scores", f"SELECT series, n_dates, {r('mean', 'CASE WHEN n_dates >= 40 THEN lo END=>lo', 'CASE WHEN n_dates >= 40 THEN hi END=>hi')} FROM intervals", _RESOLVED + "," + interval_sql(f"SELECT name AS series, ts, value FROM (UNPIVOT seven ON {', '.join(_SEVEN)})")))
 def resolve_intervals(spark, d):
     """Mean of each arm; an interval from 40 sessions on."""
     arms = books.resolved_arms(_hedged(_arms(spark, d), spark, d))
-    return evidence.guarded_intervals(evidence.block_bootstrap(arms, [c for c in arms.columns if c != "ts"]))
+    return tidy(evidence.guarded_intervals(evidence.block_bootstrap(arms, [c for c in arms.columns if c != "ts"])))
 
 
 @query(sql("scores", " UNION ALL ".join(f"SELECT '{v}' AS version, year(ts) AS year, {r('avg(m) * 1e4=>net_bp')} FROM (SELECT ts, avg(xr_{v} - 0.0035) AS m FROM ranked WHERE rk <= 3 GROUP BY ts) GROUP BY year(ts)" for v in "abc")))
@@ -513,9 +520,13 @@ def semi_join_top_types(spark, d):
     return e.join(F.broadcast(top), "event_type", "left_semi").groupBy("event_type", F.to_date("ts").alias("ts")).agg(F.count("*").alias("n"))
 
 
-@query()
+VERDICT = "CASE WHEN lo > 0 THEN 'better' WHEN hi < 0 THEN 'worse' ELSE 'no clear difference' END AS verdict"
+_DAILY = "dl AS (SELECT ts, avg(net) FILTER (rk <= 3) AS top_net, avg(net) AS universe_net, avg(net) FILTER (rk <= 3) - avg(net) AS excess FROM ranked GROUP BY ts)"
+
+
+@query(sql("scores", f"SELECT series, n_dates, verdict, {r('mean', 'lo', 'hi')} FROM (SELECT *, {VERDICT} FROM intervals)", _DAILY + "," + interval_sql("SELECT name AS series, ts, value FROM (UNPIVOT dl ON top_net, universe_net, excess)")))
 def block_bootstrap(spark, d):
-    return evidence.decided(evidence.block_bootstrap(ranking.topn_vs_universe(scores(spark, d)), ["top_net", "universe_net", "excess"]))
+    return tidy(evidence.decided(evidence.block_bootstrap(ranking.topn_vs_universe(scores(spark, d)), ["top_net", "universe_net", "excess"])))
 
 
 SMALL = models.Trees(rounds=4, depth=3, rate=0.1, leaf=20)
@@ -533,10 +544,13 @@ def gbt_walkforward(spark, d):
     return models.calibrated_by_earlier_folds(out.select("ts", "symbol", "fold", "p_raw", "label")).select("ts", "symbol", "fold", "p_raw", "conf_cf")
 
 
-@query()
+@query(sql("docs", f"SELECT doc_id, {r('p', 'v=>p_cal')} FROM ({interpolated('p', 'rest')})", isotonic_sql("SELECT p AS x, y FROM docs") + ", rest AS (SELECT doc_id, n_chars::DOUBLE / (n_chars::DOUBLE + 1500.0) AS p FROM documents ANTI JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL)"))
 def isotonic_calibrate(spark, d):
-    docs = scored_docs(spark, d)
-    return models.calibrated(models.isotonic(docs, "p", "y"), docs, "p")
+    """Fitted on the documents with a quality label, applied to those without."""
+    learnt = models.isotonic(scored_docs(spark, d), "p", "y")
+    n = F.col("n_chars").cast("double")
+    rest = scan(spark, d, "documents", "doc_id", "n_chars").where("n_chars is not null").join(scan(spark, d, "labels", "doc_id"), "doc_id", "left_anti")
+    return tidy(models.calibrated(learnt, rest.select("doc_id", (n / (n + 1500.0)).alias("p")), "p"))
 
 
 @query()

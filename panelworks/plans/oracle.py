@@ -56,3 +56,35 @@ NEEDS = {"bars": ["bars"], "labels": ["bars", "labels"], "scores": ["bars", "lab
 def sql(view: str, body: str, more: str = "") -> str:
     parts = [VIEWS[v] for v in NEEDS[view]] + ([more] if more else [])
     return "WITH " + ",".join(parts) + "\n" + body
+
+
+def interval_sql(series: str, block: int = 5, draws: int = 2000, seed: int = 7) -> str:
+    """CTEs that end in ``intervals`` (series, mean, lo, hi, n_dates) of ``series``, a query of (series, ts, value)."""
+    lead = lambda k: f"lead(value, {k}) OVER (PARTITION BY series ORDER BY i)" if k else "value"
+    whole = " + ".join(lead(k) for k in range(block))
+    cut = " + ".join(f"CASE WHEN (n - 1) % {block} >= {k} THEN {lead(k)} ELSE 0 END" for k in range(block))
+    return f"""
+sr AS MATERIALIZED (SELECT series, ts, value FROM ({series}) WHERE value IS NOT NULL),
+si AS (SELECT series, value, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM sr),
+sb AS MATERIALIZED (SELECT * FROM (SELECT series, i, n, {whole} AS whole, {cut} AS cut FROM (FROM si UNION ALL SELECT series, value, i + n, n FROM si WHERE i < {block})) WHERE i < n),
+sm AS (SELECT series, avg(value) AS mean, count(*) AS n_dates FROM sr GROUP BY series),
+sd AS (SELECT series, n_dates, draw, unnest(range(CAST(ceil(n_dates / {block}.0) AS BIGINT))) AS b FROM sm, range({draws}) x(draw) WHERE n_dates >= {2 * block}),
+st AS (SELECT *, ('0x' || substr(md5(concat_ws(':', series, {seed}, draw, b)), 1, 8))::BIGINT % n_dates AS i FROM sd),
+sw AS (SELECT series, draw, sum(CASE WHEN b = ceil(n_dates / {block}.0) - 1 THEN cut ELSE whole END) / n_dates AS drawn FROM st JOIN sb USING (series, i) GROUP BY series, draw, n_dates),
+intervals AS (SELECT series, mean, quantile_cont(drawn, 0.025) AS lo, quantile_cont(drawn, 0.975) AS hi, n_dates FROM sm LEFT JOIN sw USING (series) GROUP BY series, mean, n_dates)"""
+
+
+def isotonic_sql(points: str) -> str:
+    """CTEs that end in ``fitted`` (x, v): the isotonic fit at each x of ``points``, a query of (x, y), by its min-max form."""
+    return f"""
+ip AS (SELECT x, sum(y)::DOUBLE AS s, count(*) AS n FROM ({points}) GROUP BY x),
+iq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS ts, sum(n) OVER (ORDER BY x) AS tn FROM ip),
+im AS (SELECT a.i, b.i AS j, (b.ts - a.ts + a.s) / (b.tn - a.tn + a.n)::DOUBLE AS m FROM iq a JOIN iq b ON b.i >= a.i),
+il AS (SELECT i, j, min(m) OVER (PARTITION BY i ORDER BY j DESC) AS m FROM im),
+fitted AS (SELECT x, v FROM (SELECT j, max(m) AS v FROM il GROUP BY j) JOIN iq ON iq.i = j)"""
+
+
+def interpolated(x: str, at: str) -> str:
+    """Query of ``at`` (a table with a column ``x``) and v: between the fitted points straight lines, beyond them their ends."""
+    return f"""SELECT d.*, CASE WHEN lo.x IS NULL THEN hi.v WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.v ELSE lo.v + (hi.v - lo.v) * (d.{x} - lo.x) / (hi.x - lo.x) END AS v
+FROM {at} d ASOF LEFT JOIN fitted lo ON d.{x} >= lo.x ASOF LEFT JOIN fitted hi ON d.{x} <= hi.x"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelworks.functions import net_return
 from panelworks.operators import daybook, evidence, labels, models, panel_features, ranking, splits
 from panelworks.plans.catalogue import _RET, _folds, _learning, query, r, tidy
-from panelworks.plans.oracle import sql
+from panelworks.plans.oracle import interval_sql, sql
 from panelworks.plans.views import labelled, scores
 from panelworks.sources.tables import bars, scan, sessions
 
@@ -164,9 +164,13 @@ def block_training(spark, d):
     return out
 
 
-@query()
+_TOPS = "tn AS (SELECT ts, " + ", ".join(f"avg({c}) FILTER (rk <= {n}) AS {c}_{n}" for n in (1, 3, 5, 10) for c in ("hit", "net")) + " FROM ranked GROUP BY ts)"
+_TOP_SERIES = ", ".join(f"{c}_{n}" for n in (1, 3, 5, 10) for c in ("hit", "net"))
+
+
+@query(sql("scores", f"SELECT split_part(series, '_', 2)::BIGINT AS top_n, split_part(series, '_', 1) AS measure, n_dates, series LIKE 'net%' AND coalesce(lo > 0, false) AS clears, {r('mean', 'lo', 'hi')} FROM intervals", _TOPS + "," + interval_sql(f"SELECT name AS series, ts, value FROM (UNPIVOT tn ON {_TOP_SERIES})")))
 def topn_evidence(spark, d):
-    return evidence.topn_evidence(scores(spark, d))
+    return tidy(evidence.topn_evidence(scores(spark, d)))
 
 
 TINY = models.Trees(rounds=4, depth=3, rate=0.1, leaf=20)

@@ -125,17 +125,9 @@ def test_declustered_neighbours_against_a_loop(spark):
     assert [(p.d, p.sidx) for p in got] == want
 
 
-def test_knn_cross_refuses_an_unbounded_pool(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "POOL", 3)
-    df = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "id long, v array<double>")
-    with pytest.raises(ValueError):
-        neighbours.knn_cross(df, df, 1)
-
-
-def test_knn_query_takes_a_pool_of_any_size(spark, monkeypatch):
+def test_knn_query_takes_a_pool_of_any_size(spark):
     from panelworks.plans import catalogue
 
-    monkeypatch.setattr(neighbours, "POOL", 3)
     assert catalogue.QUERIES["knn_cross"](spark, "/root/testdata/sf0.001").count() == 250
 
 
