@@ -64,6 +64,17 @@ def percentile_word(x: Column) -> Column:
     return F.when(x >= 90, "very high").when(x >= 75, "high").when(x <= 10, "very low").when(x <= 25, "low").when(x.isNotNull(), "middle")
 
 
+def percent(x: Column, places: int = 0) -> Column:
+    """A share in percent, rounded half away from zero."""
+    return F.round(100 * x, places)
+
+
+def band_text(low: Column, high: Column) -> Column:
+    """An interval of shares as whole percents, ``12-34``; ``n/a`` if an end is missing."""
+    whole = lambda x: percent(x).cast("long").cast("string")
+    return F.coalesce(F.concat(whole(low), F.lit("-"), whole(high)), F.lit("n/a"))
+
+
 def content_id(*columns: str) -> Column:
     """First ten hex digits of the SHA-1 of a row's JSON."""
     return F.substring(F.sha1(F.to_json(F.struct(*columns))), 1, 10)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions import clip, equal_buckets, two_errors
-from panelworks.operators.ranking import global_average_rank
+from panelworks.operators.ranking import global_average_rank, spearman
 
 
 def roc_auc(df: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
@@ -72,6 +72,23 @@ def error_vs_naive(df: DataFrame, predicted: str, real: str) -> DataFrame:
     return out.withColumn("better", F.col("error_model") < F.col("error_naive"))
 
 
+def reliability(df: DataFrame, predicted: str, real: str, naive: Column | None = None, least_rho: float = 0.10) -> DataFrame:
+    """(n, spearman, error_model, error_naive, verdict) of a prediction, over the rows with both.
+
+    It is ``useful`` if it ranks as the real values do (``least_rho``) and errs less than a constant: the
+    median of all real values unless ``naive`` names a column.
+    """
+    constant = df.agg(F.median(real).alias("_naive"))
+    both = df.where(F.col(predicted).isNotNull() & F.col(real).isNotNull())
+    rho = spearman(both, predicted, real, 1).select(F.col("rho").alias("spearman"))
+    d = both.crossJoin(F.broadcast(constant))
+    guess = F.col("_naive") if naive is None else naive
+    errors = d.agg(F.count("*").alias("n"), F.avg(F.abs(F.col(predicted) - F.col(real))).alias("error_model"), F.avg(F.abs(guess - F.col(real))).alias("error_naive"))
+    out = errors.crossJoin(rho)  # one row each
+    good = (F.col("spearman") >= least_rho) & (F.col("error_model") < F.col("error_naive"))
+    return out.select("n", "spearman", "error_model", "error_naive", F.when(good, "useful").otherwise("weak").alias("verdict"))
+
+
 def within_rank_lift(df: DataFrame, score: str = "p_raw", least: int = 20) -> DataFrame:
     """By rank: net above the rank's median score less net at or below it, in basis points."""
     d = df.withColumn("_m", F.median(score).over(Window.partitionBy("rk")))

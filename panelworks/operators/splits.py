@@ -43,6 +43,21 @@ def calibration_split(sessions: DataFrame, tail: float = 0.25, embargo: int = 5)
     return d.select("ts", F.when(F.col("sidx") < cut, "fit").when(F.col("sidx") >= cut - 1 + embargo, "calibrate").otherwise("gap").alias("part"))
 
 
+def fold_parts(sessions: DataFrame, folds: DataFrame, tail: float = 0.25, embargo: int = 5) -> DataFrame:
+    """(block, ts, part): what each fold's sessions are for: fit, gap, calibrate, embargo or test.
+
+    A fold's training sessions end in a tail for calibration, an embargo after those to fit on. Sessions
+    past the test block do not belong to the fold. Folds are a handful, sessions few.
+    """
+    d = sessions.select("ts", F.col("sidx").cast("long").alias("sidx")).join(F.broadcast(folds), F.col("ts") <= F.col("test_end"))
+    n = F.count_if(F.col("ts") <= F.col("train_end")).over(Window.partitionBy("block"))
+    cut = F.greatest(F.lit(1), F.floor(n * (1 - tail))).cast("long")
+    start = F.least(cut - 1 + embargo, n - 1)
+    at = F.row_number().over(Window.partitionBy("block").orderBy("ts")) - 1
+    part = F.when(F.col("ts") >= F.col("test_start"), "test").when(F.col("ts") > F.col("train_end"), "embargo").when(at < cut, "fit").when(at >= start, "calibrate").otherwise("gap")
+    return d.select("block", "ts", part.alias("part"))
+
+
 def hashed_days(sessions: DataFrame, share: float = 0.8, bag: int = 0) -> DataFrame:
     """Whole days of a bag: the first ``share`` by a hash of day and bag."""
     order = Window.orderBy(F.md5(F.concat(F.col("ts").cast("string"), F.lit(f":{bag}"))))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from panelworks.plans import catalogue, second, trades  # noqa: F401 - second and trades add their queries
+from panelworks.plans import catalogue, second, trades, training  # noqa: F401 - the later ones add their queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,4 +34,4 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_all_other_queries_are_tested_elsewhere():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"meta_model", "model_bundle", "gbt_walkforward", "meta_bag", "nested_evaluation", "ablation", "ab_run"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"baseline_report", "engine_train", "engine_day", "meta_model", "model_bundle", "gbt_walkforward", "meta_bag", "nested_evaluation", "ablation", "ab_run"}
