@@ -43,14 +43,15 @@ def components(links: DataFrame, rounds: int = 60, settle: bool = True) -> DataF
 
     Without ``settle`` it stops after ``rounds``: ids with the same label are connected, but a
     component may still have several labels. Null ends and links of an id with itself count for
-    nothing; an empty table gives an empty result.
+    nothing; an empty table gives an empty result. ``links`` are read twice: hand over a stored table.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b")
+    n = links.count()
     edges, state = edges.mapInArrow(_unite, "u long, v long"), None
     for _ in range(rounds):
-        met = durable(edges.repartition("u").mapInArrow(_unite, "u long, v long"))
+        met = durable(edges.repartition("u").mapInArrow(_unite, "u long, v long"), n)
         up = met.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("w"))
-        edges = durable(met.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v")))
+        edges = durable(met.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v")), n)
         if settle:
             seen = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
             if seen == state:

@@ -223,6 +223,7 @@ def removed_lines(documents: DataFrame, lines: Lines = Lines()) -> DataFrame:
     spark = documents.sparkSession
     documents = documents.where("doc_id is not null and text is not null")
     listed = durable(documents.mapInArrow(_list_lines, "key long, doc_id long, twin long, line long"))
+    n = listed.count()
     parts = lines.parts_per_shuffle_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.select("text")
     hits = texts.mapInArrow(_pack(lines, parts), "part long, ready boolean, entries binary").groupBy("part").applyInPandas(_shared, "bucket long, id long").distinct()
@@ -234,8 +235,8 @@ def removed_lines(documents: DataFrame, lines: Lines = Lines()) -> DataFrame:
 
     labels = linked(hits, profile, lines.similarity, _expand(lines)).select(F.col("id").alias("key"), "label")
     counts = listed.groupBy("key").agg(F.count("*").alias("n"))
-    met = durable(counts.join(labels, "key", "left").where("n > 1 or label is not null").select("key", F.coalesce("label", "key").alias("label")))
-    places = durable(listed.join(met, "key").select("label", F.struct("doc_id", "twin", "line").alias("place")))
+    met = durable(counts.join(labels, "key", "left").where("n > 1 or label is not null").select("key", F.coalesce("label", "key").alias("label")), n)
+    places = durable(listed.join(met, "key").select("label", F.struct("doc_id", "twin", "line").alias("place")), n)
     kept = places.groupBy("label").agg(F.min("place").alias("kept"))
     gone = places.join(kept, "label").where("place <> kept")
     return gone.groupBy("place.doc_id", "place.twin").agg(F.sort_array(F.collect_set("place.line")).alias("removed"))

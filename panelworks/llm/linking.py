@@ -275,26 +275,27 @@ def linked(hits: DataFrame, profile: Callable[[DataFrame], DataFrame], similarit
     """
     spark = hits.sparkSession
     hits = durable(hits.select("bucket", "id"))
-    profiles = durable(profile(hits.select("id").distinct()))
-    links = durable(verified(_star(hits.withColumn("label", F.col("id")), 0), profiles, similarity, expand))
+    n = hits.count()  # no table below but the last has more rows, a few times as many at most
+    profiles = durable(profile(hits.select("id").distinct()), n)
+    links = durable(verified(_star(hits.withColumn("label", F.col("id")), 0), profiles, similarity, expand), n)
     sizes = profiles.select("id", F.octet_length("body").cast("long").alias("bytes"))
     for k in range(1, similarity.stars + 1):
         labelled = sizes.join(components(links, 1, settle=False), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "bytes")
-        held = hits.join(durable(labelled), "id")
+        held = hits.join(durable(labelled, n), "id")
         open_ = held.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high and n > 3").select("bucket", "n", "total")
-        rest = durable(held.join(open_, "bucket").withColumn("large", (F.col("n") > similarity.small) | (F.col("total") > similarity.block_bytes)))
+        rest = durable(held.join(open_, "bucket").withColumn("large", (F.col("n") > similarity.small) | (F.col("total") > similarity.block_bytes)), n)
         large = rest.where("large")
         wide = _tops(large).where(F.col("n") - F.col("m") > similarity.block)  # more than a block of members outside the largest component
         if k == similarity.stars or wide.isEmpty():
             break
-        links = durable(links.unionByName(verified(_star(large.join(wide.select("bucket"), "bucket", "left_semi").select("bucket", "id", "label"), k), profiles, similarity, expand)))
+        links = durable(links.unionByName(verified(_star(large.join(wide.select("bucket"), "bucket", "left_semi").select("bucket", "id", "label"), k), profiles, similarity, expand)), n)
     few = rest.where("not large")
     load = few.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     packs = max(1, -(-load[0] // (2 * similarity.small)), -(-load[1] // similarity.block_bytes))
     packed = few.select(F.pmod(F.xxhash64("bucket"), F.lit(packs)).alias("pack"), F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"), F.lit(0).cast("long").alias("own"), "bucket", "id", "label")
     groups = packed.unionByName(_blocks(large, similarity)).join(profiles, "id")
     across = groups.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack", "lo", "hi").groupBy("pack", "lo", "hi").applyInPandas(_across(similarity, expand), "a long, b long")
-    return components(durable(links.unionByName(across)))
+    return components(durable(links.unionByName(across), n))
 
 
 def _tops(large: DataFrame) -> DataFrame:
