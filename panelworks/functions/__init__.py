@@ -13,12 +13,11 @@ def rank_by_score(score: str, *ties: str, by: str = "ts") -> Column:
 
 
 def average_rank(value: str, by: str | list[str]) -> Column:
-    """Ascending rank, ties sharing their mean rank; NULL stays NULL."""
+    """Ascending rank, ties sharing their mean rank; NULL stays NULL. Several in a row need one exchange by the group."""
     by = [by] if isinstance(by, str) else by
-    present = F.col(value).isNull()
-    order = Window.partitionBy(*by, present).orderBy(value)
-    same = Window.partitionBy(*by, value)
-    return F.when(~present, F.rank().over(order) + (F.count("*").over(same) - 1) / 2.0)
+    order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+    same = order.rangeBetween(Window.currentRow, Window.currentRow)
+    return F.when(F.col(value).isNotNull(), F.rank().over(order) + (F.count("*").over(same) - 1) / 2.0)
 
 
 def percent_rank_average(value: str, by: str | list[str]) -> Column:

@@ -345,27 +345,52 @@ def knn_all(spark, d):
     return tidy(neighbours.knn_sharded(v.where("id % 100 = 0"), v, 5, digits=6))
 
 
-_SELF = """
-zz AS (SELECT s.ts, symbol, sidx, exit_ret, rank() OVER (PARTITION BY s.ts ORDER BY p_raw) * 1.0 / 25 - 0.5 AS za, rank() OVER (PARTITION BY s.ts ORDER BY p_short) * 1.0 / 25 - 0.5 AS zb FROM scores s JOIN axis USING (ts)),
+#: The similarity space: eight columns known at a session's close, and two more.
+_SPACE = {"p_raw": "s.p_raw", "p_short": "s.p_short", "ret1": "rg.ret1", "ret5": "rg.ret5", "gapvol20": "rg.gapvol20", "reach": "s.atr / s.close", "volume": "b.volume", "span": "(b.high - b.low) / b.close", "body": "b.close / b.open - 1", "level": "b.close"}
+DIMS = [f"z{k}" for k in range(len(_SPACE))]
+
+
+def _rank_sql(k: int) -> str:
+    rank = f"rank() OVER (PARTITION BY ts, x{k} IS NULL ORDER BY x{k}) + (count(*) OVER (PARTITION BY ts, x{k}) - 1) / 2.0"
+    return f"CASE WHEN x{k} IS NULL THEN 0 ELSE ({rank}) / count(x{k}) OVER (PARTITION BY ts) - 0.5 END AS z{k}"
+
+
+def _distance(dims: int) -> str:
+    return "round(sqrt(" + " + ".join(f"pow(q.z{k} - p.z{k}, 2)" for k in range(dims)) + "), 9)"
+
+
+SPACE_SQL = (
+    _RET
+    + f""",
+sx AS (SELECT s.ts, s.symbol, sidx, s.ft, s.exit_ret, s.mfe, s.mae, {", ".join(f"{e} AS x{k}" for k, e in enumerate(_SPACE.values()))} FROM scores s JOIN axis USING (ts) LEFT JOIN rg ON rg.symbol = s.symbol AND rg.ts = s.ts LEFT JOIN bars b ON b.symbol = s.symbol AND b.ts = s.ts),
+zz AS MATERIALIZED (SELECT ts, symbol, sidx, ft, exit_ret, mfe, mae, {", ".join(map(_rank_sql, range(len(_SPACE))))}, {" + ".join(f"(x{k} IS NULL)::BIGINT" for k in range(len(_SPACE)))} AS missing FROM sx)"""
+)
+_SELF = (
+    SPACE_SQL
+    + f""",
 ct AS (SELECT date_trunc('month', ts) AS month, min(sidx) - 6 AS cut FROM zz GROUP BY 1),
-pp AS (SELECT q.symbol, q.ts, p.exit_ret AS y, p.sidx, round(sqrt(pow(q.za - p.za, 2) + pow(q.zb - p.zb, 2)), 9) AS d FROM zz q JOIN ct ON ct.month = date_trunc('month', q.ts) JOIN zz p ON p.symbol = q.symbol AND p.sidx <= ct.cut),
+pp AS (SELECT q.symbol, q.ts, p.exit_ret AS y, p.sidx, {_distance(2)} AS d FROM zz q JOIN ct ON ct.month = date_trunc('month', q.ts) JOIN zz p ON p.symbol = q.symbol AND p.sidx <= ct.cut),
 nn AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY d, sidx) AS rn, count(*) OVER (PARTITION BY symbol, ts) AS n FROM pp)"""
+)
 
 
 def _states(spark, d):
-    s = scores(spark, d)
-    day = lambda c: (F.rank().over(Window.partitionBy("ts").orderBy(c)) * 1.0 / 25 - 0.5).cast("double")
-    return s.withColumns({"za": day("p_raw"), "zb": day("p_short")}).join(F.broadcast(sessions(s)), "ts")
+    """The scored rows with their session's number and their place in the similarity space, ``DIMS``."""
+    s, b = scores(spark, d), bars(spark, d)
+    own = b.select("symbol", "ts", "volume", ((F.col("high") - F.col("low")) / F.col("close")).alias("span"), (F.col("close") / F.col("open") - 1).alias("body"), F.col("close").alias("level"))
+    x = s.withColumn("reach", F.col("atr") / F.col("close")).join(panel_features.returns_and_gaps(b), ["symbol", "ts"], "left").join(own, ["symbol", "ts"], "left")
+    space = panel_features.similarity_space(x, list(_SPACE))
+    return space.withColumnsRenamed({f"z_{c}": z for c, z in zip(_SPACE, DIMS, strict=True)}).join(F.broadcast(sessions(s)), "ts")
 
 
 @query(sql("scores", f"SELECT symbol, ts, max(n) AS n, {r('avg(d)=>dist', 'sum(y / (d + 0.1)) / sum(1 / (d + 0.1))=>mean')} FROM nn WHERE rn <= 20 AND n >= 30 GROUP BY symbol, ts", _SELF))
 def knn_self_cutoff(spark, d):
-    return tidy(neighbours.knn_self(_states(spark, d), ["za", "zb"], "exit_ret"))
+    return tidy(neighbours.knn_self(_states(spark, d), DIMS[:2], "exit_ret"))
 
 
 _DECLUSTERED = """
 last AS (SELECT symbol, max(sidx) AS s FROM zz GROUP BY symbol),
-near AS MATERIALIZED (SELECT p.symbol, p.sidx, round(sqrt(pow(p.za - q.za, 2) + pow(p.zb - q.zb, 2)), 9) AS d, row_number() OVER (PARTITION BY p.symbol ORDER BY d, p.sidx) AS i FROM zz p JOIN last ON last.symbol = p.symbol JOIN zz q ON q.symbol = p.symbol AND q.sidx = last.s WHERE p.sidx <= last.s - 6),
+near AS MATERIALIZED (SELECT p.symbol, p.sidx, round(sqrt(pow(p.z0 - q.z0, 2) + pow(p.z1 - q.z1, 2)), 9) AS d, row_number() OVER (PARTITION BY p.symbol ORDER BY d, p.sidx) AS i FROM zz p JOIN last ON last.symbol = p.symbol JOIN zz q ON q.symbol = p.symbol AND q.sidx = last.s WHERE p.sidx <= last.s - 6),
 taken AS (SELECT symbol, 0::BIGINT AS i, []::BIGINT[] AS picks FROM last
   UNION ALL SELECT t.symbol, n.i, CASE WHEN len(picks) < 10 AND len(list_filter(picks, lambda x: abs(x - n.sidx) < 5)) = 0 THEN list_append(picks, n.sidx) ELSE picks END FROM taken t JOIN near n ON n.symbol = t.symbol AND n.i = t.i + 1),
 done AS (SELECT symbol, unnest(picks) AS sidx, unnest(range(1, len(picks) + 1)) AS place FROM (SELECT symbol, arg_max(picks, i) AS picks FROM taken GROUP BY symbol))"""
@@ -374,8 +399,8 @@ done AS (SELECT symbol, unnest(picks) AS sidx, unnest(range(1, len(picks) + 1))
 @query(sql("scores", f"SELECT symbol, place, sidx, {r('d')} FROM done JOIN near USING (symbol, sidx)", _SELF + "," + _DECLUSTERED).replace("WITH ", "WITH RECURSIVE ", 1))
 def declustered_neighbours(spark, d):
     z = _states(spark, d)
-    q = z.groupBy("symbol").agg(F.max_by(F.struct("za", "zb", "sidx"), "sidx").alias("q"))
-    pairs = z.join(q, "symbol").where(F.col("sidx") <= F.col("q.sidx") - 6).select("symbol", F.col("sidx").cast("long").alias("sidx"), F.round(F.hypot(F.col("za") - F.col("q.za"), F.col("zb") - F.col("q.zb")), 9).alias("d"))
+    q = z.groupBy("symbol").agg(F.max_by(F.struct("z0", "z1", "sidx"), "sidx").alias("q"))
+    pairs = z.join(q, "symbol").where(F.col("sidx") <= F.col("q.sidx") - 6).select("symbol", F.col("sidx").cast("long").alias("sidx"), F.round(F.hypot(F.col("z0") - F.col("q.z0"), F.col("z1") - F.col("q.z1")), 9).alias("d"))
     picks = neighbours.declustered(pairs, ["symbol"]).select("symbol", F.posexplode("picks").alias("place", "pick"))
     return tidy(picks.select("symbol", (F.col("place") + 1).cast("long").alias("place"), "pick.sidx", "pick.d"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelworks.functions import net_return
 from panelworks.operators import evidence, memories, panel_features, ranking, second_stage, splits
-from panelworks.plans.catalogue import _RET, _avg_rank, _folds, _form, _learning, _states, query, r, tidy
+from panelworks.plans.catalogue import _RET, DIMS, SPACE_SQL, _avg_rank, _distance, _folds, _form, _learning, _states, query, r, tidy
 from panelworks.plans.oracle import sql
 from panelworks.plans.trades import _MARKET, _TWO, TINY, _two
 from panelworks.plans.views import labelled, scores
@@ -43,9 +43,9 @@ def own_record(spark, d):
     return tidy(memories.own_record(_outcomes(labelled(spark, d), "ft_a", "xr_a")), "symbol", "ts", *_OWN_NAMES)
 
 
-_DIST = "round(sqrt(pow(q.za - p.za, 2) + pow(q.zb - p.zb, 2)), 9)"
-_MEMORY = f"""
-mm AS MATERIALIZED (SELECT s.ts, date_trunc('month', s.ts) AS month, symbol, sidx, (ft = 1)::INT::DOUBLE AS tp, exit_ret AS ret, mfe, mae, (ft = -1)::INT::DOUBLE AS sl, rank() OVER (PARTITION BY s.ts ORDER BY p_raw) * 1.0 / 25 - 0.5 AS za, rank() OVER (PARTITION BY s.ts ORDER BY p_short) * 1.0 / 25 - 0.5 AS zb FROM scores s JOIN axis USING (ts)),
+_DIST = _distance(len(DIMS))
+_MEMORY = f"""{SPACE_SQL},
+mm AS MATERIALIZED (SELECT * EXCLUDE (exit_ret), date_trunc('month', ts) AS month, (ft = 1)::INT::DOUBLE AS tp, exit_ret AS ret, (ft = -1)::INT::DOUBLE AS sl FROM zz),
 fin AS MATERIALIZED (SELECT * FROM mm WHERE {_each('@ IS NOT NULL').replace(', ', ' AND ')}),
 cu AS (SELECT sidx, sum(k) OVER (ORDER BY sidx) AS pool FROM (SELECT sidx, count(fin.sidx) AS k FROM (SELECT DISTINCT sidx FROM mm) LEFT JOIN fin USING (sidx) GROUP BY sidx)),
 mo AS MATERIALIZED (SELECT month, cut FROM (SELECT month, min(sidx) - 6 AS cut FROM mm GROUP BY month) JOIN cu ON cu.sidx = cut WHERE pool >= 5000),
@@ -60,17 +60,17 @@ _MEM_NAMES = [*(f"mem_{w}{o}" for w in ("cross_", "self_", "") for o in _OUT), "
 @query(sql("scores", f"SELECT symbol, ts, {r(*_MEM_NAMES)} FROM mem", _MEMORY))
 def memory(spark, d):
     x = _outcomes(_states(spark, d), "ft", "exit_ret")
-    return tidy(memories.memory(x, ["za", "zb"]), "symbol", "ts", *_MEM_NAMES)
+    return tidy(memories.memory(x, DIMS), "symbol", "ts", *_MEM_NAMES)
 
 
 _SOME = "oc AS (SELECT symbol, ts, (ft = 1)::INT::DOUBLE AS tp, exit_ret AS ret, mfe, mae, (ft = -1)::INT::DOUBLE AS sl FROM scores)" + _OWN[_OWN.index(",\nk0") :]
 
 
-@query(sql("scores", f"SELECT symbol, ts, (p_short IS NULL)::BIGINT AS state_missing, {r(*_OWN_NAMES, *_MEM_NAMES)} FROM scores LEFT JOIN own USING (symbol, ts) LEFT JOIN mem USING (symbol, ts) WHERE coalesce({', '.join(_OWN_NAMES + _MEM_NAMES)}) IS NOT NULL", _SOME + "," + _MEMORY))
+@query(sql("scores", f"SELECT symbol, ts, missing AS state_missing, {r(*_OWN_NAMES, *_MEM_NAMES)} FROM zz LEFT JOIN own USING (symbol, ts) LEFT JOIN mem USING (symbol, ts) WHERE coalesce({', '.join(_OWN_NAMES + _MEM_NAMES)}) IS NOT NULL", _SOME + "," + _MEMORY))
 def remembered(spark, d):
     """Records and memories of every scored row, in one frame."""
-    x = _outcomes(_states(spark, d), "ft", "exit_ret").withColumn("n_missing", F.col("p_short").isNull().cast("long"))
-    return tidy(memories.remembered(x, ["za", "zb"], "n_missing"), "symbol", "ts", "state_missing", *_OWN_NAMES, *_MEM_NAMES)
+    x = _outcomes(_states(spark, d), "ft", "exit_ret")
+    return tidy(memories.remembered(x, DIMS, "missing"), "symbol", "ts", "state_missing", *_OWN_NAMES, *_MEM_NAMES)
 
 
 _META = f"""
