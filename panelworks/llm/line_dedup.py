@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from panelworks.llm import text_kernels as K
 from panelworks.llm.learning import blob, table
@@ -25,6 +26,7 @@ from panelworks.sources.durable import durable
 
 CHUNK = K.CHUNK // 16  # arrays over a chunk stay in a core's cache
 NORMAL = np.where(K.WHITESPACE, np.uint8(32), K.LOWER)
+_SHOWN = NORMAL.tobytes()
 SIEVE_BITS = 25  # a bitmap of 4 MB
 
 
@@ -47,48 +49,64 @@ def line_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, upto
 
 
-def solid_lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the lines that are not blank: starts, ends, place among all lines of the chunk, and a 64-bit key of the content."""
-    starts, ends, _ = line_spans(data, at)
-    upto = np.concatenate([[0], np.cumsum(~K.WHITESPACE[data])])
-    some = np.flatnonzero(upto[ends] > upto[starts])
-    starts, ends = starts[some], ends[some]
-    return starts, ends, some, K.word_hashes(K.LOWER[data], starts)
+def line_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each line's content, white space at its end left out; 0 for blank lines and no others."""
+    text = data.tobytes().translate(_SHOWN)
+    parts = [text[a:b].rstrip() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.fromiter((xxh3_64_intdigest(x) or 1 if x else 0 for x in parts), np.uint64, len(parts))
+
+
+def solid_lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines that are not blank: starts, ends, place among all lines of the chunk, key; and the bounds of each text's lines."""
+    starts, ends, upto = line_spans(data, at)
+    keys = line_keys(data, starts, ends)
+    some = np.flatnonzero(keys)
+    return starts[some], ends[some], some, keys[some], upto
 
 
 def line_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all lines in a row, and where each line's begin; a line shorter than a shingle has its key alone."""
+    """Shingle hashes of all lines in a row, and where each line's begin; a line shorter than a shingle has its key alone.
+
+    Lines stand in the order of their starts and do not overlap; none is empty.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     text = NORMAL[data]
-    lead = (text & 0xC0) != 0x80
-    points = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    upto = np.concatenate([[0], np.cumsum(lead)])
-    if upto[-1] != len(points):  # malformed text; bytes count as characters
-        points, upto = text.astype(np.uint32), np.arange(len(text) + 1)
-    rolled = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    first, last = starts, ends
+    points = text.astype(np.uint32)
+    if data.max() > 127:
+        found = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        lead = np.cumsum((text & 0xC0) != 0x80, dtype=np.int32)
+        if lead[-1] == len(found):  # else malformed text; bytes count as characters
+            upto = np.concatenate([[0], lead])
+            points, first, last = found, upto[starts].astype(np.int64), upto[ends].astype(np.int64)
+    rolled = points.astype(np.uint64)
+    rolled += np.uint64(1)
+    rolled *= np.uint64(0x9E3779B97F4A7C15)
     rolled ^= rolled >> np.uint64(31)
-    span, factor = 1, 0xD6E8FEB86659FD93
+    n, span, factor = len(rolled), 1, 0xD6E8FEB86659FD93
     while span < width:
-        longer = rolled[: max(len(rolled) - span, 0)] * np.uint64(factor)
-        longer += rolled[span : span + len(longer)]
+        longer = rolled * np.uint64(factor)
+        longer[: n - span] += rolled[span:]
         rolled, span, factor = longer, 2 * span, factor * factor % (1 << 64)
-    first, sizes = upto[starts], upto[ends] - upto[starts]
-    short = sizes < width
-    counts = np.where(short, 1, sizes - width + 1)
+    short = last - first < width
+    counts = np.where(short, 1, last - first - width + 1)
+    step = np.zeros(n + 1, np.int8)
+    np.add.at(step, first, 1)
+    np.add.at(step, first + counts, -1)
+    flat = rolled[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
     begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    where = np.repeat(first - begin, counts) + np.arange(counts.sum())
-    flat = rolled[np.minimum(where, len(rolled) - 1)] if len(rolled) else np.zeros(len(where), np.uint64)
     flat[begin[short]] = keys[short]
-    return K.mix(flat), begin
+    flat ^= flat >> np.uint64(32)
+    flat *= np.uint64(0xFF51AFD7ED558CCD)
+    return flat, begin
 
 
 def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task: key and place of every line that is not blank."""
     for batch in batches:
         for lo, hi, data, at in K.chunks(batch.column("text"), CHUNK):
-            _, _, place, keys = solid_lines(data, at)
-            upto = line_spans(data, at)[2]
+            _, _, place, keys, upto = solid_lines(data, at)
             owner = np.searchsorted(upto, place, "right") - 1
             take = pa.array(owner + lo)
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "doc_id": batch.column("doc_id").take(take), "twin": batch.column("twin").take(take), "line": pa.array(place - upto[owner])})
@@ -128,13 +146,16 @@ def _pack(lines: Lines, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
         for batch in batches:
             for _, _, data, at in K.chunks(batch.column("text"), CHUNK):
-                starts, ends, _, keys = solid_lines(data, at)
-                if not len(keys):
+                starts, ends, _, keys, _ = solid_lines(data, at)
+                own = [i for i, key in enumerate(keys.tolist()) if key not in seen and not seen.add(key)]
+                if len(seen) > lines.remembered:
+                    seen.clear()
+                if not own:
                     continue
-                keys, own = np.unique(keys, return_index=True)
-                starts, ends = starts[own], ends[own]
+                starts, ends, keys = starts[own], ends[own], keys[own]
                 flat, begin = line_shingles(data, starts, ends, keys, lines.width)
                 bands = band_keys(signatures(flat, begin, lines.similarity.rows * lines.similarity.bands), lines.similarity)
                 held.append((bands.view(np.uint64).ravel(), np.repeat(keys, bands.shape[1])))
@@ -172,7 +193,7 @@ def _profile(lines: Lines, sieve):
         bits, seen = sieve.value, set()
         for batch in batches:
             for _, _, data, at in K.chunks(batch.column("text"), CHUNK):
-                starts, ends, _, keys = solid_lines(data, at)
+                starts, ends, _, keys, _ = solid_lines(data, at)
                 spot = keys >> np.uint64(64 - SIEVE_BITS)
                 use = np.flatnonzero((bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1))
                 use = [i for i in use if keys[i] not in seen and not seen.add(keys[i])]
@@ -191,7 +212,7 @@ def _expand(lines: Lines):
 
     def run(bodies: pa.Array) -> list[np.ndarray]:
         data, at = K.utf8(bodies)
-        keys = K.word_hashes(K.LOWER[data], at[:-1])
+        keys = line_keys(data, at[:-1], at[1:])
         flat, begin = line_shingles(data, at[:-1], at[1:], keys, lines.width)
         edges = np.append(begin, len(flat))
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):

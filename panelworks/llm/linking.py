@@ -58,6 +58,7 @@ class Similarity:
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**32, (2, 4096), dtype=np.uint32)
 _SEEDS[1] |= np.uint32(1)
+TURN = 8  # values in a row that differ in their multiplier only
 
 
 def signatures(items: np.ndarray, starts: np.ndarray, values: int) -> np.ndarray:
@@ -66,10 +67,11 @@ def signatures(items: np.ndarray, starts: np.ndarray, values: int) -> np.ndarray
     if not len(starts):
         return out
     low = (items >> np.uint64(32)).astype(np.uint32)
-    hashed = np.empty_like(low)
+    turned, hashed = np.empty_like(low), np.empty_like(low)
     for k in range(values):
-        np.bitwise_xor(low, _SEEDS[0, k], out=hashed)
-        np.multiply(hashed, _SEEDS[1, k], out=hashed)
+        if k % TURN == 0:
+            np.bitwise_xor(low, _SEEDS[0, k], out=turned)
+        np.multiply(turned, _SEEDS[1, k], out=hashed)
         out[:, k] = np.minimum.reduceat(hashed, starts)
     return out
 

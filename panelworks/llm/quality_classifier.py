@@ -113,7 +113,7 @@ class Model:
     settings: Settings
 
     def features(self, stats: np.ndarray) -> np.ndarray:
-        """Cosines of random projections, the statistics themselves, and a constant."""
+        """Cosines of random projections of the standardised statistics, and a constant."""
         rng = np.random.default_rng(self.settings.seed)
         x = np.clip((stats - self.centre) / self.spread, -8, 8)
         way = rng.normal(size=(N_STATS, self.settings.features)) / self.settings.width

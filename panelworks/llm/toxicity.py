@@ -169,7 +169,11 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: n
 
 
 def fit(documents: DataFrame, labels: DataFrame, in_training, settings: Settings = Settings()) -> Model:
-    """Learns from at most ``sample_toxic`` and ``sample_other`` labelled texts; their weights restore the true shares."""
+    """Learns from at most ``sample_toxic`` and ``sample_other`` labelled ids; their weights restore the true shares.
+
+    Null and empty texts are texts without features. Ids should not repeat in ``documents``: all rows of a
+    sampled id are learnt from. Without labels of both kinds the model is one constant.
+    """
     usable = one_label(labels, "toxic").where(in_training)
     totals = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     empty = Model(np.full(1 << settings.bits, -1, np.int32), np.zeros(0), float(np.log((totals.get(1, 0) + 0.5) / (totals.get(0, 0) + 0.5))), settings)
@@ -218,7 +222,11 @@ def score_toxicity(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The documents that score below the threshold, all columns and rows as they were."""
+    """The documents that score below the threshold, all columns and rows as they were.
+
+    Null and empty texts get the score of no features at all, which a fitted model puts below the
+    threshold as long as toxic texts are the fewer; repeated rows stay or go together.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
