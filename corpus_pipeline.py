@@ -16,24 +16,29 @@ from panelworks.sources.durable import checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go. Null and empty texts stay; without labels of both kinds all documents share one score."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels, remainder("doc_id", 4) != 2)
     return toxicity.keep_clean(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, no document does; rows without a doc_id or a text stay as they are."""
     return line_dedup.dedup_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays; null and empty texts, being like nothing, all stay, and so do rows equal in doc_id and text."""
     return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out to meet the sources' weights; null texts have size 0, rows without a doc_id are drawn like others."""
     return mixing.mix(docs, places=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A digest of each document's tokens; null texts count as empty, repeated rows are encoded one by one."""
     return piece_encoding.encode_documents(docs, piece_encoding.default_model())
 
 
