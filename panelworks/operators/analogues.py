@@ -143,11 +143,16 @@ def searched(pool: DataFrame, asked: DataFrame, keys: list[str], dims: list[str]
     return left.groupBy(*both).cogroup(right.groupBy(*both)).applyInArrow(run, schema)
 
 
-def gathered(found: DataFrame, outcomes: tuple[str, ...], k: int, eps: float, prefix: str) -> DataFrame:
-    """(symbol, ts, <prefix><outcome>, <prefix>dist, <prefix>n, <prefix>kth): distance-weighted outcomes of the k nearest of all shards."""
+def listed(found: DataFrame, outcomes: tuple[str, ...], k: int) -> DataFrame:
+    """(symbol, ts, _n, _near): of each query the moments it may use, and the k nearest of all shards, in order."""
     fields = ["d", "sidx", "who", *outcomes]
     near = F.slice(F.array_sort(F.collect_list(F.struct(*fields))), 1, k)  # k of each shard at most
-    d = found.groupBy("symbol", "ts").agg(F.sum("seen").alias("_n"), near.alias("_near"))
+    return found.groupBy("symbol", "ts").agg(F.sum("seen").alias("_n"), near.alias("_near"))
+
+
+def gathered(found: DataFrame, outcomes: tuple[str, ...], k: int, eps: float, prefix: str) -> DataFrame:
+    """(symbol, ts, <prefix><outcome>, <prefix>dist, <prefix>n, <prefix>kth): distance-weighted outcomes of the k nearest of all shards."""
+    d = listed(found, outcomes, k)
     w = lambda x: 1.0 / (x["d"] + eps)
     total = lambda f: F.aggregate("_near", F.lit(0.0), lambda acc, x: acc + f(x))
     means = [(total(lambda x, o=o: w(x) * x[o]) / total(w)).alias(f"{prefix}{o}") for o in outcomes]
@@ -188,8 +193,8 @@ def _placed(df: DataFrame, cuts: Cuts, dims: list[str]) -> DataFrame:
     return df.withColumn("cell", cell(*dims))
 
 
-def across(moments: DataFrame, queries: DataFrame, dims: list[str], outcomes: tuple[str, ...], k: int, eps: float, prefix: str, sizes: Sizes = Sizes()) -> DataFrame:
-    """Each query's k nearest moments of all symbols up to its ``cut``, gathered.
+def across(moments: DataFrame, queries: DataFrame, dims: list[str], outcomes: tuple[str, ...], k: int, sizes: Sizes = Sizes()) -> DataFrame:
+    """Each query's nearest moments of all symbols up to its ``cut``, as found in all cells that can hold one of the k nearest.
 
     Two passes: the query's own cell first, whose k-th distance is an upper bound; then only cells whose
     box lies within it. ``moments``: sidx, who, sampled, dims, outcomes; ``queries``: symbol, ts, cut, limit,
@@ -208,8 +213,8 @@ def across(moments: DataFrame, queries: DataFrame, dims: list[str], outcomes: tu
     keys = ["cell", "part"]
     home = durable(searched(pool, every(asked.withColumn("reach", F.lit(float("inf")))), keys, dims, outcomes, k, sizes))
     if len(facts) < 2:
-        return gathered(home, outcomes, k, eps, prefix)
-    reach = gathered(home, outcomes, k, eps, "_").select("symbol", "ts", F.col("_kth").alias("reach"))
+        return home
+    reach = listed(home, outcomes, k).select("symbol", "ts", F.when(F.size("_near") >= k, F.element_at("_near", -1)["d"]).alias("reach"))
     cells, first = np.array([r["cell"] for r in facts]), np.array([r["first"] for r in facts])
     low, high = (np.array([[r[f"{d}_{f}"] for d in dims] for r in facts], float) for f in ("min", "max"))
 
@@ -222,15 +227,46 @@ def across(moments: DataFrame, queries: DataFrame, dims: list[str], outcomes: tu
 
     wide = asked.join(reach, ["symbol", "ts"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
     visits = every(durable(wide.withColumn("cell", F.explode(others("cell", "cut", "reach", *dims)))))
-    return gathered(home.unionByName(searched(pool, visits, keys, dims, outcomes, k, sizes)), outcomes, k, eps, prefix)
+    return home.unionByName(searched(pool, visits, keys, dims, outcomes, k, sizes))
 
 
-def within(moments: DataFrame, queries: DataFrame, dims: list[str], outcomes: tuple[str, ...], k: int, eps: float, prefix: str, sizes: Sizes = Sizes()) -> DataFrame:
-    """Each query's k nearest moments of its own symbol up to its ``cut``, gathered; shards are stretches of sessions."""
+def within(moments: DataFrame, queries: DataFrame, dims: list[str], outcomes: tuple[str, ...], k: int, sizes: Sizes = Sizes()) -> DataFrame:
+    """Each query's k nearest moments of its own symbol up to its ``cut``, as found in each stretch of sessions."""
     of = lambda c: F.floor(F.col(c) / sizes.sessions).cast("int")
     pool = moments.withColumns({"symbol": F.col("who"), "stretch": of("sidx")})
     asked = queries.where("cut >= 0").withColumns({"reach": F.lit(float("inf")), "stretch": F.explode(F.sequence(F.lit(0), of("cut")))})
-    return gathered(searched(pool, asked, ["symbol", "stretch"], dims, outcomes, k, sizes), outcomes, k, eps, prefix)
+    return searched(pool, asked, ["symbol", "stretch"], dims, outcomes, k, sizes)
+
+
+def apart(near: str, k: int, spacing: int) -> Column:
+    """Of a sorted list of moments the first k that lie ``spacing`` sessions or more from all taken before."""
+    far = lambda taken, x: F.forall(taken, lambda t: F.abs(t["sidx"] - x["sidx"]) >= spacing)
+    step = lambda taken, x: F.when((F.size(taken) < k) & far(taken, x), F.concat(taken, F.array(x))).otherwise(taken)
+    return F.aggregate(near, F.filter(near, lambda _: F.lit(False)), step)
+
+
+CASE = ("ft", "exit_ret", "mfe", "mae", "days_tp")
+
+
+def cases(rows: DataFrame, asked: DataFrame, dims: list[str], k: int = 10, spacing: int = 5, lag: int = 6, sizes: Sizes = Sizes()) -> DataFrame:
+    """(symbol, ts, scope, place, who, sidx, d, ft, exit_ret, mfe, mae, days_tp, market_ret): past cases like each asked row, and what became of them.
+
+    Scope ``self``: the symbol's own nearest moments, each ``spacing`` sessions or more from all before it;
+    as one moment keeps at most 2 * spacing - 2 others out, k times as many of the nearest are enough to
+    choose from. Scope ``cross``: the k nearest of all symbols. Only moments with an outcome, ``lag``
+    sessions back or more, count; ``market_ret`` is the mean of all symbols' outcomes of that session.
+    ``asked`` are some of ``rows`` (symbol, ts, sidx, dims, outcomes).
+    """
+    known = lambda df: df.where(finite(dims)).withColumns({"sidx": F.col("sidx").cast("long")} | {d: F.col(d).cast("double") for d in dims})
+    done = known(rows).where("ft is not null and exit_ret is not null")
+    moments = durable(done.select("sidx", F.col("symbol").alias("who"), F.lit(0).cast("long").alias("sampled"), *dims, *[F.col(c).cast("double").alias(c) for c in CASE]))
+    queries = durable(known(asked).select("symbol", "ts", (F.col("sidx") - lag).alias("cut"), F.lit(0).cast("long").alias("limit"), *dims))
+    wide = k * (2 * spacing - 1)
+    own = listed(within(moments, queries, dims, CASE, wide, sizes), CASE, wide).select("symbol", "ts", F.lit("self").alias("scope"), apart("_near", k, spacing).alias("_near"))
+    other = listed(across(moments, queries, dims, CASE, k, sizes), CASE, k).select("symbol", "ts", F.lit("cross").alias("scope"), "_near")
+    each = own.unionByName(other).select("symbol", "ts", "scope", F.posexplode("_near").alias("place", "_m")).select("symbol", "ts", "scope", (F.col("place") + 1).cast("long").alias("place"), "_m.*")
+    market = moments.groupBy("sidx").agg(F.avg("exit_ret").alias("market_ret"))
+    return each.join(F.broadcast(market), "sidx", "left").select("symbol", "ts", "scope", "place", "who", "sidx", "d", *CASE, "market_ret")  # a row per session
 
 
 def finite(columns: list[str]) -> Column:

@@ -78,8 +78,8 @@ def memory(rows: DataFrame, dims: list[str], outcomes: tuple[str, ...] = OUTCOME
     months = months.withColumn("limit", F.lit(0).cast("long")) if pool_cap is None else _sampled(moments, months, pool_cap)
     queries = durable(known.withColumn("month", F.trunc("ts", "month")).join(months, "month").select("symbol", "ts", "cut", "limit", *dims))
 
-    cross = analogues.across(moments, queries, dims, outcomes, k_cross, eps, "mem_cross_", sizes).drop("mem_cross_n", "mem_cross_kth")
-    own = analogues.within(moments.withColumn("sampled", F.lit(0).cast("long")), queries, dims, outcomes, k_self, eps, "mem_self_", sizes).drop("mem_self_kth")
+    cross = analogues.gathered(analogues.across(moments, queries, dims, outcomes, k_cross, sizes), outcomes, k_cross, eps, "mem_cross_").drop("mem_cross_n", "mem_cross_kth")
+    own = analogues.gathered(analogues.within(moments.withColumn("sampled", F.lit(0).cast("long")), queries, dims, outcomes, k_self, sizes), outcomes, k_self, eps, "mem_self_").drop("mem_self_kth")
     own = own.where(F.col("mem_self_n") >= least_self).withColumn("mem_self_n", F.col("mem_self_n").cast("double"))
 
     d = cross.join(own, ["symbol", "ts"], "left")

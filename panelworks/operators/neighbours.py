@@ -63,7 +63,7 @@ def knn_self(rows: DataFrame, dims: list[str], outcome: str, k: int = 20, lag: i
     known = rows.where(analogues.finite(dims)).withColumn("sidx", F.col("sidx").cast("long"))
     q = known.withColumn("month", month).join(F.broadcast(cuts), "month").select("symbol", "ts", F.col("cut").cast("long").alias("cut"), F.lit(0).cast("long").alias("limit"), *dims)
     p = known.where(F.col(outcome).isNotNull()).select("sidx", F.col("symbol").alias("who"), F.lit(0).cast("long").alias("sampled"), *dims, F.col(outcome).cast("double").alias("y"))
-    near = analogues.within(p, q.toDF(*q.columns), dims, ("y",), k, eps, "_", sizes).where(F.col("_n") >= least)
+    near = analogues.gathered(analogues.within(p, q.toDF(*q.columns), dims, ("y",), k, sizes), ("y",), k, eps, "_").where(F.col("_n") >= least)
     return near.select("symbol", "ts", F.col("_n").alias("n"), F.col("_dist").alias("dist"), F.col("_y").alias("mean"))
 
 

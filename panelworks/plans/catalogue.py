@@ -362,8 +362,8 @@ def _distance(dims: int) -> str:
 SPACE_SQL = (
     _RET
     + f""",
-sx AS (SELECT s.ts, s.symbol, sidx, s.ft, s.exit_ret, s.mfe, s.mae, {", ".join(f"{e} AS x{k}" for k, e in enumerate(_SPACE.values()))} FROM scores s JOIN axis USING (ts) LEFT JOIN rg ON rg.symbol = s.symbol AND rg.ts = s.ts LEFT JOIN bars b ON b.symbol = s.symbol AND b.ts = s.ts),
-zz AS MATERIALIZED (SELECT ts, symbol, sidx, ft, exit_ret, mfe, mae, {", ".join(map(_rank_sql, range(len(_SPACE))))}, {" + ".join(f"(x{k} IS NULL)::BIGINT" for k in range(len(_SPACE)))} AS missing FROM sx)"""
+sx AS (SELECT s.ts, s.symbol, sidx, s.ft, s.exit_ret, s.mfe, s.mae, s.days_tp, {", ".join(f"{e} AS x{k}" for k, e in enumerate(_SPACE.values()))} FROM scores s JOIN axis USING (ts) LEFT JOIN rg ON rg.symbol = s.symbol AND rg.ts = s.ts LEFT JOIN bars b ON b.symbol = s.symbol AND b.ts = s.ts),
+zz AS MATERIALIZED (SELECT ts, symbol, sidx, ft, exit_ret, mfe, mae, days_tp, {", ".join(map(_rank_sql, range(len(_SPACE))))}, {" + ".join(f"(x{k} IS NULL)::BIGINT" for k in range(len(_SPACE)))} AS missing FROM sx)"""
 )
 _SELF = (
     SPACE_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelworks.functions import net_return
-from panelworks.operators import evidence, memories, panel_features, ranking, second_stage, splits
+from panelworks.operators import analogues, evidence, memories, panel_features, ranking, second_stage, splits
 from panelworks.plans.catalogue import _RET, DIMS, SPACE_SQL, _avg_rank, _distance, _folds, _form, _learning, _states, query, r, tidy
 from panelworks.plans.oracle import sql
 from panelworks.plans.trades import _MARKET, _TWO, TINY, _two
@@ -73,6 +73,27 @@ def remembered(spark, d):
     return tidy(memories.remembered(x, DIMS, "missing"), "symbol", "ts", "state_missing", *_OWN_NAMES, *_MEM_NAMES)
 
 
+_CASES = f"""{SPACE_SQL},
+qq AS (SELECT z.* FROM zz z JOIN ranked USING (ts, symbol) WHERE ts = (SELECT max(ts) FROM scores) AND rk <= 10),
+cn AS MATERIALIZED (SELECT q.symbol, q.ts, p.symbol AS who, p.sidx, p.ft, p.exit_ret, p.mfe, p.mae, p.days_tp, {_distance(len(DIMS))} AS d FROM qq q JOIN zz p ON p.sidx <= q.sidx - 6),
+near AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d, sidx) AS i FROM cn WHERE who = symbol),
+taken AS (SELECT symbol, 0::BIGINT AS i, []::BIGINT[] AS picks FROM qq
+  UNION ALL SELECT t.symbol, n.i, CASE WHEN len(picks) < 10 AND len(list_filter(picks, lambda x: abs(x - n.sidx) < 5)) = 0 THEN list_append(picks, n.sidx) ELSE picks END FROM taken t JOIN near n ON n.symbol = t.symbol AND n.i = t.i + 1),
+own AS (SELECT symbol, unnest(picks) AS sidx, unnest(range(1, len(picks) + 1)) AS place FROM (SELECT symbol, arg_max(picks, i) AS picks FROM taken GROUP BY symbol)),
+ca AS (SELECT n.* EXCLUDE (i), 'self' AS scope, place FROM near n JOIN own USING (symbol, sidx) UNION ALL SELECT *, 'cross', row_number() OVER (PARTITION BY symbol ORDER BY d, sidx, who) AS place FROM cn QUALIFY place <= 10),
+mk AS (SELECT sidx, avg(exit_ret) AS market_ret FROM zz GROUP BY sidx)"""
+_CASE_NAMES = ("d", "exit_ret", "mfe", "mae", "days_tp", "market_ret")
+
+
+@query(sql("scores", f"SELECT symbol, ts, scope, place, who, sidx, ft::BIGINT AS ft, {r(*_CASE_NAMES)} FROM ca JOIN mk USING (sidx)", _CASES).replace("WITH ", "WITH RECURSIVE ", 1))
+def analogue_cases(spark, d):
+    """The latest session's ten best: their own nearest past cases, apart from each other, the nearest of all symbols, and what became of them."""
+    x = _states(spark, d)
+    asked = ranking.ranked(x).where("rk <= 10").join(F.broadcast(x.agg(F.max("ts").alias("ts"))), "ts", "left_semi")  # one row
+    out = analogues.cases(x, asked, DIMS).withColumn("ft", F.col("ft").cast("long"))
+    return tidy(out, "symbol", "ts", "scope", "place", "who", "sidx", "ft", *_CASE_NAMES)
+
+
 _META = f"""
 st AS (SELECT ts, symbol, rk, (p_raw - avg(p_raw) OVER d) / nullif(stddev_samp(p_raw) OVER d, 0) AS score_z, p_raw - lead(p_raw) OVER (PARTITION BY ts ORDER BY rk) AS gap_next, max(CASE WHEN rk = 3 THEN p_raw END) OVER d AS third, max(CASE WHEN rk = 4 THEN p_raw END) OVER d AS fourth, p_raw, (net > 0)::BIGINT AS win FROM ranked WINDOW d AS (PARTITION BY ts)),
 cw AS (SELECT ts, count(*) FILTER (p_raw >= third * 0.99) AS top_crowding FROM st GROUP BY ts),
