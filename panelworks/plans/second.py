@@ -85,7 +85,7 @@ mk AS (SELECT sidx, avg(exit_ret) AS market_ret FROM zz GROUP BY sidx)"""
 _CASE_NAMES = ("d", "exit_ret", "mfe", "mae", "days_tp", "market_ret")
 
 
-@query(sql("scores", f"SELECT symbol, ts, scope, place, who, sidx, ft::BIGINT AS ft, {r(*_CASE_NAMES)} FROM ca JOIN mk USING (sidx)", _CASES).replace("WITH ", "WITH RECURSIVE ", 1))
+@query(sql("scores", f"SELECT symbol, ts, scope, place, who, sidx, ft::BIGINT AS ft, {r(*[c.replace('days_tp', 'days_tp::DOUBLE=>days_tp') for c in _CASE_NAMES])} FROM ca JOIN mk USING (sidx)", _CASES).replace("WITH ", "WITH RECURSIVE ", 1))
 def analogue_cases(spark, d):
     """The latest session's ten best: their own nearest past cases, apart from each other, the nearest of all symbols, and what became of them."""
     x = _states(spark, d)
