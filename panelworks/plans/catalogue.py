@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from panelworks.functions import net_return, outcome_name, percentile_word
 from panelworks.operators import books, evaluation, evidence, labels, models, neighbours, panel_features, ranking, sampling, splits
 from panelworks.plans.oracle import interpolated, interval_sql, isotonic_sql, sql
-from panelworks.plans.views import labelled, scores
+from panelworks.plans.views import labelled, scores, stored_bars
+from panelworks.sources.durable import durable
 from panelworks.sources.tables import bars, day_panel, scan, scored_docs, sessions
 
 QUERIES: dict = {}
@@ -77,7 +78,7 @@ for _v in "abc":
 
 @query(sql("labels", "SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM labels_all WHERE ft_a IS NOT NULL"))
 def label_selfcheck(spark, d):
-    b = bars(spark, d)
+    b = stored_bars(spark, d)
     one, other = labels.barrier_labels(b).select("symbol", "ts", "ft_a"), labels.barrier_labels_folded(b).withColumnRenamed("ft_a", "ft_fold")
     return one.join(other, ["symbol", "ts"]).where("ft_a is not null or ft_fold is not null").agg(F.count("*").alias("n_rows"), F.sum((~F.col("ft_a").eqNullSafe(F.col("ft_fold"))).cast("long")).alias("n_different"))
 
@@ -251,17 +252,18 @@ _BENCH = "bench AS (SELECT ts, close, row_number() OVER (ORDER BY ts) AS i FROM
 _HEDGED = f"SELECT t.ts, t.symbol, t.rk, {r('e.close / s.close - 1=>bench', 't.net - (e.close / s.close - 1) - 0.0003=>hedged')} FROM tr3 t LEFT JOIN bench s ON t.ts = s.ts LEFT JOIN bench e ON e.i = s.i + t.hold"
 
 
-def _hedged(picks, spark, d):
+def _hedged(picks, b):
     """Net of the benchmark over the sessions a trade was held: to its target, to its stop, or all five."""
     held = picks.withColumn("hold", F.when(F.col("ft") == 1, F.col("days_tp")).when(F.col("ft") == -1, F.col("days_sl")).otherwise(5))
-    bench = bars(spark, d).where("symbol = 'Brand#11'").select("ts", "close")
+    bench = b.where("symbol = 'Brand#11'").select("ts", "close")
     return panel_features.holding_return(held, bench).withColumn("hedged", F.col("net") - F.col("bench") - 3 / 1e4)
 
 
 @query(sql("scores", _HEDGED, _BENCH))
 def hold_period_hedge(spark, d):
-    top = ranking.ranked(scores(spark, d)).where("rk <= 3").withColumn("net", net_return())
-    return tidy(_hedged(top, spark, d), "ts", "symbol", "rk", "bench", "hedged")
+    b = stored_bars(spark, d)
+    top = ranking.ranked(scores(spark, d, b)).where("rk <= 3").withColumn("net", net_return())
+    return tidy(_hedged(top, b), "ts", "symbol", "rk", "bench", "hedged")
 
 
 _DAILY = "dl AS (SELECT ts, avg(net) AS net FROM ranked WHERE rk <= 3 GROUP BY ts)"
@@ -291,10 +293,10 @@ a1 AS (SELECT *, CASE WHEN rk <= 3 THEN greatest(0.5, least(1.5, p_raw / avg(CAS
 arms AS (SELECT *, w * 3 / sum(w) OVER (PARTITION BY ts) AS size_x FROM a1)"""
 
 
-def _arms(spark, d):
+def _arms(spark, d, b=None):
     """The day's five best with their universe's mean, from one pass over the scores."""
     day, top = Window.partitionBy("ts"), F.col("rk") <= 3
-    pool = ranking.ranked(scores(spark, d)).withColumn("net", net_return()).withColumn("uni", F.avg("net").over(day)).where("rk <= 5")
+    pool = ranking.ranked(scores(spark, d, b)).withColumn("net", net_return()).withColumn("uni", F.avg("net").over(day)).where("rk <= 5")
     pool = pool.withColumns({"keep": top & F.coalesce(F.col("p_short") >= 0.5, F.lit(False)), "mrank": F.row_number().over(day.orderBy(F.col("p_short").desc_nulls_last(), "symbol")), "_top": F.when(top, F.col("p_raw"))})
     return books.position_sizes(pool, score="_top").drop("_top")
 
@@ -376,11 +378,12 @@ nn AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY d, sidx) AS
 
 def _states(spark, d):
     """The scored rows with their session's number and their place in the similarity space, ``DIMS``."""
-    s, b = scores(spark, d), bars(spark, d)
+    b = stored_bars(spark, d)
+    s = scores(spark, d, b)
     own = b.select("symbol", "ts", "volume", ((F.col("high") - F.col("low")) / F.col("close")).alias("span"), (F.col("close") / F.col("open") - 1).alias("body"), F.col("close").alias("level"))
     x = s.withColumn("reach", F.col("atr") / F.col("close")).join(panel_features.returns_and_gaps(b), ["symbol", "ts"], "left").join(own, ["symbol", "ts"], "left")
     space = panel_features.similarity_space(x, list(_SPACE))
-    return space.withColumnsRenamed({f"z_{c}": z for c, z in zip(_SPACE, DIMS, strict=True)}).join(F.broadcast(sessions(s)), "ts")
+    return durable(space.withColumnsRenamed({f"z_{c}": z for c, z in zip(_SPACE, DIMS, strict=True)}).join(F.broadcast(sessions(s)), "ts"))
 
 
 @query(sql("scores", f"SELECT symbol, ts, max(n) AS n, {r('avg(d)=>dist', 'sum(y / (d + 0.1)) / sum(1 / (d + 0.1))=>mean')} FROM nn WHERE rn <= 20 AND n >= 30 GROUP BY symbol, ts", _SELF))
@@ -472,7 +475,7 @@ fc AS (SELECT feature, ts, corr(CASE WHEN value IS NOT NULL THEN rv END, CASE WH
 
 @query(sql("bars", f"SELECT feature, {r('coverage', 'median_abs')}, coalesce(coverage >= 0.5 AND median_abs >= 0.97, false) AS proxy FROM (SELECT feature, sum(k) / sum(n) AS coverage, median(abs(rho)) FILTER (NOT isnan(rho)) AS median_abs FROM fc GROUP BY feature)", _RET + "," + _SCREEN))
 def feature_screen(spark, d):
-    b = bars(spark, d)
+    b = stored_bars(spark, d)
     x = b.join(panel_features.returns_and_gaps(b).select("symbol", "ts", "ret1"), ["symbol", "ts"]).withColumns({"half_close": F.col("close") / 2 + 1, "sparse": F.when(F.col("symbol") == "Brand#11", F.col("close"))})
     return tidy(panel_features.feature_screen(x, ["open", "half_close", "ret1", "sparse"]))
 
@@ -487,13 +490,15 @@ _SEVEN = ("net", "excess", "net_stretch", "hedged", "meta_filtered", "meta_sized
 @query(sql("scores", f"SELECT ts, {r(*_SEVEN)} FROM seven", _RESOLVED))
 def resolve_arms(spark, d):
     """All seven arms of a session from one grouping of its five best."""
-    return tidy(books.resolved_arms(_hedged(_arms(spark, d), spark, d)))
+    b = stored_bars(spark, d)
+    return tidy(books.resolved_arms(_hedged(_arms(spark, d, b), b)))
 
 
 @query(sql("scores", f"SELECT series, n_dates, {r('mean', 'CASE WHEN n_dates >= 40 THEN lo END=>lo', 'CASE WHEN n_dates >= 40 THEN hi END=>hi')} FROM intervals", _RESOLVED + "," + interval_sql(f"SELECT name AS series, ts, value FROM (UNPIVOT seven ON {', '.join(_SEVEN)})")))
 def resolve_intervals(spark, d):
     """Mean of each arm; an interval from 40 sessions on."""
-    arms = books.resolved_arms(_hedged(_arms(spark, d), spark, d))
+    b = stored_bars(spark, d)
+    arms = books.resolved_arms(_hedged(_arms(spark, d, b), b))
     return tidy(evidence.guarded_intervals(evidence.block_bootstrap(arms, [c for c in arms.columns if c != "ts"])))
 
 
@@ -557,9 +562,11 @@ def block_bootstrap(spark, d):
 SMALL = models.Trees(rounds=4, depth=3, rate=0.1, leaf=20)
 
 
-def _learning(spark, d):
-    s = scores(spark, d)
-    return s.withColumns({"label": F.col("y"), "key": F.concat_ws("/", "ts", "symbol")}).join(panel_features.returns_and_gaps(bars(spark, d)), ["symbol", "ts"]), s
+def _learning(spark, d, b=None):
+    b = stored_bars(spark, d) if b is None else b
+    s = scores(spark, d, b)
+    x = s.withColumns({"label": F.col("y"), "key": F.concat_ws("/", "ts", "symbol")}).join(panel_features.returns_and_gaps(b), ["symbol", "ts"])
+    return durable(x), s
 
 
 @query()

@@ -9,8 +9,8 @@ from panelworks.operators import analogues, evidence, memories, panel_features,
 from panelworks.plans.catalogue import _RET, DIMS, SPACE_SQL, _avg_rank, _distance, _folds, _form, _learning, _states, query, r, tidy
 from panelworks.plans.oracle import sql
 from panelworks.plans.trades import _MARKET, _TWO, TINY, _two
-from panelworks.plans.views import labelled, scores
-from panelworks.sources.tables import bars, sessions
+from panelworks.plans.views import labelled, scores, stored_bars
+from panelworks.sources.tables import sessions
 
 _OUT = memories.OUTCOMES
 
@@ -104,7 +104,8 @@ _META_NAMES = ["p_raw", "score_z", "gap_next", "day_gap_3_4", "form_5", "form_20
 
 @query(sql("scores", f"SELECT ts, symbol, rk, top_crowding, top10_presence5, win, {r(*[c.replace('day_gap_3_4', 'third - fourth=>day_gap_3_4') for c in _META_NAMES])} FROM st JOIN cw USING (ts) LEFT JOIN ps USING (ts, symbol) LEFT JOIN fm USING (ts) LEFT JOIN rg USING (symbol, ts) LEFT JOIN m1 USING (ts) WHERE rk <= 10", _META + "," + _RET + "," + _MARKET))
 def meta_features(spark, d):
-    x = second_stage.meta_features(scores(spark, d), bars(spark, d))
+    b = stored_bars(spark, d)
+    x = second_stage.meta_features(scores(spark, d, b), b)
     return tidy(x, "ts", "symbol", "rk", "top_crowding", "top10_presence5", "win", *_META_NAMES)
 
 
@@ -176,7 +177,8 @@ def ablation(spark, d):
 @query()
 def ab_run(spark, d):
     """The same walk-forward without and with each symbol's own record, matched as of the session."""
-    x, s = _learning(spark, d)
-    record = memories.own_record(_outcomes(labelled(spark, d), "ft_a", "xr_a")).select("symbol", "ts", "own_tp", "own_ret")
+    b = stored_bars(spark, d)
+    x, s = _learning(spark, d, b)
+    record = memories.own_record(_outcomes(labelled(spark, d, b), "ft_a", "xr_a")).select("symbol", "ts", "own_tp", "own_ret")
     joined = panel_features.asof_join(x, record)
     return _run(spark, d, joined, s, {"plain": ["p_short", "ret5"], "with_record": ["p_short", "ret5", "own_tp", "own_ret"]})

@@ -9,7 +9,7 @@ from panelworks.functions import net_return
 from panelworks.operators import daybook, evidence, labels, models, panel_features, ranking, splits
 from panelworks.plans.catalogue import _RET, _folds, _learning, query, r, tidy
 from panelworks.plans.oracle import interval_sql, sql
-from panelworks.plans.views import labelled, scores
+from panelworks.plans.views import labelled, scores, stored_bars
 from panelworks.sources.tables import bars, scan, sessions
 
 _NAMES = ("mfe", "mae", "xr_s")
@@ -24,7 +24,7 @@ def label_outcomes(spark, d):
 @query(sql("labels", f"SELECT symbol, ts, {r('xr_a', 'xr_b', 'xr_c', 'gap1')} FROM labels_all SEMI JOIN (SELECT p_brand AS symbol, CAST(date_trunc('week', min(l_shipdate)) AS DATE) + 210 AS ts FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand < 'Brand#3' GROUP BY p_brand) USING (symbol, ts)"))
 def labels_for_keys(spark, d):
     """Labels of one wanted session a symbol, thirty weeks after its first bar, for half of the symbols."""
-    b = bars(spark, d)
+    b = stored_bars(spark, d)
     keys = b.where("symbol < 'Brand#3'").groupBy("symbol").agg(F.date_add(F.min("ts"), 210).alias("ts"))
     return tidy(labels.labels_for(b, keys).select("symbol", "ts", "xr_a", "xr_b", "xr_c", "gap1"))
 
@@ -34,8 +34,8 @@ _BRACKET = r("close * (1 + 1.5 * atr / close)=>target", "close * (1 - atr / clos
 _PCT = "1 - (rk - 1) / count(*) OVER (PARTITION BY ts)::DOUBLE=>pct"
 
 
-def _candidates(spark, d):
-    s = scores(spark, d).withColumns({"confidence": F.col("p_raw"), "p_sl": 1 - F.col("p_short")})
+def _candidates(s):
+    s = s.withColumns({"confidence": F.col("p_raw"), "p_sl": 1 - F.col("p_short")})
     timeout = s.where("ft = 0").agg(F.avg("exit_ret").alias("timeout_mean"))
     return s.crossJoin(F.broadcast(timeout))  # one row
 
@@ -43,15 +43,16 @@ def _candidates(spark, d):
 @query(sql("scores", f"SELECT ts, symbol, rk AS rank, {r(_PCT)}, {_BRACKET} FROM ranked"))
 def expected_values(spark, d):
     """Rank percentile, brackets and expected value of every symbol and session."""
-    x = daybook.watchlist(_candidates(spark, d), F.col("timeout_mean"), None)
+    x = daybook.watchlist(_candidates(scores(spark, d)), F.col("timeout_mean"), None)
     return tidy(x, "ts", "symbol", "rank", "pct", "target", "stop", "stretch", "ev_bp")
 
 
 @query(sql("scores", f"SELECT w.ts, w.symbol, w.rank, w.target, w.stop, w.ev_bp, {r('h.net_bp=>hist_net_bp', 'h.hit=>hist_hit')} FROM (SELECT ts, symbol, rk AS rank, {_BRACKET} FROM ranked WHERE ts = (SELECT max(ts) FROM scores) AND rk <= 10) w LEFT JOIN (SELECT rk, avg(net) * 1e4 AS net_bp, avg(hit) AS hit FROM ranked GROUP BY rk) h ON h.rk = w.rank"))
 def watchlist(spark, d):
     """The latest session's ten best with their brackets and the record of their rank."""
-    record = ranking.rank_track_record(scores(spark, d)).select(F.col("rk").alias("rank"), F.col("net_bp").alias("hist_net_bp"), F.col("hit").alias("hist_hit"))
-    x = daybook.watchlist(daybook.latest_session(_candidates(spark, d)), F.col("timeout_mean")).join(F.broadcast(record), "rank", "left")
+    s = scores(spark, d)
+    record = ranking.rank_track_record(s).select(F.col("rk").alias("rank"), F.col("net_bp").alias("hist_net_bp"), F.col("hit").alias("hist_hit"))
+    x = daybook.watchlist(daybook.latest_session(_candidates(s)), F.col("timeout_mean")).join(F.broadcast(record), "rank", "left")
     return tidy(x, "ts", "symbol", "rank", "target", "stop", "ev_bp", "hist_net_bp", "hist_hit")
 
 
@@ -111,7 +112,7 @@ m1 AS (SELECT *, CASE WHEN count(mk_ret1) OVER f >= 10 THEN stddev_samp(mk_ret1)
 
 @query(sql("bars", f"SELECT ts, {r('mk_ret1', 'mk_breadth', 'mk_dispersion', 'mk_vol20', 'CASE WHEN mk_vol20 IS NOT NULL THEN count(mk_vol20) OVER (ORDER BY mk_vol20 RANGE UNBOUNDED PRECEDING) / count(*) OVER ()::DOUBLE END=>vol_share')} FROM m1", _RET + "," + _MARKET))
 def market_state(spark, d):
-    state = daybook.market_state(panel_features.returns_and_gaps(bars(spark, d)))
+    state = daybook.market_state(panel_features.returns_and_gaps(stored_bars(spark, d)))
     return tidy(daybook.share_at_most(state, "mk_vol20", "vol_share"))
 
 

@@ -35,3 +35,15 @@ def test_same_rows_as_sql(spark, duck, name):
 
 def test_all_other_queries_are_tested_elsewhere():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"baseline_report", "engine_train", "engine_day", "meta_model", "model_bundle", "gbt_walkforward", "meta_bag", "nested_evaluation", "ablation", "ab_run"}
+
+
+def test_a_query_reads_the_lines_of_its_bars_once(spark, monkeypatch):
+    """Bars are a small table beside the lines they are made of; what is made of bars must not read the lines again."""
+    from panelworks.plans import views
+
+    made = []
+    monkeypatch.setattr(views, "bars", lambda spark, d, bars=views.bars: made.append(d) or bars(spark, d))
+    for build in (views.labelled, views.scores, catalogue._states, lambda *a: catalogue._learning(*a)[0], lambda *a: catalogue._learning(*a)[1]):
+        made.clear()
+        files = build(spark, DATA).inputFiles()
+        assert len(made) == 1 and files and not any("lineitem" in f for f in files)
