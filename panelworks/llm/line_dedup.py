@@ -71,11 +71,16 @@ def line_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys:
     """
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    text = NORMAL[data]
+    sizes = ends - starts
+    if 2 * sizes.sum() < len(data):  # only what the lines have is hashed
+        data = np.concatenate([data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+    shown = data.tobytes().translate(_SHOWN)
     first, last = starts, ends
-    points = text.astype(np.uint32)
-    if data.max() > 127:
-        found = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    points = text = np.frombuffer(shown, np.uint8)
+    if not shown.isascii():
+        found = np.frombuffer(shown.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         lead = np.cumsum((text & 0xC0) != 0x80, dtype=np.int32)
         if lead[-1] == len(found):  # else malformed text; bytes count as characters
             upto = np.concatenate([[0], lead])
@@ -91,10 +96,7 @@ def line_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys:
         rolled, span, factor = longer, 2 * span, factor * factor % (1 << 64)
     short = last - first < width
     counts = np.where(short, 1, last - first - width + 1)
-    step = np.zeros(n + 1, np.int8)
-    np.add.at(step, first, 1)
-    np.add.at(step, first + counts, -1)
-    flat = rolled[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    flat = np.concatenate([rolled[a:b] for a, b in zip(first.tolist(), (first + counts).tolist(), strict=True)])
     begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
     flat[begin[short]] = keys[short]
     flat ^= flat >> np.uint64(32)
@@ -123,25 +125,23 @@ def _pack(lines: Lines, parts: int):
     """
 
     def packed(buckets: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((keys, buckets))
+        order = np.argsort(buckets)  # a key that a bucket has twice, which is rare, is told by the bucket's own task
         buckets, keys = buckets[order], keys[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (buckets[1:] != buckets[:-1]) | (keys[1:] != keys[:-1])
-        buckets, keys = buckets[fresh], keys[fresh]
         edge = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
         sizes = np.diff(np.append(edge, len(buckets)))
         hot = np.repeat(sizes > lines.hot, sizes)
         lead = np.zeros(len(buckets), bool)
         lead[edge] = True
         part = (buckets & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
-        spread = (K.mix(keys ^ buckets) >> np.uint64(20)) % np.uint64(parts)
-        for ready, use, where in ((False, ~hot | lead, part), (True, hot, spread)):
-            own = np.flatnonzero(use)
-            own = own[np.argsort(where[own], kind="stable")]
+        for ready, own in ((False, np.flatnonzero(~hot | lead)), (True, np.flatnonzero(hot))):
+            where = (K.mix(keys[own] ^ buckets[own]) >> np.uint64(20)) % np.uint64(parts) if ready else part[own]
+            where = where.astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+            order = np.argsort(where, kind="stable")
+            own, where = own[order], where[order]
             pairs = np.empty(len(own), READY if ready else ENTRY)
             pairs["bucket"] = buckets[own] >> np.uint64(32) << np.uint64(32) | part[own] if ready else buckets[own] >> np.uint64(32)
             pairs["key"] = keys[own]
-            to, begin = np.unique(where[own], return_index=True)
+            to, begin = np.unique(where, return_index=True)
             yield pa.RecordBatch.from_pydict({"part": pa.array(to.astype(np.int64)), "ready": pa.array(np.full(len(to), ready)), "entries": pa.array([blob(p) for p in np.split(pairs, begin[1:])] if len(to) else [], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +172,12 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     """Group: of one part's entries, those in buckets with two keys or more."""
     part = np.uint64(group["part"].iloc[0])
     pairs = np.frombuffer(b"".join(group.loc[~group["ready"], "entries"]), ENTRY)
+    order = np.argsort(pairs["bucket"])
+    pairs = pairs[order]
+    same = pairs["bucket"][1:] == pairs["bucket"][:-1]
+    pairs = pairs[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(pairs) else pairs  # most lines are alone in most of their buckets
+    pairs = pairs[np.lexsort((pairs["key"], pairs["bucket"]))]
     buckets, keys = pairs["bucket"].astype(np.uint64) << np.uint64(32) | part, pairs["key"]
-    order = np.lexsort((keys, buckets))
-    buckets, keys = buckets[order], keys[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (buckets[1:] != buckets[:-1]) | (keys[1:] != keys[:-1])
     buckets, keys = buckets[fresh], keys[fresh]
@@ -192,7 +195,7 @@ def _profile(lines: Lines, sieve):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = sieve.value, set()
         for batch in batches:
-            for _, _, data, at in K.chunks(batch.column("text"), CHUNK):
+            for _, _, data, at in K.chunks(batch.column("text"), 8 * CHUNK):  # few of its lines are hashed
                 starts, ends, _, keys, _ = solid_lines(data, at)
                 spot = keys >> np.uint64(64 - SIEVE_BITS)
                 use = np.flatnonzero((bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1))

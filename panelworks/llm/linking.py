@@ -256,14 +256,15 @@ def _across(similarity: Similarity, expand: Expand):
     return run
 
 
-def _star(held: DataFrame, seed: int) -> DataFrame:
-    """Pairs (a, b) across components of each bucket's two leaders and its members; ``held``: (bucket, id, label)."""
+def _star(held: DataFrame, seed: int, n: int) -> DataFrame:
+    """Pairs (a, b) across components of each bucket's two leaders and its members; ``held``: (bucket, id, label), of ``n`` rows at most."""
     drawn = F.xxhash64("id", "bucket", F.lit(seed))
-    row = F.struct("id", "label")
-    leaders = held.groupBy("bucket").agg(F.min_by(row, drawn).alias("x"), F.max_by(row, drawn).alias("y"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "x", "y", "n")
+    pick = lambda end, by: F.struct(*[by(c, drawn).alias(c) for c in ("id", "label")]).alias(end)  # noqa: E731 - of longs one by one, which Spark sums up by hashing
+    leaders = held.groupBy("bucket").agg(pick("x", F.min_by), pick("y", F.max_by), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    leaders = durable(leaders.select("bucket", "x", "y", "n"), n)
     pair = lambda one, two: F.struct(F.least(f"{one}.id", f"{two}.id").alias("a"), F.greatest(f"{one}.id", f"{two}.id").alias("b"), (F.col(f"{one}.label") != F.col(f"{two}.label")).alias("apart"))
     couples = leaders.where("n = 2").select(pair("x", "y").alias("p"))
-    wide = leaders.where("n > 2").drop("n").join(held.withColumn("own", row).select("bucket", "own"), "bucket")
+    wide = leaders.where("n > 2").drop("n").join(held.select("bucket", F.struct("id", "label").alias("own")), "bucket")
     rays = wide.select(F.explode(F.array(pair("own", "x"), pair("own", "y"))).alias("p"))
     return couples.unionByName(rays).where("p.apart").select("p.a", "p.b").distinct()
 
@@ -279,7 +280,7 @@ def linked(hits: DataFrame, profile: Callable[[DataFrame], DataFrame], similarit
     hits = durable(hits.select("bucket", "id"))
     n = hits.count()  # no table below but the last has more rows, a few times as many at most
     profiles = durable(profile(hits.select("id").distinct()), n)
-    links = durable(verified(_star(hits.withColumn("label", F.col("id")), 0), profiles, similarity, expand), n)
+    links = durable(verified(_star(hits.withColumn("label", F.col("id")), 0, n), profiles, similarity, expand), n)
     sizes = profiles.select("id", F.octet_length("body").cast("long").alias("bytes"))
     for k in range(1, similarity.stars + 1):
         labelled = sizes.join(components(links, 1, settle=False), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "bytes")
@@ -290,7 +291,7 @@ def linked(hits: DataFrame, profile: Callable[[DataFrame], DataFrame], similarit
         wide = _tops(large).where(F.col("n") - F.col("m") > similarity.block)  # more than a block of members outside the largest component
         if k == similarity.stars or wide.isEmpty():
             break
-        links = durable(links.unionByName(verified(_star(large.join(wide.select("bucket"), "bucket", "left_semi").select("bucket", "id", "label"), k), profiles, similarity, expand)), n)
+        links = durable(links.unionByName(verified(_star(large.join(wide.select("bucket"), "bucket", "left_semi").select("bucket", "id", "label"), k, n), profiles, similarity, expand)), n)
     few = rest.where("not large")
     load = few.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     packs = max(1, -(-load[0] // (2 * similarity.small)), -(-load[1] // similarity.block_bytes))
