@@ -246,16 +246,16 @@ def removed_lines(documents: DataFrame, lines: Lines = Lines()) -> DataFrame:
     """
     spark = documents.sparkSession
     documents = documents.where("doc_id is not null and text is not null")
-    listed = durable(documents.mapInArrow(_list_lines, "key long, doc_id long, twin long, line long"))
+    listed = durable(documents.mapInArrow(K.lean(_list_lines), "key long, doc_id long, twin long, line long"))
     n = listed.count()
     parts = lines.parts_per_shuffle_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.select("text")
-    hits = texts.mapInArrow(_pack(lines, parts), "part long, ready boolean, entries binary").groupBy("part").applyInPandas(_shared, "bucket long, id long").distinct()
+    hits = texts.mapInArrow(K.lean(_pack(lines, parts)), "part long, ready boolean, entries binary").groupBy("part").applyInPandas(_shared, "bucket long, id long").distinct()
 
     def profile(ids: DataFrame) -> DataFrame:
         ids = durable(ids)
         sieve = spark.sparkContext.broadcast(bitmap(ids))
-        return texts.mapInArrow(_profile(lines, sieve), "id long, bands binary, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return texts.mapInArrow(K.lean(_profile(lines, sieve)), "id long, bands binary, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     labels = linked(hits, profile, lines.similarity, _expand(lines)).select(F.col("id").alias("key"), "label")
     counts = listed.groupBy("key").agg(F.count("*").alias("n"))
@@ -308,7 +308,7 @@ def dedup_lines(documents: DataFrame, lines: Lines = Lines(), extra: bool = Fals
     columns = [*spine.columns, *[F.col("_removed").alias("_shown")] * extra]
     shown = joined.select(*columns)
     cut = _cut(at["text"], at.get("n_chars"), shown.columns)
-    return joined.select(*columns, "_removed").mapInArrow(cut, shown.schema).toDF(*names, *["_removed"] * extra)
+    return joined.select(*columns, "_removed").mapInArrow(K.lean(cut), shown.schema).toDF(*names, *["_removed"] * extra)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

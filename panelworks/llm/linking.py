@@ -179,7 +179,7 @@ def verified(pairs: DataFrame, profiles: DataFrame, similarity: Similarity, expa
         drawn = pairs.join(side("sig", "a"), "a").join(side("sig", "b"), "b").select("a", "b", "sig_a", "sig_b")
         pairs = drawn.mapInArrow(_prune(similarity), "a long, b long")
     full = pairs.join(side("body", "a"), "a").join(side("body", "b"), "b").select("a", "b", "body_a", "body_b")
-    return full.mapInArrow(_confirm(similarity, expand), "a long, b long")
+    return full.mapInArrow(K.lean(_confirm(similarity, expand)), "a long, b long")
 
 
 class Overlaps:

@@ -114,7 +114,7 @@ def near_duplicates(documents: DataFrame, near: Near = Near()) -> DataFrame:
     different sets about N**2 / 2**65 pairs are taken for equal by mistake.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = durable(rows.withColumn("twin", F.xxhash64("text")).mapInArrow(_describe(near), "doc_id long, twin long, n_shingles long, key_a long, key_b long, bands binary"))
+    described = durable(rows.withColumn("twin", F.xxhash64("text")).mapInArrow(K.lean(_describe(near)), "doc_id long, twin long, n_shingles long, key_a long, key_b long, bands binary"))
     set_key = ["key_a", "key_b", "n_shingles"]
     classes = described.where("n_shingles > 0 and doc_id is not null").groupBy(*set_key).agg(F.min(F.struct("doc_id", "twin")).alias("rep"), F.first("bands").alias("bands"))
     classes = durable(classes.select(F.xxhash64(*set_key).alias("id"), *set_key, F.col("rep.doc_id").alias("rep"), F.col("rep.twin").alias("rep_twin"), "bands"))
@@ -122,7 +122,7 @@ def near_duplicates(documents: DataFrame, near: Near = Near()) -> DataFrame:
     def profile(ids: DataFrame) -> DataFrame:
         wanted = classes.join(ids, "id", "left_semi").select("id", F.col("rep").alias("doc_id"), F.col("rep_twin").alias("twin"))
         texts = rows.withColumn("twin", F.xxhash64("text")).join(wanted, ["doc_id", "twin"]).select("id", "text")
-        return texts.mapInArrow(_profile(near), "id long, sig binary, bands binary, body binary").dropDuplicates(["id"])
+        return texts.mapInArrow(K.lean(_profile(near)), "id long, sig binary, bands binary, body binary").dropDuplicates(["id"])
 
     labels = linked(shared_buckets(classes.select("id", "bands")), profile, near.similarity, _expand(near))
     labelled = classes.join(labels, "id", "left").select(*set_key, "rep", "label")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import ahocorasick
 import pyarrow as pa
@@ -19,6 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelworks.llm import text_kernels as K
 from panelworks.llm.learning import table
 
 MARK = "▁"
@@ -161,16 +163,14 @@ def read_vocabulary(path: str) -> tuple[list[tuple[str, float, str]], int]:
     return [(p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size())], p.eos_id()
 
 
-_codecs: dict[str, PieceCodec] = {}
+_codecs: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def _codec(shared) -> PieceCodec:
-    """One codec for each vocabulary in a Python worker, so that what it remembers serves all its tasks."""
-    vocabulary, end_id, name = shared.value
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = PieceCodec(vocabulary, end_id)
-    return _codecs[name]
+    """One codec for each broadcast vocabulary in a Python worker, so that what it remembers serves all its tasks; it goes when the broadcast does."""
+    if shared not in _codecs:
+        _codecs[shared] = PieceCodec(*shared.value)
+    return _codecs[shared]
 
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -183,8 +183,7 @@ def encode_documents(documents: DataFrame, model_path: str, with_ids: bool = Fal
     encoded one by one; other columns are ignored.
     """
     vocabulary, end_id = read_vocabulary(model_path)
-    name = hashlib.sha256(repr((vocabulary, end_id)).encode()).hexdigest()
-    shared = documents.sparkSession.sparkContext.broadcast((vocabulary, end_id, name))
+    shared = documents.sparkSession.sparkContext.broadcast((vocabulary, end_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
@@ -206,7 +205,7 @@ def encode_documents(documents: DataFrame, model_path: str, with_ids: bool = Fal
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = ENCODED + (", ids array<int>, decoded string" if with_ids else "")
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.lean(run), schema)
 
 
 def default_model() -> str:

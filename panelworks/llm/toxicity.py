@@ -182,7 +182,7 @@ def fit(documents: DataFrame, labels: DataFrame, in_training, settings: Settings
     first = lambda y, n: usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(n)
     sample = first(1, settings.sample_toxic).unionByName(first(0, settings.sample_other))
     picked = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")  # 12,000 ids at most
-    sums = picked.mapInArrow(_counts(settings), "feature int, other long, toxic long").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    sums = picked.mapInArrow(K.lean(_counts(settings)), "feature int, other long, toxic long").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     got = sums.where(F.col("other") + F.col("toxic") >= settings.least_texts).toArrow()  # 2 ** bits rows at most
     feature, other, toxic = (got.column(k).to_numpy() for k in ("feature", "other", "toxic"))
     seen = {y: min(totals[y], n) for y, n in ((1, settings.sample_toxic), (0, settings.sample_other))}
@@ -191,7 +191,7 @@ def fit(documents: DataFrame, labels: DataFrame, in_training, settings: Settings
     order = order[np.abs(ratio[order]) >= settings.least_ratio][: settings.most_features]
     slots = empty.slots.copy()
     slots[feature[order]] = np.arange(len(order))
-    rows = picked.mapInArrow(_features(settings, slots), "doc_id long, y int, features binary").toArrow()  # a row for each sampled text
+    rows = picked.mapInArrow(K.lean(_features(settings, slots)), "doc_id long, y int, features binary").toArrow()  # a row for each sampled text
     order_of = np.lexsort((rows.column("y").to_numpy(), rows.column("doc_id").to_numpy()))
     y = rows.column("y").to_numpy()[order_of].astype(float)
     if not len(order) or not len(y) or y.min() == y.max():
@@ -218,7 +218,7 @@ def score_toxicity(documents: DataFrame, model: Model) -> DataFrame:
     Repeated rows are scored one by one; without labels of both kinds all scores are one constant.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(shared), "doc_id long, score double")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.lean(_score(shared)), "doc_id long, score double")
 
 
 def keep_clean(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -237,7 +237,7 @@ def keep_clean(documents: DataFrame, model: Model, threshold: float = 0.3) -> Da
             yield batch.filter(pa.array(keep))
 
     place = documents.columns.index("text")
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(K.lean(run), documents.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

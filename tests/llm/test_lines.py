@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from panelworks.llm import line_dedup, text_kernels
+from panelworks.llm import line_dedup, piece_encoding, text_kernels
 
 
 def test_shingles_of_a_line_do_not_depend_on_what_stands_around_it():
@@ -24,3 +24,19 @@ def test_shingles_of_all_lines_are_those_of_each():
     for k in range(len(texts)):
         own, _ = line_dedup.line_shingles(data, starts[k : k + 1], ends[k : k + 1], keys[k : k + 1], 8)
         assert np.array_equal(parts[k], own)
+
+
+def test_a_codec_goes_with_its_broadcast():
+    class Shared:  # as a worker's broadcast
+        value = ([("<unk>", 0.0, "u"), ("a", -1.0, "n")], 1)
+
+    before, shared = len(piece_encoding._codecs), Shared()
+    assert piece_encoding._codec(shared) is piece_encoding._codec(shared)
+    assert len(piece_encoding._codecs) == before + 1
+    del shared
+    assert len(piece_encoding._codecs) == before
+
+
+def test_lean_tasks_give_what_they_gave():
+    batch = line_dedup.pa.RecordBatch.from_pydict({"x": [1, 2]})
+    assert list(text_kernels.lean(iter)([batch, batch])) == [batch, batch]
