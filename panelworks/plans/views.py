@@ -1,7 +1,7 @@
 """Shared views of the queries: bars, labels and scores over the driver's tables.
 
-A query reads the lines that its bars are made of once: bars, a row a symbol and week, are stored, and so
-are the scores. A query that needs bars beside labels or scores hands its own to both.
+A query makes its bars once: bars, a row a symbol and week, are stored, and so are the scores; nothing
+later reads the lines again. A query that needs bars beside labels or scores hands its own to both.
 """
 
 from __future__ import annotations

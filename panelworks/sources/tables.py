@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelworks.sources.durable import durable
+
 
 def scan(spark: SparkSession, sf_dir: str, name: str, *wanted: str) -> DataFrame:
     """Projected Parquet scan; of ``wanted`` the columns that are present, all if none are named."""
@@ -99,12 +101,29 @@ def assert_no_label_leak(columns: list[str]) -> None:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars (symbol, ts, open, high, low, close, volume) of part brands."""
+    """Weekly bars (symbol, ts, open, high, low, close, volume) of part brands.
+
+    A bar opens and closes with its first and last line by (l_shipdate, l_orderkey, l_linenumber,
+    l_extendedprice, l_suppkey). Extremes by such a key are aggregated by sorting, so only lines of orders
+    that open or close a day of a bar's symbol at its week's ends go that way; all lines are summed by
+    hashing, into a row a symbol and ship date.
+    """
     items = scan(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     parts = scan(spark, sf_dir, "part", "p_partkey", "p_brand")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey")
-    priced = items.join(parts, items["l_partkey"] == parts["p_partkey"]).select(F.col("p_brand").alias("symbol"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), "l_quantity", order.alias("k"))
-    return priced.groupBy("symbol", "ts").agg(F.min_by("px", "k").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "k").alias("close"), F.sum("l_quantity").alias("volume"))
+    order = F.coalesce("l_orderkey", F.lit(-(1 << 63)))  # missing ones come first; taken for that key here, they bring a few lines more
+    line = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey")
+
+    week = F.to_date(F.date_trunc("week", "l_shipdate"))  # of days and of few lines only: slow beside what a line takes otherwise
+
+    def priced(items: DataFrame) -> DataFrame:
+        return items.join(parts, items["l_partkey"] == parts["p_partkey"]).withColumns({"symbol": F.col("p_brand"), "px": F.col("l_extendedprice") / F.col("l_quantity")})
+
+    days = priced(items).groupBy("symbol", "l_shipdate").agg(F.max("px").alias("high"), F.min("px").alias("low"), F.sum("l_quantity").alias("volume"), F.min(order).alias("first"), F.max(order).alias("last"))
+    weeks = durable(days.groupBy("symbol", week.alias("ts")).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"), F.min(F.struct("l_shipdate", "first"))["first"].alias("first"), F.max(F.struct("l_shipdate", "last"))["last"].alias("last")))
+    orders = weeks.select(F.explode(F.array("first", "last")).alias("order")).distinct()
+    ends = priced(items.join(orders, order == orders["order"], "left_semi")).groupBy("symbol", week.alias("ts")).agg(F.min_by("px", line).alias("open"), F.max_by("px", line).alias("close"))
+    same = weeks["symbol"].eqNullSafe(ends["symbol"]) & weeks["ts"].eqNullSafe(ends["ts"])
+    return weeks.join(ends, same).select(weeks["symbol"], weeks["ts"], "open", "high", "low", "close", "volume")
 
 
 def day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
