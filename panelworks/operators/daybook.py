@@ -40,12 +40,12 @@ def decisions(ranked: DataFrame, tau: float | Column, validated: bool = True, k:
 
     Of the top k by ``rk`` those with at least ``tau`` are TRADE, others SKIP; all are TRADE* while the
     filter is not validated, and ``-`` beyond the top. Sizes follow the second score within 0.5 and 1.5
-    of the top's mean and sum to k; the second score ranks the pool anew.
+    of the top's mean and sum to k, and are NULL where that mean is zero; the second score ranks the pool anew.
     """
     day, top, p = Window.partitionBy("ts"), F.col("rk") <= k, F.col(meta)
     cut = tau if isinstance(tau, Column) else F.lit(tau)
     taken = F.when(p >= cut, "TRADE").otherwise("SKIP") if validated else F.lit("TRADE*")
-    d = ranked.withColumns({"_w": F.when(top, clip(p / F.avg(F.when(top, p)).over(day), 0.5, 1.5)), "_in": F.col("rk") <= pool})
+    d = ranked.withColumns({"_w": F.when(top, clip(p / F.nullif(F.avg(F.when(top, p)).over(day), F.lit(0.0)), 0.5, 1.5)), "_in": F.col("rk") <= pool})
     again = F.when(F.col("_in"), F.row_number().over(Window.partitionBy("ts", "_in").orderBy(p.desc_nulls_last(), "rk")))
     return d.withColumns({"action": F.when(top, taken).otherwise("-"), "size_x": F.col("_w") * k / F.sum("_w").over(day), "meta_rank": again.cast("long")}).drop("_w", "_in")
 
