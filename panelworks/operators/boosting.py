@@ -1,9 +1,11 @@
 """Gradient boosting on histograms: an L2 penalty, a learned side for missing values, median leaves.
 
-Features become bins (at most 255 and one for missing), rows are packed into blocks with their bins. A
-level of a tree is one pass: every task sums gradients, hessians and counts of its rows by (node, feature,
-bin), these sums are added up by a grouping, and the driver, which sees nothing else, picks the splits.
-Gradients are summed as whole numbers of 2**-32, so that sums do not hang on the order of rows or tasks.
+Features become bins (at most 255 and one for missing), rows are packed into blocks with their bins. Many
+models grow side by side: a level of all their next trees is one pass, as a pass over little costs what a
+job costs. Every task sums gradients, hessians and counts of its rows by (model, node, feature, bin), sums
+of models whose rows lie in several tasks meet by key, and splits are picked where the sums are; the
+driver sees the splits alone. Gradients are summed as whole numbers of 2**-32, so that sums do not hang on
+the order of rows or tasks, nor on which models grow together.
 
 For the log loss a leaf is -G / (H + l2); for the absolute error trees follow the signs of the residuals
 and a leaf is the median of its rows' residuals. Trees are grown level by level to a depth.
@@ -12,11 +14,13 @@ and a leaf is the median of its rows' residuals. Trees are grown level by level
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +40,8 @@ class Boosting:
     loss: str = "log"  # or "absolute"
     bins: int = 255
     block: int = 16_384  # rows packed together
-    stored: int = 25  # trees after which rows' scores are stored anew
+    stored: int = 10  # trees after which rows' scores are stored anew
+    few: int = 16  # blocks of a task, where there are many
 
 
 @dataclass
@@ -86,19 +91,14 @@ class Model:
             out += tree.value[tree.place(bins)]
         return out
 
-    def score(self, spark: SparkSession) -> Column:
+    def output(self, columns: list[np.ndarray]) -> np.ndarray:
         """The probability of label 1, or the predicted value, of each row."""
-        shared = spark.sparkContext.broadcast(self)
-
-        @F.pandas_udf("double")
-        def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            model = shared.value
-            for columns in batches:
-                columns = (columns,) if isinstance(columns, pd.Series) else columns  # a single feature comes bare
-                f = model.base + model.raw(model.binned([c.to_numpy(float) for c in columns]))
-                yield pd.Series(1 / (1 + np.exp(-f)) if model.loss == "log" else f)
+        f = self.base + self.raw(self.binned(columns))
+        return 1 / (1 + np.exp(-f)) if self.loss == "log" else f
 
-        return run(*[F.col(c).cast("double") for c in self.features])
+    def score(self, spark: SparkSession) -> Column:
+        """``output`` of each row."""
+        return scores(spark, [self])[0]
 
     def gains(self) -> np.ndarray:
         """Gain of all splits on each feature."""
@@ -124,6 +124,20 @@ class Model:
         return cls([r["feature"] for r in edges], [np.array(r["edges"], float) for r in edges], base["base"], base["loss"], trees)
 
 
+def scores(spark: SparkSession, models: list[Model]) -> Column:
+    """An array of each model's output; models have the same features."""
+    shared = spark.sparkContext.broadcast(models)
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            columns = (columns,) if isinstance(columns, pd.Series) else columns  # a single feature comes bare
+            x = [c.to_numpy(float) for c in columns]
+            yield pd.Series(list(np.column_stack([m.output(x) for m in shared.value])))
+
+    return run(*[F.col(c).cast("double") for c in models[0].features])
+
+
 def gradients(loss: str, f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivatives as whole numbers of 2**-32."""
     if loss == "log":
@@ -158,129 +172,225 @@ def best_splits(sums: np.ndarray, cfg: Boosting) -> list[tuple[float, int, int,
     return out
 
 
-def _block(y: np.ndarray, f: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({n: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for n, x in (("y", y), ("f", f), ("bins", bins))})
+Blocks = RDD[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # fit, labels, scores, bins (n, features)
+Split = tuple[tuple[float, int, int, bool] | None, np.ndarray, np.ndarray | None]  # of a node, with the sums of all its rows and of those that go left
 
 
-def _read(batch: pa.RecordBatch, model: Model, kept: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Labels, scores by all trees of the model, and bins of each block."""
-    for y, f, bins in zip(*(batch.column(c).to_pylist() for c in ("y", "f", "bins")), strict=True):
-        bins = np.frombuffer(bins, np.uint8).reshape(-1, len(model.features))
-        yield np.frombuffer(y), np.frombuffer(f) + model.raw(bins, kept), bins
+def _decided(sums: np.ndarray, cfg: Boosting) -> Split:
+    """``sums``: (3, features, 256) of one node."""
+    split = best_splits(sums[:, None], cfg)[0]
+    if split is None:
+        return None, sums[:2, 0].sum(-1), None
+    _, feature, b, left = split
+    return split, sums[:2, 0].sum(-1), sums[:2, feature, : b + 1].sum(-1) + (sums[:2, feature, MISSING] if left else 0)
 
 
-class _Rows:
-    """Packed rows of the training table: blocks of (n, y, f, bins)."""
-
-    def __init__(self, df: DataFrame, model: Model, y: str, cfg: Boosting):
-        self.model, self.cfg, self.width = model, cfg, len(model.features)
-        columns = [F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(model.features)]
-        names = [f"x{k}" for k in range(self.width)]
+def _median(x: np.ndarray) -> float:
+    x = np.partition(x, [(len(x) - 1) // 2, len(x) // 2])
+    return float(0.5 * x[(len(x) - 1) // 2] + 0.5 * x[len(x) // 2])
 
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, cfg.block):
-                    part = batch.slice(lo, cfg.block)
-                    x = [part.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names]
-                    label = part.column("y").to_numpy(zero_copy_only=False).astype(float)
-                    yield _block(label, np.full(len(label), model.base), model.binned(x))
-
-        self.table = durable(df.select(F.col(y).cast("double").alias("y"), *columns).mapInArrow(pack, "y binary, f binary, bins binary"))
-        self.kept = 0  # trees that the stored scores know
-
-    def store(self) -> None:
-        """Scores with all trees so far."""
-        model, kept = self.model, self.kept
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in _read(batch, model, kept):
-                    yield _block(*part)
+class _Rows:
+    """Packed rows of all fits. ``apart``: some fit's rows lie in several blocks, hence in several tasks."""
 
-        self.table, self.kept = durable(self.table.mapInArrow(run, self.table.schema)), len(self.model.trees)
+    def __init__(self, rows: DataFrame, fits: dict[int, Model], counts: dict[int, int], names: list[str], cfg: Boosting):
+        self.fits, self.cfg, self.apart = fits, cfg, max(counts.values()) > cfg.block
+        self.sc = rows.sparkSession.sparkContext
+        at = {k: [names.index(c) for c in m.features] for k, m in fits.items()}
+        base = self.sc.broadcast({k: replace(m, trees=[]) for k, m in fits.items()})
 
-    def sums(self, tree: Tree, level: int) -> np.ndarray:
-        """(3, nodes of the level, features, 256): gradients, hessians and counts, summed over all rows."""
-        model, kept, loss, width = self.model, self.kept, self.cfg.loss, self.width
-        nodes, first = 1 << level, (1 << level) - 1
+        def packed(fit: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts)
+            y, x = table.column("y").to_numpy().astype(float), [table.column(f"x{k}").to_numpy().astype(float) for k in at[fit]]
+            model = base.value[fit]
+            return pa.RecordBatch.from_pydict({"fit": pa.array([fit], pa.int32())} | {n: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for n, v in (("y", y), ("bins", model.binned(x)))})
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((3, nodes * width * 256), np.int64)
-            for batch in batches:
-                for y, f, bins in _read(batch, model, kept):
-                    at = tree.place(bins) - first
-                    use = np.flatnonzero(at >= 0)
-                    g, h = gradients(loss, f[use], y[use])
-                    slot = ((at[use, None] * width + np.arange(width)) * 256 + bins[use]).ravel()
-                    for k, x in enumerate((g, h, np.ones(len(use), np.int64))):
-                        np.add.at(out[k], slot, np.repeat(x, width))
-            slot = np.flatnonzero(out[2])
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot)} | {c: pa.array(out[k][slot]) for k, c in enumerate("ghn")})
-
-        got = self.table.mapInArrow(run, "slot long, g long, h long, n long").groupBy("slot").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()  # nodes * features * 256 rows
-        out = np.zeros((3, nodes * width * 256), np.int64)
-        for k, c in enumerate("ghn"):
-            out[k][got["slot"].to_numpy()] = got[c].to_numpy()
-        return out.reshape(3, nodes, width, 256)
-
-    def medians(self, tree: Tree) -> dict[int, float]:
-        """The median residual of each leaf."""
-        model, kept = self.model, self.kept
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come by fit."""
+            held, n = [], 0
             for batch in batches:
-                for y, f, bins in _read(batch, model, kept):
-                    yield pa.RecordBatch.from_pydict({"leaf": pa.array(tree.place(bins)), "r": pa.array(y - f)})
-
-        rows = self.table.mapInArrow(run, "leaf long, r double").groupBy("leaf").agg(F.median("r").alias("r")).collect()
-        return {r["leaf"]: r["r"] for r in rows}
+                ids = batch.column("fit").to_numpy()
+                cuts = np.flatnonzero(np.diff(ids)) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                    while lo < hi:
+                        if held and (held[0].column("fit")[0].as_py() != ids[lo] or n == cfg.block):
+                            yield packed(held[0].column("fit")[0].as_py(), held)
+                            held, n = [], 0
+                        take = min(hi - lo, cfg.block - n)
+                        held.append(batch.slice(lo, take))
+                        lo, n = lo + take, n + take
+            if held:
+                yield packed(held[0].column("fit")[0].as_py(), held)
+
+        self.parts = max(self.sc.defaultParallelism, -(-sum(-(-n // cfg.block) for n in counts.values()) // cfg.few))
+        dealt = rows.repartition(self.parts) if self.apart else rows.repartition(self.parts, "fit")
+        table = durable(dealt.sortWithinPartitions("fit").mapInArrow(pack, "fit int, y binary, bins binary"))
+        width, start = {k: len(m.features) for k, m in fits.items()}, {k: m.base for k, m in fits.items()}
+
+        def unpacked(row) -> tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            y = np.frombuffer(bytes(row["y"]))
+            return row["fit"], (y, np.full(len(y), start[row["fit"]]), np.frombuffer(bytes(row["bins"]), np.uint8).reshape(-1, width[row["fit"]]))
+
+        blocks = table.rdd.map(unpacked)
+        if not self.apart:  # few blocks: the tasks get as much each
+            load, place = [0] * self.parts, {}
+            for k in sorted(counts, key=lambda k: (-counts[k], k)):
+                place[k] = int(np.argmin(load))
+                load[place[k]] += counts[k] * width[k]
+            blocks = blocks.partitionBy(self.parts, lambda k: place[k])
+        self.base: Blocks = blocks.map(lambda r: (r[0], *r[1])).persist(StorageLevel.MEMORY_AND_DISK)
+        self.now, self.kept = self.base, {k: 0 for k in fits}  # trees that the scores at hand know
+        self.shared = None
 
+    def store(self) -> None:
+        """Scores with all trees so far, made of the rows as packed, so that lineage stays short."""
+        shared = self.sc.broadcast(self.fits)
+
+        def run(block):
+            fit, y, f, bins = block
+            return fit, y, f + shared.value[fit].raw(bins), bins
+
+        before, was, self.now = self.now, self.shared, self.base.map(run).persist(StorageLevel.MEMORY_AND_DISK)
+        self.now.count()
+        self.kept, self.shared = {k: len(m.trees) for k, m in self.fits.items()}, shared
+        if was is not None:
+            before.unpersist()
+            was.unpersist()
+
+    def drop(self) -> None:
+        self.now.unpersist()
+        self.base.unpersist()
+        if self.shared is not None:
+            self.shared.unpersist()
+
+    def _late(self, fits) -> dict[int, Model]:
+        """Models with the trees alone that the scores at hand lack."""
+        return {k: replace(self.fits[k], edges=[], trees=self.fits[k].trees[self.kept[k] :]) for k in fits}
+
+    def splits(self, trees: dict[int, Tree], level: int) -> list[tuple[tuple[int, int], Split]]:
+        """((fit, node of the level), what is found for it), by sums over all rows."""
+        late, cfg, nodes, first = self._late(trees), self.cfg, 1 << level, (1 << level) - 1
+
+        def sums(blocks) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+            out = {}
+            for fit, y, f, bins in blocks:
+                if fit not in trees or not bins.shape[1]:
+                    continue
+                width = bins.shape[1]
+                at = trees[fit].place(bins) - first
+                use = np.flatnonzero(at >= 0)
+                g, h = gradients(late[fit].loss, (f + late[fit].raw(bins))[use], y[use])
+                slot = ((at[use, None] * width + np.arange(width)) * 256 + bins[use]).ravel()
+                # whole numbers below 2**32 of a block: their sums are exact as doubles
+                got = [np.bincount(slot, None if x is None else np.repeat(x.astype(float), width), nodes * width * 256) for x in (g, h, None)]
+                got = np.stack(got).astype(np.int64).reshape(3, nodes, width, 256)
+                for node in np.unique(at[use]).tolist():
+                    key = fit, node
+                    out[key] = out[key] + got[:, node] if key in out else got[:, node]
+            yield from out.items()
+
+        if self.apart:
+            return self.now.mapPartitions(sums).reduceByKey(np.add, self.parts).mapValues(lambda x: _decided(x, cfg)).collect()
+        return self.now.mapPartitions(lambda blocks: ((key, _decided(x, cfg)) for key, x in sums(blocks))).collect()
+
+    def medians(self, trees: dict[int, Tree]) -> list[tuple[tuple[int, int], float]]:
+        """((fit, leaf), its median residual)."""
+        late = self._late(trees)
+
+        def residuals(blocks) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+            for fit, y, f, bins in blocks:
+                if fit in trees:
+                    leaf, r = trees[fit].place(bins), y - (f + late[fit].raw(bins))
+                    for k in np.unique(leaf).tolist():
+                        yield (fit, k), r[leaf == k]
+
+        parts = self.now.mapPartitions(residuals)
+        if self.apart:
+            return parts.groupByKey(self.parts).mapValues(lambda x: _median(np.concatenate(list(x)))).collect()
+        return parts.mapValues(_median).collect()
 
-def fit(train: DataFrame, features: list[str], y: str = "label", cfg: Boosting = Boosting()) -> Model:
-    """Boosted trees on rows with a label; NULL and NaN features are missing.
 
-    A feature's edges are its values if there are no more than ``bins``, else quantiles of them. Medians of
-    leaves are exact: hand over a bounded sample. Without rows, or with nothing to split on, the base alone is left.
+@dataclass(frozen=True)
+class Fit:
+    features: list[str]
+    loss: str = "log"
+
+
+def _start(rows: DataFrame, fits: dict[int, Fit], names: list[str], cfg: Boosting) -> tuple[dict[int, Model], dict[int, int]]:
+    """Models without trees, and the rows each has."""
+    at, xs = [k / cfg.bins for k in range(1, cfg.bins)], [f"x{k}" for k in range(len(names))]
+    facts = {r["fit"]: r for r in rows.groupBy("fit").agg(F.count("*").alias("_n"), F.avg("y").alias("_mean"), F.median("y").alias("_median"), *[F.percentile_approx(x, at, 10_000).alias(x) for x in xs]).collect()}  # a row a fit
+    values = rows.drop("y").unpivot(["fit"], xs, "x", "value").where("value is not null").distinct()
+    few = values.groupBy("fit", "x").agg(F.count("*").alias("n")).where(F.col("n") <= cfg.bins)
+    own = {(r["fit"], r["x"]): r["values"] for r in values.join(few, ["fit", "x"]).groupBy("fit", "x").agg(F.collect_list("value").alias("values")).collect()}  # ``bins`` values each
+    models = {}
+    for k, fit in fits.items():
+        if k not in facts:
+            models[k] = Model(list(fit.features), [np.zeros(0)] * len(fit.features), 0.0, fit.loss, [])
+            continue
+        p = facts[k]["_mean"] if fit.loss == "log" else facts[k]["_median"]
+        base = float(np.log(p / (1 - p))) if fit.loss == "log" and 0 < p < 1 else (np.sign(p - 0.5) * 20.0 if fit.loss == "log" else p)
+        columns = [xs[names.index(c)] for c in fit.features]
+        models[k] = Model(list(fit.features), [np.unique(np.array(own.get((k, x), facts[k][x]) or [], float)) for x in columns], float(base), fit.loss, [])
+    return models, {k: r["_n"] for k, r in facts.items()}
+
+
+def fit_all(train: DataFrame, fits: dict[int, Fit], cfg: Boosting = Boosting()) -> dict[int, Model]:
+    """Boosted trees of each fit on its rows with a label; NULL and NaN features are missing.
+
+    ``train``: _fit (int), _y, and the features; a row that several fits learn from is there once for each. ``cfg`` holds
+    but for the loss, which each fit has. A feature's edges are its values if there are no more than ``bins``, else quantiles of them.
+    Medians of leaves are exact: hand over a bounded sample. Without rows, or with nothing to split on, the base alone is left.
     """
-    rows = durable(train.where(F.col(y).isNotNull()).select(F.col(y).cast("double").alias("y"), *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in features]))
-    at = [k / cfg.bins for k in range(1, cfg.bins)]
-    middle = F.avg("y") if cfg.loss == "log" else F.median("y")
-    facts = rows.agg(F.count("*").alias("_n"), middle.alias("_middle"), *[F.percentile_approx(c, at, 10_000).alias(c) for c in features]).first()
-    if not facts["_n"]:
-        return Model(list(features), [np.zeros(0)] * len(features), 0.0, cfg.loss, [])
-    p = facts["_middle"]
-    base = float(np.log(p / (1 - p))) if cfg.loss == "log" and 0 < p < 1 else (np.sign(p - 0.5) * 20.0 if cfg.loss == "log" else p)
-    values = rows.unpivot([], list(features), "feature", "value").where("value is not null").distinct()
-    few = values.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") <= cfg.bins)
-    own = {r["feature"]: r["values"] for r in values.join(few, "feature").groupBy("feature").agg(F.collect_list("value").alias("values")).collect()}  # ``bins`` values each
-    edges = [np.unique(np.array(own.get(c, facts[c]) or [], float)) for c in features]
-    model = Model(list(features), edges, float(base), cfg.loss, [])
-    data = _Rows(rows, model, "y", cfg)
-    for _ in range(cfg.rounds):
-        tree, totals = Tree.empty(cfg.depth), {}
+    names = list(dict.fromkeys(c for fit in fits.values() for c in fit.features))
+    rows = durable(train.where(F.col("_y").isNotNull()).select(F.col("_fit").cast("int").alias("fit"), F.col("_y").cast("double").alias("y"), *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{k}") for k, c in enumerate(names)]))
+    models, counts = _start(rows, fits, names, cfg)
+    if not counts:
+        return models
+    data, open_ = _Rows(rows, {k: models[k] for k in counts}, counts, names, cfg), sorted(counts)
+    for done in range(1, cfg.rounds + 1):
+        trees, totals = {k: Tree.empty(cfg.depth) for k in open_}, {k: {} for k in open_}
         for level in range(cfg.depth):
             first = (1 << level) - 1
-            if level and not any(first <= node for node in totals):
+            growing = {k: trees[k] for k in open_ if not level or max(totals[k], default=0) >= first}
+            if not growing:
                 break
-            sums = data.sums(tree, level)
-            if not level:
-                totals[0] = sums[:2, 0, 0].sum(-1)
-            for k, split in enumerate(best_splits(sums, cfg)):
-                node = first + k
-                if node in totals and split:
-                    _, feature, b, left = split
+            for (k, at), (split, total, left) in data.splits(growing, level):
+                node, tree = first + at, trees[k]
+                if not level:
+                    totals[k][0] = total
+                if node in totals[k] and split:
                     tree.gain[node], tree.feature[node], tree.split[node], tree.missing_left[node] = split
-                    totals[2 * node + 1] = sums[:2, k, feature, : b + 1].sum(-1) + (sums[:2, k, feature, MISSING] if left else 0)
-                    totals[2 * node + 2] = totals[node] - totals[2 * node + 1]
-        for node, (g, h) in totals.items():
-            tree.value[node] = -cfg.rate * (g / UNIT) / (h / UNIT + cfg.l2)
-        if tree.feature[0] < 0:
-            break  # nothing left to split on
-        if cfg.loss == "absolute":
-            tree.value[:] = 0.0
-            for leaf, r in data.medians(tree).items():
-                tree.value[leaf] = cfg.rate * r
-        model.trees.append(tree)
-        if len(model.trees) - data.kept >= cfg.stored:
+                    totals[k][2 * node + 1], totals[k][2 * node + 2] = left, totals[k][node] - left
+        open_ = [k for k in open_ if trees[k].feature[0] >= 0]  # the others have nothing left to split on
+        if not open_:
+            break
+        for k in open_:
+            for node, (g, h) in totals[k].items():
+                trees[k].value[node] = -cfg.rate * (g / UNIT) / (h / UNIT + cfg.l2)
+        absolute = {k: trees[k] for k in open_ if models[k].loss == "absolute"}
+        if absolute:
+            for k in absolute:
+                trees[k].value[:] = 0.0
+            for (k, leaf), r in data.medians(absolute):
+                trees[k].value[leaf] = cfg.rate * r
+        for k in open_:
+            models[k].trees.append(trees[k])
+        if done % cfg.stored == 0 and done < cfg.rounds:
             data.store()
-    return model
+    data.drop()
+    return models
+
+
+def fit_each(parts: list[tuple[DataFrame, Fit]], cfg: Boosting = Boosting(), y: str = "label") -> list[Model]:
+    """``fit_all`` of tables of one fit each, with the label ``y``."""
+    names = list(dict.fromkeys(c for _, fit in parts for c in fit.features))
+    missing = F.lit(None).cast("double")
+    rows = [df.select(F.lit(k).alias("_fit"), F.col(y).cast("double").alias("_y"), *[(F.col(c).cast("double") if c in fit.features else missing).alias(c) for c in names]) for k, (df, fit) in enumerate(parts)]
+    models = fit_all(reduce(lambda a, b: a.unionByName(b), rows), {k: fit for k, (_, fit) in enumerate(parts)}, cfg)
+    return [models[k] for k in range(len(parts))]
+
+
+def fit(train: DataFrame, features: list[str], y: str = "label", cfg: Boosting = Boosting()) -> Model:
+    """One model of ``fit_all``."""
+    return fit_each([(train, Fit(list(features), cfg.loss))], cfg, y)[0]

@@ -1,4 +1,4 @@
-"""Training runs: folds and models fitted side by side over one stored table, kept under the run's id.
+"""Training runs: folds and models grown side by side over one stored table, kept under the run's id.
 
 A run's folder holds its scores, its report tables and its models; the log beside it tells runs apart, so
 that later work finds the newest. The id is a hash of what was learnt from, hence repeating a run
@@ -38,7 +38,7 @@ class Settings:
     lockbox: float = 0.15  # of all sessions, kept from research
     breakeven: float = 0.424
     top: int = 20  # ranks of the stored picks
-    at_once: int = 4  # fits side by side
+    at_once: int = 4  # folds scored, or second stages fitted, side by side
     trees: models.Trees = field(default_factory=models.Trees)
     meta: dict[str, Any] = field(default_factory=dict)  # of the second stage
 
@@ -109,19 +109,21 @@ def calibrated_folds(data: DataFrame, folds: DataFrame, features: list[str], set
 
     parts = durable(splits.fold_parts(axis, folds, settings.tail, settings.embargo))
 
-    def fold(block: int) -> DataFrame | None:
-        of = lambda part: rows.join(F.broadcast(parts.where((F.col("block") == block) & (F.col("part") == part)).select("ts")), "ts", "left_semi")  # noqa: E731 - a row per session
-        fit, tail, test = of("fit"), of("calibrate"), of("test")
-        if fit.isEmpty() or tail.isEmpty() or test.isEmpty():
-            return None
-        model = models.fit_classifier(capped_sample(fit, "key", settings.trees.fit_cap, settings.trees.seed), kind, settings.trees, features)
-        steps = isotonic(models.probability(model, tail), "p_raw", "label")
-        scored = calibrated(steps, models.probability(model, test), "p_raw", "p_cal")
-        return durable(scored.select(F.lit(block).cast("long").alias("fold"), "ts", "symbol", F.col("label").alias("y"), "p_raw", "p_cal", "exit_ret"))
+    def of(block: int, part: str) -> DataFrame:
+        return rows.join(F.broadcast(parts.where((F.col("block") == block) & (F.col("part") == part)).select("ts")), "ts", "left_semi")  # a row per session
 
-    got = [x for x in side_by_side([lambda b=b: fold(b) for b in sorted(r["block"] for r in folds.collect())], settings.at_once) if x is not None]
-    if not got:
+    blocks = [b for b in sorted(r["block"] for r in folds.collect()) if not any(of(b, part).isEmpty() for part in ("fit", "calibrate", "test"))]
+    if not blocks:
         raise ValueError("no fold has rows to fit, to calibrate and to test")
+    trees = settings.trees
+    fitted = models.fit_classifiers([capped_sample(of(b, "fit"), "key", trees.fit_cap, trees.seed) for b in blocks], [features] * len(blocks), kind, trees)
+
+    def fold(block: int, model) -> DataFrame:
+        steps = isotonic(models.probability(model, of(block, "calibrate")), "p_raw", "label")
+        scored = calibrated(steps, models.probability(model, of(block, "test")), "p_raw", "p_cal")
+        return durable(scored.select(F.lit(block).cast("long").alias("fold"), "ts", "symbol", F.col("label").alias("y"), "p_raw", "p_cal", "exit_ret"))
+
+    got = side_by_side([lambda b=b, m=m: fold(b, m) for b, m in zip(blocks, fitted, strict=True)], settings.at_once)
     return reduce(lambda a, b: a.unionByName(b), got)
 
 
@@ -212,19 +214,18 @@ def engine_train(panel: DataFrame, features: list[str], folder: str, settings: S
     through = axis.agg(F.max("ts")).first()[0]
     run = Run(spark, folder, run_id("engine", features, through, settings))
 
-    def fold(f) -> DataFrame:
-        bundle = models.fit_bundle(data.where(F.col("ts") <= F.lit(f["train_end"])), features, settings.trees)
-        test = data.where(F.col("ts").between(F.lit(f["test_start"]), F.lit(f["test_end"])))
-        scored = models.predict_bundle(bundle, test, features)
-        return durable(scored.select(F.lit(f["block"]).cast("long").alias("fold"), "ts", "symbol", "raw", "p_sl", "mfe_hat", "mae_hat", "days_hat", *outcomes))
-
-    folds = splits.forward_blocks(axis, settings.folds, settings.least, settings.embargo)
-    parts = side_by_side([lambda f=f: fold(f) for f in folds.orderBy("block").collect()] + [lambda: models.fit_bundle(data, features, settings.trees)], settings.at_once)
-    models.save_bundle(parts[-1], run.path("bundle"))
-    run.write("importance", spark.createDataFrame(models.importance([parts[-1]["TP"]], features, len(features)), "feature string, share double"))
-    if len(parts) < 2:
+    folds = splits.forward_blocks(axis, settings.folds, settings.least, settings.embargo).orderBy("block").collect()
+    if not folds:
         raise ValueError("too few sessions for a fold")
-    scores = run.write("scores", reduce(lambda a, b: a.unionByName(b), parts[:-1]))
+    *bundles, final = models.fit_bundles([data.where(F.col("ts") <= F.lit(f["train_end"])) for f in folds] + [data], features, settings.trees)
+
+    def scored(f, bundle: dict) -> DataFrame:
+        test = data.where(F.col("ts").between(F.lit(f["test_start"]), F.lit(f["test_end"])))
+        return models.predict_bundle(bundle, test, features).select(F.lit(f["block"]).cast("long").alias("fold"), "ts", "symbol", "raw", "p_sl", "mfe_hat", "mae_hat", "days_hat", *outcomes)
+
+    models.save_bundle(final, run.path("bundle"))
+    run.write("importance", spark.createDataFrame(models.importance([final["TP"]], features, len(features)), "feature string, share double"))
+    scores = run.write("scores", reduce(lambda a, b: a.unionByName(b), [scored(f, bundle) for f, bundle in zip(folds, bundles, strict=True)]))
     for name, table in engine_tables(scores, settings).items():
         run.write(name, table)
     run.write_isotonic("isotonic", isotonic(scores, "raw", "hit"))
@@ -242,12 +243,13 @@ def _second_stage(run: Run, scores: DataFrame, bars: DataFrame, settings: Settin
     frame = run.write("meta_features", x)
     fit = {k: v for k, v in settings.meta.items() if k not in ("folds", "nested_least")}
     nested = {"folds": settings.meta.get("folds", 4), "least": settings.meta.get("nested_least", 0.40)}
-    decided = run.write("meta_picks", second_stage.decided_picks(second_stage.nested_picks(frame, META, **nested, **fit)))
+    picks, final = side_by_side([lambda: second_stage.nested_picks(frame, META, **nested, **fit), lambda: models.fit_meta(frame, sessions(frame), META, **fit)], settings.at_once)
+    decided = run.write("meta_picks", second_stage.decided_picks(picks))
     arms = run.write("meta_books", second_stage.nested_books(decided))
     run.write("meta_evidence", evidence.decided(evidence.block_bootstrap(arms, [c for c in arms.columns if c != "ts"])))
     run.write("meta_summary", second_stage.nested_summary(decided))
     run.write("meta_blocks", second_stage.nested_by_block(decided))
-    save_meta(run, models.fit_meta(frame, sessions(frame), META, **fit))
+    save_meta(run, final)
 
 
 def save_meta(run: Run, fitted: models.Meta) -> None:

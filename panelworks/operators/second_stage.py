@@ -36,11 +36,11 @@ def nested_picks(df: DataFrame, features: list[str], folds: int = 4, least: floa
     ``df``: ts, symbol, rk, label, net. Adds meta_p, spread_lo, spread_hi, tau and block. One fit per
     block, blocks are a handful.
     """
-    axis = sessions(df)
-    rows, parts = durable(df.select("ts", "symbol", "rk", "label", "net", *features)), []
-    for f in forward_blocks(axis, folds, least).orderBy("block").collect():
-        train = rows.where(F.col("ts") <= F.lit(f["train_end"]))
-        fitted = models.fit_meta(train, axis.where(F.col("ts") <= F.lit(f["train_end"])), features, **fit)
+    axis = durable(sessions(df))
+    rows, blocks = durable(df.select("ts", "symbol", "rk", "label", "net", *features)), forward_blocks(axis, folds, least).orderBy("block").collect()
+    before = lambda d, f: d.where(F.col("ts") <= F.lit(f["train_end"]))
+    parts = []
+    for f, fitted in zip(blocks, models.fit_metas([(before(rows, f), before(axis, f)) for f in blocks], features, **fit), strict=True):
         test = rows.where(F.col("ts").between(F.lit(f["test_start"]), F.lit(f["test_end"])) & (F.col("rk") <= pool))
         parts.append(models.predict_meta(fitted, test, features).withColumns({"tau": F.lit(fitted.tau), "block": F.lit(f["block"]).cast("long")}))
     return reduce(lambda a, b: a.unionByName(b), parts).select("ts", "symbol", "rk", "label", "net", "meta_p", "spread_lo", "spread_hi", "tau", "block")
@@ -85,8 +85,8 @@ def compared_runs(df: DataFrame, folds: DataFrame, runs: dict[str, list[str]], n
     label, exit_ret and the features. One walk-forward a run.
     """
     series = []
-    for name, features in runs.items():
-        scored = models.walk_forward(df, folds, features, kind, cfg).select("ts", "symbol", "exit_ret", "p_raw")
+    for name, scored in zip(runs, models.walk_forwards(df, folds, list(runs.values()), kind, cfg), strict=True):
+        scored = scored.select("ts", "symbol", "exit_ret", "p_raw")
         series.append(ranked(scored).where(F.col("rk") <= n).groupBy("ts").agg(F.avg(net_return()).alias(name)))
     return reduce(lambda a, b: a.join(b, "ts", "full"), series)
 

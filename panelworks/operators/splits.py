@@ -65,6 +65,14 @@ def hashed_days(sessions: DataFrame, share: float = 0.8, bag: int = 0) -> DataFr
     return d.where(F.col("_r") <= F.floor(F.col("_n") * share)).select("ts")
 
 
+def hashed_bags(days: DataFrame, share: float = 0.8) -> DataFrame:
+    """``hashed_days`` of many bags at once. ``days``: _fit, _group, _bag, ts, a row for each session that a fit may draw."""
+    fit = Window.partitionBy("_fit")
+    order = fit.orderBy(F.md5(F.concat(F.col("ts").cast("string"), F.lit(":"), F.col("_bag").cast("string"))))
+    d = days.withColumns({"_r": F.row_number().over(order), "_n": F.count("*").over(fit)})
+    return d.where(F.col("_r") <= F.floor(F.col("_n") * share)).select("_fit", "_group", "ts")
+
+
 def lockbox_parts(sessions: DataFrame, share: float = 0.15, embargo: int = 5) -> DataFrame:
     """(ts, part): research, a gap of ``embargo`` sessions, and the lockbox, the last ``share`` that no fold may see."""
     d = _numbered(sessions)
