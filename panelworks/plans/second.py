@@ -162,8 +162,8 @@ def nested_evaluation(spark, d):
 def _run(spark, d, x, s, runs: dict[str, list[str]]):
     """Intervals of two runs and of their difference over the same test days."""
     one, other = runs
-    folds = splits.forward_blocks(sessions(s), 3)
-    daily = second_stage.compared_runs(x, folds, runs, cfg=TINY).withColumn("difference", F.col(other) - F.col(one))
+    folds = splits.forward_blocks(sessions(s))
+    daily = second_stage.compared_runs(x, folds, runs).withColumn("difference", F.col(other) - F.col(one))
     return evidence.decided(evidence.block_bootstrap(daily, [one, other, "difference"]))
 
 

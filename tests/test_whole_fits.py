@@ -59,3 +59,8 @@ def test_day_of_the_engine_is_trained_whole(spark, monkeypatch):
 def test_run_of_the_engine_is_trained_whole(spark, monkeypatch):
     assert asked(spark, monkeypatch, "engine_train") == (30, 300, 5, 200)
     assert training.runs.Settings().meta == {}  # the second stage by its own defaults
+
+
+@pytest.mark.parametrize("name", ["ab_run", "ablation"])
+def test_compared_runs_are_trained_whole(spark, monkeypatch, name):
+    assert asked(spark, monkeypatch, name) == (10, 300, 5, 200)
