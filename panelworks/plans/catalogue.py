@@ -559,9 +559,6 @@ def block_bootstrap(spark, d):
     return tidy(evidence.decided(evidence.block_bootstrap(ranking.topn_vs_universe(scores(spark, d)), ["top_net", "universe_net", "excess"])))
 
 
-SMALL = models.Trees(rounds=4, depth=3, rate=0.1, leaf=20)
-
-
 def _learning(spark, d, b=None):
     b = stored_bars(spark, d) if b is None else b
     s = scores(spark, d, b)
@@ -572,7 +569,7 @@ def _learning(spark, d, b=None):
 @query()
 def gbt_walkforward(spark, d):
     x, s = _learning(spark, d)
-    out = models.walk_forward(x, splits.forward_blocks(sessions(s), 3), ["p_short", "ret5", "gapvol20"], "gbt", SMALL)
+    out = models.walk_forward(x, splits.forward_blocks(sessions(s)), ["p_short", "ret5", "gapvol20"])
     return models.calibrated_by_earlier_folds(out.select("ts", "symbol", "fold", "p_raw", "label")).select("ts", "symbol", "fold", "p_raw", "conf_cf")
 
 
@@ -589,4 +586,4 @@ def isotonic_calibrate(spark, d):
 def meta_bag(spark, d):
     x, s = _learning(spark, d)
     features = ["p_short", "ret5", "gapvol20"]
-    return models.bag_predictions(models.bagged(x, sessions(s), features, bags=3, cfg=SMALL), x, features).select("ts", "symbol", "meta_p", "spread_lo", "spread_hi")
+    return models.bag_predictions(models.bagged(x, sessions(s), features), x, features).select("ts", "symbol", "meta_p", "spread_lo", "spread_hi")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.operators import boosting, splits
+from panelworks.operators import boosting, models, splits
 from panelworks.operators.boosting import Boosting, Fit
 from panelworks.plans import catalogue, second, trades, training  # noqa: F401 - the later ones add their queries
 from tests.test_boosting import D, X, Y, grown
@@ -64,3 +64,19 @@ def test_run_of_the_engine_is_trained_whole(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["ab_run", "ablation"])
 def test_compared_runs_are_trained_whole(spark, monkeypatch, name):
     assert asked(spark, monkeypatch, name) == (10, 300, 5, 200)
+
+
+def test_bags_are_whole(spark, monkeypatch):
+    asks = []
+
+    def fit_classifier(train, kind, cfg, features):
+        asks.append((kind, cfg.rounds, cfg.depth, cfg.leaf))
+        return boosting.Model(features, [np.zeros(0)] * len(features), 0.0, "log", [])
+
+    monkeypatch.setattr(models, "fit_classifier", fit_classifier)
+    assert catalogue.QUERIES["meta_bag"](spark, DATA).columns == ["ts", "symbol", "meta_p", "spread_lo", "spread_hi"]
+    assert asks == [("forest", 150, 3, 100)] * 10
+
+
+def test_walk_forward_is_trained_whole(spark, monkeypatch):
+    assert asked(spark, monkeypatch, "gbt_walkforward") == (5, 300, 5, 200)
