@@ -8,7 +8,7 @@ from panelworks.functions import net_return
 from panelworks.operators import analogues, evidence, memories, panel_features, ranking, second_stage, splits
 from panelworks.plans.catalogue import _RET, DIMS, SPACE_SQL, _avg_rank, _distance, _folds, _form, _learning, _states, query, r, tidy
 from panelworks.plans.oracle import sql
-from panelworks.plans.trades import _MARKET, _TWO, TINY, _two
+from panelworks.plans.trades import _MARKET, _TWO, _two
 from panelworks.plans.views import labelled, scores, stored_bars
 from panelworks.sources.tables import sessions
 
@@ -154,7 +154,7 @@ def nested_evaluation(spark, d):
     """Intervals and verdicts of the second stage's arms on blocks of days later than its training."""
     x, _ = _learning(spark, d)
     x = ranking.ranked(x).withColumn("net", net_return())
-    picks = second_stage.nested_picks(x.where("rk <= 10"), ["p_raw", "p_short", "ret5", "gapvol20"], folds=2, bags=2, oof_bags=1, blocks=2, cfg=TINY)
+    picks = second_stage.nested_picks(x.where("rk <= 10"), ["p_raw", "p_short", "ret5", "gapvol20"])
     arms = second_stage.nested_books(second_stage.decided_picks(picks))
     return evidence.decided(evidence.block_bootstrap(arms, [c for c in arms.columns if c != "ts"]))
 

@@ -174,7 +174,6 @@ def topn_evidence(spark, d):
     return tidy(evidence.topn_evidence(scores(spark, d)))
 
 
-TINY = models.Trees(rounds=4, depth=3, rate=0.1, leaf=20)
 FEATURES = ["p_short", "ret5", "gapvol20"]
 
 
@@ -183,7 +182,7 @@ def meta_model(spark, d):
     """Second-stage scores of every labelled row, calibrated out of fold, with their band and the cut."""
     x, s = _learning(spark, d)
     x = ranking.ranked(x)
-    fitted = models.fit_meta(x, sessions(s), FEATURES, bags=3, oof_bags=1, blocks=3, cfg=TINY)
+    fitted = models.fit_meta(x, sessions(s), FEATURES)
     out = models.predict_meta(fitted, x, FEATURES)
     return out.select("ts", "symbol", "meta_p", "spread_lo", "spread_hi", F.lit(fitted.tau).alias("tau"))
 
@@ -193,5 +192,5 @@ def model_bundle(spark, d):
     """The five models fitted on the first three quarters of the sessions, applied to the rest."""
     x, s = _learning(spark, d)
     parts = x.join(F.broadcast(splits.calibration_split(sessions(s))), "ts")
-    fitted = models.fit_bundle(parts.where("part = 'fit'"), FEATURES, TINY)
+    fitted = models.fit_bundle(parts.where("part = 'fit'"), FEATURES)
     return models.predict_bundle(fitted, parts.where("part = 'calibrate'"), FEATURES).select("ts", "symbol", "raw", "p_sl", "mfe_hat", "mae_hat", "days_hat")

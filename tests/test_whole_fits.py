@@ -80,3 +80,9 @@ def test_bags_are_whole(spark, monkeypatch):
 
 def test_walk_forward_is_trained_whole(spark, monkeypatch):
     assert asked(spark, monkeypatch, "gbt_walkforward") == (5, 300, 5, 200)
+
+
+@pytest.mark.parametrize(("name", "want"), [("nested_evaluation", (100, 150, 3, 100)), ("meta_model", (25, 150, 3, 100)), ("model_bundle", (5, 300, 5, 200))])
+def test_second_stages_and_bundles_are_trained_whole(spark, monkeypatch, name, want):
+    """Nested: four later blocks with 10 bags each, and 3 for each of 5 inner blocks."""
+    assert asked(spark, monkeypatch, name) == want
